@@ -36,9 +36,15 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontaminate
+
+    return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.evaluate(urlfilter.page_captures(spark.read.parquet(f"{sf_dir}/pages.parquet")), urlfilter.entries(spark))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op3_language_id, op6_bpe, op8_licenses, op10_url_filter)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op3_language_id, op6_bpe, op8_licenses, op9_decontaminate, op10_url_filter)}
 ORACLES: dict[str, str] = {"op10_url_filter": urlfilter.ORACLE}
