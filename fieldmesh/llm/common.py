@@ -97,3 +97,48 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x81DADEF4BC2DD44D)
     x ^= x >> np.uint64(33)
     return x
+
+
+def packed(kind: np.dtype, *columns: np.ndarray) -> np.ndarray:
+    """Columns as records."""
+    out = np.empty(len(columns[0]), kind)
+    for name, c in zip(kind.names, columns, strict=True):
+        out[name] = c
+    return out
+
+
+def dealt(records: np.ndarray, bucket: np.ndarray, tag: int = 0) -> Iterator[pa.RecordBatch]:
+    """Records as one blob for each bucket: rows (bucket int, tag int, blob binary). Shuffling blobs costs a task a
+    few rows for each bucket rather than one for each record."""
+    if not len(records):
+        return
+    order = np.argsort(bucket, kind="stable")
+    bucket, records = bucket[order], records[order]
+    cuts = np.flatnonzero(np.diff(bucket)) + 1
+    starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(bucket)]])
+    for i in range(0, len(starts), 1000):
+        part = [records[a:b].tobytes() for a, b in zip(starts[i : i + 1000], ends[i : i + 1000])]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[starts[i : i + 1000]].astype(np.int32)), pa.array([tag] * len(part), pa.int32()), pa.array(part, pa.binary())], ["bucket", "tag", "blob"])
+
+
+BLOBS = "bucket int, tag int, blob binary"
+
+
+def gathered(batches, kinds: dict[int, np.dtype]) -> dict[int, np.ndarray]:
+    """All records of a partition's blobs, by tag."""
+    parts: dict[int, list[bytes]] = {t: [] for t in kinds}
+    for b in batches:
+        for t, x in zip(b.column("tag").to_pylist(), b.column("blob").to_pylist()):
+            if t in parts:
+                parts[t].append(x)
+    return {t: np.frombuffer(b"".join(x), kinds[t]) for t, x in parts.items()}
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and their counts."""
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(counts, first)

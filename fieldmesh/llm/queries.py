@@ -22,6 +22,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
+def op5_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import scoring
+
+    return scoring.score(documents(spark, sf_dir))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -46,5 +52,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.evaluate(urlfilter.page_captures(spark.read.parquet(f"{sf_dir}/pages.parquet")), urlfilter.entries(spark))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op3_language_id, op6_bpe, op8_licenses, op9_decontaminate, op10_url_filter)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op3_language_id, op5_ppm, op6_bpe, op8_licenses, op9_decontaminate, op10_url_filter)}
 ORACLES: dict[str, str] = {"op10_url_filter": urlfilter.ORACLE}
