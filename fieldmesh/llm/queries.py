@@ -36,6 +36,12 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import imatch
+
+    return imatch.fingerprints(documents(spark, sf_dir))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import licenses
 
@@ -52,5 +58,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.evaluate(urlfilter.page_captures(spark.read.parquet(f"{sf_dir}/pages.parquet")), urlfilter.entries(spark))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op3_language_id, op5_ppm, op6_bpe, op8_licenses, op9_decontaminate, op10_url_filter)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op3_language_id, op5_ppm, op6_bpe, op7_imatch, op8_licenses, op9_decontaminate, op10_url_filter)}
 ORACLES: dict[str, str] = {"op10_url_filter": urlfilter.ORACLE}
