@@ -10,6 +10,12 @@ from . import urlfilter
 from .common import documents
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import neardup
+
+    return neardup.near_duplicates(documents(spark, sf_dir))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
 
@@ -58,5 +64,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.evaluate(urlfilter.page_captures(spark.read.parquet(f"{sf_dir}/pages.parquet")), urlfilter.entries(spark))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op3_language_id, op5_ppm, op6_bpe, op7_imatch, op8_licenses, op9_decontaminate, op10_url_filter)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_duplicates, op2_toxicity, op3_language_id, op5_ppm, op6_bpe, op7_imatch, op8_licenses, op9_decontaminate, op10_url_filter)}
 ORACLES: dict[str, str] = {"op10_url_filter": urlfilter.ORACLE}
