@@ -186,5 +186,5 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))], columns)
 
     # where a key repeats, its first row by text is the one that follows the block above
-    lined = in_order(docs).repartition(partitions(spark), "block").sortWithinPartitions("block", "tail", F.desc("k"), F.desc("text"))
+    lined = in_order(docs).repartitionByRange(partitions(spark), "block").sortWithinPartitions("block", "tail", F.desc("k"), F.desc("text"))
     return lined.select("block", "doc_id", "text", "tail").mapInArrow(run, SCHEMA)
