@@ -175,45 +175,79 @@ class Items:
         return found
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row for each leak: doc_id, item_id, edits, n_words, and where in the text (code points)."""
-    spark = docs.sparkSession
+def blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
+    """The items with text, in blocks of bounded size (one at least)."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and text != ''")
-    blocks, size = [[]], 0
+    out, size = [[]], 0
     for r in items.orderBy("item_id", "text").toLocalIterator(prefetchPartitions=False):
         size += len(r["text"]) + 64
-        if size > BLOCK_BYTES and blocks[-1]:
-            blocks.append([])
+        if size > BLOCK_BYTES and out[-1]:
+            out.append([])
             size = len(r["text"])
-        blocks[-1].append((r["item_id"], r["text"]))
+        out[-1].append((r["item_id"], r["text"]))
+    return out
+
+
+def search_piece(items: Items, data: np.ndarray, off: np.ndarray) -> tuple[list[tuple[int, int, int, int, int, int]], bytes]:
+    """items.search over the texts of a piece, and the piece as bytes."""
+    get = items.number.get
+    raw = data.tobytes()
+    folded = raw.translate(_class)
+    nums = [[get(w, 0) for w in folded[a:e].split()] for a, e in zip(off[:-1], off[1:])]
+    at = np.concatenate([[0], np.cumsum([len(x) + 1 for x in nums])])
+    return items.search(np.fromiter((y for x in nums for y in (*x, 0)), np.int64, at[-1]), at), raw
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row for each leak: doc_id, item_id, edits, n_words, and where in the text (code points)."""
+    spark = docs.sparkSession
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
 
     def passed(rows) -> DataFrame:
         shared = spark.sparkContext.broadcast(rows)
 
         def run(batches):
             items = Items(shared.value)
-            get = items.number.get
             for b in batches:
                 out = []
                 ids = b.column("doc_id")
-                for i, j, data, off in pieces(b):
-                    raw = data.tobytes()
-                    folded = raw.translate(_class)
-                    nums = [[get(w, 0) for w in folded[off[r] : off[r + 1]].split()] for r in range(j - i)]
-                    at = np.concatenate([[0], np.cumsum([len(x) + 1 for x in nums])])
-                    flat = np.fromiter((y for x in nums for y in (*x, 0)), np.int64, at[-1])
+                for i, _, data, off in pieces(b):
+                    found, raw = search_piece(items, data, off)
                     spots: dict[int, list] = {}
-                    for r, item, d, n, a, e in items.search(flat, at):
+                    for r, item, d, n, a, e in found:
                         text = raw[off[r] : off[r + 1]]
                         spot = spots.setdefault(r, [m.span() for m in _word.finditer(text)])
                         begin, end = (len(text[:q].decode(errors="ignore")) for q in (spot[a][0], spot[e - 1][1]))
                         out.append((ids[i + r].as_py(), item, d, n, begin, end))
                 cols = [*zip(*out)] if out else [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))], ["doc_id", "item_id", "edits", "n_words", "start", "end"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "item_id", "edits", "n_words", "start", "end"])
 
         return id_text(docs).mapInArrow(run, SCHEMA)
 
-    result = passed(blocks[0])
-    for rows in blocks[1:]:
-        result = result.unionByName(passed(rows))
+    parts = [passed(rows) for rows in blocks(benchmark)]
+    result = parts[0]
+    for more in parts[1:]:
+        result = result.unionByName(more)
     return result
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, without a leak."""
+    spark = docs.sparkSession
+
+    def passed(docs: DataFrame, rows) -> DataFrame:
+        shared = spark.sparkContext.broadcast(rows)
+
+        def run(batches):
+            items = Items(shared.value)
+            for b in batches:
+                keep = np.ones(len(b), bool)
+                for i, _, data, off in pieces(b):
+                    keep[[i + f[0] for f in search_piece(items, data, off)[0]]] = False
+                yield b.filter(pa.array(keep))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    for rows in blocks(benchmark):
+        docs = passed(docs, rows)
+    return docs

@@ -142,27 +142,50 @@ def sample_windows(docs: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray,
     return w[order], y[order], names
 
 
+def predict(batch: pa.RecordBatch, net: dict | None, names: list[str]) -> tuple[list[str], np.ndarray]:
+    """The language and score of each row of a batch with a text column."""
+    n = len(batch)
+    total, weight = np.zeros((n, max(1, len(names)))), np.zeros(n)
+    if net is not None:
+        for i, _, data, off in pieces(batch, 1 << 18):
+            win, row, length = cut(data, off)
+            for k in range(0, len(win), 512):
+                p = forward(win[k : k + 512], net)
+                np.add.at(total, i + row[k : k + 512], p * length[k : k + 512, None])
+                np.add.at(weight, i + row[k : k + 512], length[k : k + 512])
+    letters = pc.fill_null(pc.match_substring_regex(batch.column("text"), r"\p{L}"), False).to_numpy(zero_copy_only=False)
+    ok = letters & (weight > 0)
+    best = total.argmax(1)
+    score = np.where(ok, total[np.arange(n), best] / np.maximum(weight, 1), 0.0)
+    return [names[k] if o else "und" for k, o in zip(best, ok)], np.clip(score, 0, 1)
+
+
+def trained(docs: DataFrame, train_rows: int = TRAIN_ROWS):
+    """The network, broadcast, and the languages it knows."""
+    x, y, names = sample_windows(docs, train_rows)
+    return docs.sparkSession.sparkContext.broadcast(train(x, y, len(names)) if len(x) else None), names
+
+
 def identify(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row."""
-    x, y, names = sample_windows(docs, train_rows)
-    net = docs.sparkSession.sparkContext.broadcast(train(x, y, len(names)) if len(x) else None)
+    net, names = trained(docs, train_rows)
 
     def run(batches):
         for b in batches:
-            n = len(b)
-            total, weight = np.zeros((n, max(1, len(names)))), np.zeros(n)
-            if net.value is not None:
-                for i, _, data, off in pieces(b, 1 << 18):
-                    win, row, length = cut(data, off)
-                    for k in range(0, len(win), 512):
-                        p = forward(win[k : k + 512], net.value)
-                        np.add.at(total, i + row[k : k + 512], p * length[k : k + 512, None])
-                        np.add.at(weight, i + row[k : k + 512], length[k : k + 512])
-            letters = pc.fill_null(pc.match_substring_regex(b.column("text"), r"\p{L}"), False).to_numpy(zero_copy_only=False)
-            ok = letters & (weight > 0)
-            best = total.argmax(1)
-            score = np.where(ok, total[np.arange(n), best] / np.maximum(weight, 1), 0.0)
+            lang, score = predict(b, net.value, names)
             ids = b.column("doc_id")
-            yield pa.RecordBatch.from_arrays([ids, pa.array([crc_fold(i, 3) == 1 for i in ids.to_pylist()], pa.bool_()), pa.array([names[k] if o else "und" for k, o in zip(best, ok)], pa.string()), pa.array(np.clip(score, 0, 1))], ["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array([crc_fold(i, 3) == 1 for i in ids.to_pylist()], pa.bool_()), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
     return id_text(docs).mapInArrow(run, SCHEMA)
+
+
+def accepted(docs: DataFrame, least: float, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows, with all their columns, whose text has a language, with a score of at least least."""
+    net, names = trained(docs, train_rows)
+
+    def run(batches):
+        for b in batches:
+            lang, score = predict(b, net.value, names)
+            yield b.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -1,12 +1,53 @@
-"""Stages of the corpus pipeline. Each takes (spark, docs, sf_dir) and returns a DataFrame."""
+"""Stages of the corpus pipeline. Each takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
+return the columns of documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import bpe, decontaminate, langid, neardup, suffixdedup
 from .common import kept
 
-STAGES: list = []
+#: A text's language must be at least this sure; a text in four languages by equal parts is just rejected.
+LEAST_SCORE = 0.26
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or with no language that is sure enough, go."""
+    return langid.accepted(docs, LEAST_SCORE)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest doc_id stays."""
+    found = kept(neardup.near_duplicates(docs), "near-duplicates")
+    stays = found.where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    out = docs.join(stays, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    if found.groupBy("doc_id").count().where("count > 1").limit(1).count():  # repeated rows are copies, too
+        out = out.dropDuplicates(["doc_id", "text"])
+    return out
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of long strings that also start earlier go; every document stays, maybe empty."""
+    more = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    left = suffixdedup.remove_repeats(docs, True, more).withColumn("n_chars", F.length("text").cast("long"))
+    return left.select(*docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a leak of a benchmark item go."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The tokens of what is left, as counts and digests."""
+    import public_tokenizers
+
+    return bpe.digests(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("language_id", language), ("near_dedup", near_duplicates), ("suffix_dedup", repeats), ("decontamination", decontaminated), ("bpe", tokens)]
 
 
 def run_stages(spark: SparkSession, sf_dir: str, stages: list) -> DataFrame:

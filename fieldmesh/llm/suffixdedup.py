@@ -369,88 +369,89 @@ def copied(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     return surveyed.where("tag = 1").unionByName(compared.where("tag = 1")).unionByName(indexed), [surveyed, compared]
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
+def _numbered(docs: DataFrame, more: tuple[str, ...]) -> DataFrame:
     """docs with a column ord, their place by doc_id (nulls last), then by a hash of the text."""
     spark = docs.sparkSession
+    own = ["doc_id", "text", *more]
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
 
     def number(batches):
         k, part = 0, TaskContext.get().partitionId()
         for b in batches:
             n = len(b)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array([part] * n, pa.int32()), pa.array(np.arange(k, k + n))], ["doc_id", "text", "part", "k"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array([part] * n, pa.int32()), pa.array(np.arange(k, k + n))], [*own, "part", "k"])
             k += n
 
     ranged = docs.withColumn("x", F.xxhash64("text")).repartitionByRange(partitions(spark), F.asc_nulls_last("doc_id"), "x").sortWithinPartitions(F.asc_nulls_last("doc_id"), "x").drop("x")
-    rows = kept(ranged.mapInArrow(number, "doc_id long, text string, part int, k long"), "numbered")
+    rows = kept(ranged.mapInArrow(number, schema + ", part int, k long"), "numbered")
     size = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row for each task
     at, offsets = 0, []
     for p in sorted(size):
         offsets.append((p, at))
         at += size[p]
     if not offsets:
-        return rows.select("doc_id", "text", F.col("k").alias("ord"))
-    return rows.join(F.broadcast(spark.createDataFrame(offsets, "part int, at long")), "part").select("doc_id", "text", (F.col("at") + F.col("k")).alias("ord"))
+        return rows.select(*own, F.col("k").alias("ord"))
+    return rows.join(F.broadcast(spark.createDataFrame(offsets, "part int, at long")), "part").select(*own, (F.col("at") + F.col("k")).alias("ord"))
 
 
-def remove_repeats(docs: DataFrame, with_texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, with_texts: bool = False, more: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row; with_texts adds text, the bytes that are left
-    (characters that a cut left broken are dropped from it)."""
+    (characters that a cut left broken are dropped from it), and the columns named in more."""
+    import zstandard
+
     spark = docs.sparkSession
-    docs = id_text(docs)
+    docs = id_text(docs, *more)
     odd = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count() > 0
-    docs = _numbered(docs) if odd else docs.withColumn("ord", F.col("doc_id"))
+    docs = _numbered(docs, more) if odd else docs.withColumn("ord", F.col("doc_id"))
     spans, _ = copied(docs.select(F.col("ord").alias("doc_id"), "text"))
     nb = partitions(spark) * 2
+    types = dict(docs.dtypes)
+    own = ["doc_id", "ord", *more]
+    names = ["bucket", "tag", "blob", *own]
 
     def place(batches):
-        import zstandard
-
         z = zstandard.ZstdCompressor(level=1)
         for b in batches:
             texts = b.column("text").cast(pa.binary()).to_pylist()
             n = len(b)
-            yield pa.RecordBatch.from_arrays([pa.array(_doc_bucket(b.column("ord").to_numpy(), nb).astype(np.int32)), pa.array([0] * n, pa.int32()), pa.array([z.compress(t or b"") for t in texts], pa.binary()), b.column("doc_id"), b.column("ord")], ["bucket", "tag", "blob", "doc_id", "ord"])
+            yield pa.RecordBatch.from_arrays([pa.array(_doc_bucket(b.column("ord").to_numpy(), nb).astype(np.int32)), pa.array([0] * n, pa.int32()), pa.array([z.compress(t or b"") for t in texts], pa.binary()), *(b.column(c) for c in own)], names)
 
-    placed = docs.mapInArrow(place, BLOBS + ", doc_id long, ord long")
+    placed = docs.mapInArrow(place, ", ".join([BLOBS, *(f"`{c}` {types[c]}" for c in own)]))
 
     def cut(batches):
-        import zstandard
-
         z = zstandard.ZstdDecompressor()
-        spans, rows = [], []
+        spans, held = [], []
         for b in batches:
-            for tag, x, i, o in zip(*(b.column(c).to_pylist() for c in ("tag", "blob", "doc_id", "ord"))):
-                spans.append(x) if tag else rows.append((o, i, x))
+            tag = b.column("tag").to_numpy()
+            spans += b.column("blob").filter(pa.array(tag != 0)).to_pylist()
+            held.append(b.filter(pa.array(tag == 0)))
+        if not held:
+            return
+        rows = pa.Table.from_batches(held).sort_by("ord")
         s = np.frombuffer(b"".join(spans), SPAN)
         s = s[np.lexsort((s["start"], s["doc"]))]
-        rows.sort(key=lambda r: r[0])
-        low = np.searchsorted(s["doc"], [r[0] for r in rows], "left")
-        high = np.searchsorted(s["doc"], [r[0] for r in rows], "right")
-        for k in range(0, len(rows), 1000):
+        low, high = (np.searchsorted(s["doc"], rows.column("ord").to_numpy(), side) for side in ("left", "right"))
+        k = 0
+        for b in rows.to_batches(max_chunksize=1000):
             out = []
-            for (_, i, x), a, e in zip(rows[k : k + 1000], low[k : k + 1000], high[k : k + 1000]):
+            for x, a, e in zip(b.column("blob").to_pylist(), low[k : k + len(b)], high[k : k + len(b)]):
                 text = z.decompress(x)
-                n_spans, at, parts = 0, 0, []
-                open_ = None
-                for p, w in zip(s["start"][a:e].tolist(), s["size"][a:e].tolist()):
-                    if open_ and p <= open_[1]:
-                        open_[1] = max(open_[1], p + w)
-                        continue
-                    if open_:
-                        parts.append(text[at : open_[0]])
-                        at = open_[1]
-                    open_ = [p, p + w]
-                    n_spans += 1
-                if open_:
-                    parts.append(text[at : open_[0]])
-                    at = open_[1]
-                parts.append(text[at:])
-                left = b"".join(parts)
-                out.append((i, len(text), len(text) - len(left), n_spans, hashlib.sha256(left).hexdigest(), *([left.decode(errors="ignore")] * with_texts)))
-            cols = [*zip(*out)]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"][: len(cols)])
-
-    none = F.lit(None).cast("long")
-    both = placed.unionByName(spans.select("bucket", "tag", "blob", none.alias("doc_id"), none.alias("ord")))
-    return both.repartition(partitions(spark), "bucket").mapInArrow(cut, SCHEMA + (", text string" if with_texts else ""))
+                left, n_spans = without(text, s["start"][a:e].tolist(), s["size"][a:e].tolist())
+                out.append((len(text), len(text) - len(left), n_spans, hashlib.sha256(left).hexdigest(), *([left.decode(errors="ignore")] * with_texts)))
+            k += len(b)
+            cols = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols, *(b.column(c) for c in more)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["text"] * with_texts, *more])
+
+    both = placed.unionByName(spans.select("bucket", "tag", "blob", *(F.lit(None).cast(types[c]).alias(c) for c in own)))
+    return both.repartition(partitions(spark), "bucket").mapInArrow(cut, ", ".join([SCHEMA, *["text string"] * with_texts, *(f"`{c}` {types[c]}" for c in more)]))
+
+
+def without(text: bytes, starts: list[int], sizes: list[int]) -> tuple[bytes, int]:
+    """A text without the stretches named (ascending by start, they may overlap), and how many runs went."""
+    parts, at, runs, end = [], 0, 0, -1
+    for p, w in zip(starts, sizes):
+        if p > end:
+            parts.append(text[at:p])
+            runs += 1
+        at = end = max(end, p + w)
+    return b"".join([*parts, text[at:]]), runs
