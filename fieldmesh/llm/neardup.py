@@ -7,9 +7,11 @@ MATCH of them (up to a chance of about 2e-6), so they share a coordinate-value p
 that come first in any one order of such pairs. That order is by how often pairs occur (from a counting sketch of
 fixed size), rarest first, so frequent pairs are posted only by nodes that have little else.
 
-A posting list links its members to its least one: tasks link within their own nodes first and pass on one member for
-each pair, so a frequent pair is no hot key. Nodes that such links connect form a cluster, which holds every pair that
-shares a posted pair. Within a cluster (in blocks of BLOCK nodes, every two blocks together) signatures of all pairs
+Posts carry the signature's low half-bytes. Members of a posting list whose half-bytes agree in at least MATCH places
+(whatever coordinates agree, their half-bytes do, so no match is lost) are linked. A list with more than WHOLE members
+within a task, or LIST in all, is linked as a whole, which loses nothing either; of the former a task passes on one
+member, so a frequent pair is no hot key. Nodes that links connect form a cluster, which so holds every pair that may
+match. Within a cluster (in blocks of BLOCK nodes, every two blocks together) signatures of all pairs
 are matched at once, pairs that agree in at least MATCH coordinates and are not yet connected are confirmed on their
 full sets (100 * intersection >= 75 * union), and only links that connect something new are passed on. Components of
 those links are the answer; no pair of a large group is written out.
@@ -32,8 +34,10 @@ from .graph import components
 SHINGLE, COORDINATES, MATCH = 5, 64, 32
 #: Cells of the counting sketch, bits of the filter of wanted documents, nodes of a block.
 SKETCH, WANTED_BITS, BLOCK = 1 << 20, 1 << 27, 1024
+WHOLE, LIST = 2_000, 8_000
 REMEMBERED = 250_000
-POST = np.dtype([("key", "<i8"), ("node", "<i8")])
+POST = np.dtype([("key", "<i8"), ("node", "<i8"), ("whole", "u1"), ("low", "u1", (COORDINATES // 2,))])
+LINK = np.dtype([("u", "<i8"), ("v", "<i8")])
 SCHEMA = "doc_id long, n_shingles long, component_id long, kept boolean"
 
 _multiply = mix64(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -135,71 +139,131 @@ def _sketch(nodes: DataFrame) -> np.ndarray:
     return np.minimum(out, (1 << 23) - 1)
 
 
-def _starred(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Members in order by key, the least member of each one's list, and which are that."""
-    order = np.lexsort((node, key))
-    key, node = key[order], node[order]
-    first = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-    at = np.flatnonzero(first)
-    return order, node[np.repeat(at, np.diff(np.append(at, len(key))))], first
+def _half_bytes(sig: np.ndarray) -> np.ndarray:
+    low = (sig & np.uint32(15)).astype(np.uint8)
+    return low[:, 0::2] | (low[:, 1::2] << 4)
+
 
+def _lists(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posts in order by pair and node, and where each list of two or more begins and ends."""
+    order = np.lexsort((node, key))
+    key = key[order]
+    cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, int)
+    many = np.diff(cut) > 1
+    return order, cut[:-1][many], cut[1:][many]
+
+
+_both = np.array([(x & 15 == 0) + (x >> 4 == 0) for x in range(256)], np.uint8)
+
+
+def _alike(low: np.ndarray, whole: np.ndarray) -> list[tuple[int, int]]:
+    """Links within a posting list, in numbers of its members."""
+    n = len(low)
+    if n > LIST or whole.any():  # a member that stands for a whole list is linked with all
+        return [(i, 0) for i in range(1, n)]
+    root = np.arange(n)
+    for i in range(n - 1):
+        rest = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
+        if len(rest):
+            hit = rest[_both[low[rest] ^ low[i]].sum(1) >= MATCH]
+            if len(hit):
+                joined = np.unique(np.append(root[hit], root[i]))
+                root[np.isin(root, joined)] = joined[0]
+    return [(i, int(r)) for i, r in enumerate(root.tolist()) if r != i]
+
+
+def _stars(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Links as few: each node of a component of these links with one of it."""
+    root: dict[int, int] = {}
+
+    def find(i):
+        while (r := root.setdefault(i, i)) != i:
+            root[i] = i = root[r]
+        return i
 
-def _distinct(node: np.ndarray, to: np.ndarray) -> np.ndarray:
-    keep = node != to
-    return np.unique(packed(POST, node[keep], to[keep]))
+    for a, b in zip(u.tolist(), v.tolist()):
+        a, b = find(a), find(b)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+    out = [(i, find(i)) for i in [*root]]
+    return np.array([x for x in out if x[0] != x[1]], LINK)
 
 
 def links(nodes: DataFrame) -> DataFrame:
-    """u, v: members of posting lists with the least of their list."""
+    """u, v: links between members of posting lists that may match."""
     spark = nodes.sparkSession
     nb = partitions(spark) * 2
     often = spark.sparkContext.broadcast(_sketch(nodes))
 
     def post(batches):
-        held_k, held_n = [], []
+        held = []
         for b in batches:
             if not len(b):
                 continue
-            key = _keys(_matrix(b.column("sig")))
+            sig = _matrix(b.column("sig"))
+            key = _keys(sig)
             rank = (often.value[(key & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(40)) | (key >> np.uint64(24))
-            prefix = np.argpartition(rank, COORDINATES - MATCH, 1)[:, : COORDINATES - MATCH + 1]
-            held_k.append(np.take_along_axis(key, prefix, 1).astype(np.int64).ravel())
-            held_n.append(np.repeat(b.column("node").to_numpy(), COORDINATES - MATCH + 1))
-            if sum(map(len, held_k)) > 4_000_000:
-                yield from out(held_k, held_n)
-                held_k, held_n = [], []
-        if held_k:
-            yield from out(held_k, held_n)
-
-    def out(keys, members):
-        key, node = np.concatenate(keys), np.concatenate(members)
-        order, least, first = _starred(key, node)
-        own = _distinct(node[order], least)
-        yield from dealt(own, np.zeros(len(own), int), 1)
-        one = order[first]
-        yield from dealt(packed(POST, key[one], node[one]), (mix64(key[one]) % np.uint64(nb)).astype(np.int64), 0)
-
-    posts = kept(nodes.select("node", "sig").mapInArrow(post, BLOBS), "posts")
+            posted = COORDINATES - MATCH + 1
+            prefix = np.argpartition(rank, posted - 1, 1)[:, :posted]
+            x = np.zeros(len(b) * posted, POST)
+            x["key"] = np.take_along_axis(key, prefix, 1).astype(np.int64).ravel()
+            x["node"] = np.repeat(b.column("node").to_numpy(), posted)
+            x["low"] = np.repeat(_half_bytes(sig), posted, 0)
+            held.append(x)
+            if sum(map(len, held)) > 1_500_000:
+                yield from out(held)
+                held = []
+        if held:
+            yield from out(held)
+
+    def out(held):
+        x = np.concatenate(held)
+        order, begin, end = _lists(x["key"], x["node"])
+        x = x[order]
+        keep = np.ones(len(x), bool)
+        found = []
+        for a, e in zip(begin.tolist(), end.tolist()):
+            if e - a > WHOLE:
+                found.append(packed(LINK, x["node"][a + 1 : e], np.full(e - a - 1, x["node"][a])))
+                keep[a + 1 : e] = False
+                x["whole"][a] = 1
+        yield from told(found)
+        x = x[keep]
+        yield from dealt(x, (mix64(x["key"]) % np.uint64(nb)).astype(np.int64), 0)
+
+    def told(found):
+        if found:
+            x = np.concatenate(found)
+            x = _stars(x["u"], x["v"])
+            yield from dealt(x, np.zeros(len(x), int), 1)
 
     def meet(batches):
-        x = gathered(batches, {0: POST})[0]
-        order, least, _ = _starred(x["key"], x["node"])
-        got = _distinct(x["node"][order], least)
-        yield from dealt(got, np.zeros(len(got), int), 1)
+        got = gathered(batches, {0: POST, 1: LINK})
+        x = got[0]
+        order, begin, end = _lists(x["key"], x["node"])
+        found = [got[1]]
+        node, low, whole = x["node"][order], x["low"], x["whole"]
+        for a, e in zip(begin.tolist(), end.tolist()):
+            own = order[a:e]
+            links = _alike(low[own], whole[own])
+            if links:
+                i, j = np.array(links).T
+                found.append(packed(LINK, node[a + i], node[a + j]))
+        yield from told(found)
 
     def rows(batches):
         for b in batches:
             for x in b.column("blob").to_pylist():
-                x = np.frombuffer(x, POST)
+                x = np.frombuffer(x, LINK)
                 for i in range(0, len(x), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x["key"][i : i + 50_000]), pa.array(x["node"][i : i + 50_000])], ["u", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x["u"][i : i + 50_000]), pa.array(x["v"][i : i + 50_000])], ["u", "v"])
 
-    met = posts.where("tag = 0").repartition(partitions(spark), "bucket").mapInArrow(meet, BLOBS)
-    return posts.where("tag = 1").unionByName(met).mapInArrow(rows, "u long, v long").distinct()
+    met = nodes.select("node", "sig").mapInArrow(post, BLOBS).repartition(partitions(spark), "bucket").mapInArrow(meet, BLOBS)
+    return met.mapInArrow(rows, "u long, v long").distinct()
 
 
 def _confirmed(node: np.ndarray, sig: np.ndarray, sets: list[bytes], half: np.ndarray) -> list[tuple[int, int]]:
-    """Links that connect the nodes of one or two blocks (half: 0 or 1; with two, only pairs across are looked at)."""
+    """Links, as stars, that connect the nodes of one or two blocks (half: 0 or 1; with two, only pairs across are looked at)."""
     n = len(node)
     arrays = [np.frombuffer(s, np.uint64) for s in sets]
     size = np.array([len(a) for a in arrays])
@@ -224,7 +288,6 @@ def _confirmed(node: np.ndarray, sig: np.ndarray, sets: list[bytes], half: np.nd
             i = root[i]
         return i
 
-    found = []
     two = half.any() and not half.all()
     for i in range(n):
         rest = np.flatnonzero(half[i + 1 :] != half[i]) + i + 1 if two else np.arange(i + 1, n)
@@ -243,8 +306,7 @@ def _confirmed(node: np.ndarray, sig: np.ndarray, sets: list[bytes], half: np.nd
             both = (bits(i) & bits(j)).bit_count()
             if 100 * both >= 75 * (int(size[i]) + int(size[j]) - both):
                 root[max(a, b)] = min(a, b)
-                found.append((int(node[i]), int(node[j])))
-    return found
+    return [(int(node[i]), int(node[r])) for i in range(n) if (r := find(i)) != i]
 
 
 def confirmed(docs: DataFrame, nodes: DataFrame, clusters: DataFrame) -> DataFrame:
