@@ -44,7 +44,7 @@ TOGETHER = 50_000
 HELD = 3_000_000
 SEGMENT = np.dtype([("anchor", "<u8"), ("kind", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("size", "u1")])
 SPAN = np.dtype([("doc", "<i8"), ("start", "<i4"), ("size", "<i4")])
-PIECE = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("size", "u1"), ("bytes", f"V{LENGTH + SPREAD}")])
+PIECE = np.dtype([("anchor", "<u8"), ("kind", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("size", "u1"), ("bytes", f"V{LENGTH + SPREAD}")])
 ONE = np.dtype([("doc", "<i8"), ("start", "<i4"), ("size", "<i4")])
 STRING = np.dtype([("anchor", "<u8"), ("hash", "<u8"), ("doc", "<i8"), ("start", "<i4")])
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -130,7 +130,7 @@ def suffix_order(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
     key = np.ndarray((n,), ">u8", padded, 0, (1,)).astype(np.uint64)
     over = np.minimum(ends - np.arange(n), 8)  # bytes beyond the part's end don't count
     key &= np.where(over >= 8, np.uint64(0xFFFFFFFFFFFFFFFF), ~((np.uint64(1) << (np.uint64(64) - np.uint64(8) * np.minimum(over, 7).astype(np.uint64))) - np.uint64(1)) * (over > 0))
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     k = key[order]
     rank = np.empty(n, np.int64)
     # a rank is the number of smaller suffixes, which leaves room for telling equals apart
@@ -138,30 +138,30 @@ def suffix_order(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
     rank[order] = np.maximum.accumulate(np.where(np.concatenate([[True], k[1:] != k[:-1]]), place, 0))
     stop = np.flatnonzero(text == 0)
     rank[stop] = np.arange(len(stop))  # terminators differ, by part
+    order[: len(stop)] = stop
     width = 8
-    todo = np.arange(n)
-    while len(todo):
+    todo = order
+    while True:
         # only suffixes that share their rank so far are told apart further
         r = rank[todo]
-        order = np.argsort(r, kind="stable")
-        todo, r = todo[order], r[order]
         tie = np.zeros(len(r), bool)
         tie[1:] = r[1:] == r[:-1]
         tie[:-1] |= tie[1:].copy()
         todo, r = todo[tie], r[tie]
         if not len(todo):
             break
-        second = rank[np.minimum(todo + width, ends[todo])]
-        order = np.lexsort((second, r))
-        todo, r, second = todo[order], r[order], second[order]
-        group = np.concatenate([[True], r[1:] != r[:-1]])
-        differ = group | np.concatenate([[True], second[1:] != second[:-1]])
+        both = r * n + rank[np.minimum(todo + width, ends[todo])]
+        order = np.argsort(both)
+        todo, both = todo[order], both[order]
+        r = both // n
         place = np.arange(len(r))
-        start = np.maximum.accumulate(np.where(group, place, 0))
-        head = np.maximum.accumulate(np.where(differ, place, 0))
-        rank[todo] = r + (head - start)
+        group = np.maximum.accumulate(np.where(np.concatenate([[True], r[1:] != r[:-1]]), place, 0))
+        head = np.maximum.accumulate(np.where(np.concatenate([[True], both[1:] != both[:-1]]), place, 0))
+        rank[todo] = r + (head - group)
         width *= 2
-    return np.argsort(rank, kind="stable")
+    order = np.empty(n, np.int64)
+    order[rank] = np.arange(n)
+    return order
 
 
 class RunIndex:
@@ -286,7 +286,7 @@ def copied(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     shared = spark.sparkContext.broadcast((filter_, np.sort(frequent)))
 
     def fetch(batches):
-        held, plain, strings = [], [], []
+        held, strings = [], []
         marks, hot = shared.value
         for data, off, doc, row, start, size, anchor, kind in _found(batches):
             cell = (anchor % np.uint64(bits)).astype(np.int64)
@@ -310,13 +310,12 @@ def copied(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
             padded = np.concatenate([data, np.zeros(LENGTH + SPREAD, np.uint8)])
             at = start[some]
             raw = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, LENGTH + SPREAD)[at]).view(f"V{LENGTH + SPREAD}").ravel()
-            plain.append(packed(SEGMENT, anchor[some], kind[some], doc[some], at - off[row[some]], size[some]))
-            held.append(packed(PIECE, anchor[some], doc[some], at - off[row[some]], size[some], raw))
+            held.append(packed(PIECE, anchor[some], kind[some], doc[some], at - off[row[some]], size[some], raw))
             if sum(map(len, held)) > 200_000:
-                yield from sent(held, plain)
-                held, plain = [], []
+                yield from sent(held)
+                held = []
         if held:
-            yield from sent(held, plain)
+            yield from sent(held)
         if strings:
             yield from strung(strings)
 
@@ -333,11 +332,9 @@ def copied(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         x = x[~again]
         yield from dealt(x, (mix64(x["hash"]) % np.uint64(nb)).astype(np.int64), 5)
 
-    def sent(held, plain):
-        x, s = np.concatenate(held), np.concatenate(plain)
-        order = np.lexsort((s["start"], s["doc"], s["kind"], s["anchor"]))
-        _, first = _earliest(s)
-        x = x[order[first]]
+    def sent(held):
+        x, first = _earliest(np.concatenate(held))
+        x = x[first]
         yield from dealt(x, (mix64(x["anchor"]) % np.uint64(nb)).astype(np.int64), 3)
 
     def index(batches):
@@ -348,7 +345,8 @@ def copied(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         x = got[3]
         if not len(x):
             return
-        x = x[np.lexsort((x["start"], x["doc"], x["anchor"]))]
+        x, first = _earliest(x)  # later ones of a kind are known as copies
+        x = x[first]
         cuts = np.flatnonzero(np.concatenate([[True], x["anchor"][1:] != x["anchor"][:-1]]))
         portion, size = [], 0
         for a, b in zip(cuts, [*cuts[1:], len(x)]):
