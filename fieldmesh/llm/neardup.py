@@ -33,7 +33,7 @@ from .graph import components
 
 SHINGLE, COORDINATES, MATCH = 5, 64, 32
 #: Cells of the counting sketch, bits of the filter of wanted documents, nodes of a block.
-SKETCH, WANTED_BITS, BLOCK = 1 << 20, 1 << 27, 1024
+SKETCH, WANTED_BITS, BLOCK = 1 << 20, 1 << 27, 512
 WHOLE, LIST = 2_000, 8_000
 REMEMBERED = 250_000
 POST = np.dtype([("key", "<i8"), ("node", "<i8"), ("whole", "u1"), ("low", "u1", (COORDINATES // 2,))])
@@ -210,7 +210,7 @@ def links(nodes: DataFrame) -> DataFrame:
             x["node"] = np.repeat(b.column("node").to_numpy(), posted)
             x["low"] = np.repeat(_half_bytes(sig), posted, 0)
             held.append(x)
-            if sum(map(len, held)) > 1_500_000:
+            if sum(map(len, held)) > 300_000:
                 yield from out(held)
                 held = []
         if held:
