@@ -22,16 +22,16 @@ def transitions(spark, table: dict[str, list[str]] | None = None) -> DataFrame:
 
 
 def checked(events: DataFrame, legal: DataFrame) -> DataFrame:
-    """Events (run, at, seq, state) with the state before and whether the step is legal; a first event is."""
-    before = F.lag("state").over(Window.partitionBy("run").orderBy("at", "seq"))
+    """Events (run, moment, seq, state) with the state before and whether the step is legal; a first event is."""
+    before = F.lag("state").over(Window.partitionBy("run").orderBy("moment", "seq"))
     rows = events.withColumn("before", before)
     known = legal.withColumn("_ok", F.lit(True))
-    return rows.join(F.broadcast(known), ["before", "state"], "left").withColumn("legal", F.col("before").isNull() | (F.col("before") == F.col("state")) | F.coalesce("_ok", F.lit(False))).select("run", "at", "seq", "before", "state", "legal")
+    return rows.join(F.broadcast(known), ["before", "state"], "left").withColumn("legal", F.col("before").isNull() | (F.col("before") == F.col("state")) | F.coalesce("_ok", F.lit(False))).select("run", "moment", "seq", "before", "state", "legal")
 
 
 def latest(events: DataFrame) -> DataFrame:
     """run, state, revision: a pre-aggregated argmax, so a busy run is no hot group."""
-    return events.groupBy("run").agg(F.max_by("state", F.struct("at", "seq")).alias("state"), F.count("*").alias("revision"))
+    return events.groupBy("run").agg(F.max_by("state", F.struct("moment", "seq")).alias("state"), F.count("*").alias("revision"))
 
 
 def to_resume(wanted: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
@@ -48,5 +48,5 @@ def admission(queue: DataFrame, capacity: int) -> DataFrame:
 
 def windowed_counts(events: DataFrame, size: str, late: str | None = None) -> DataFrame:
     """Events by window and state; on a stream, late sets the watermark."""
-    rows = events.withWatermark("at", late) if late and events.isStreaming else events
-    return rows.groupBy(F.window("at", size).alias("w"), "state").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "state", "n")
+    rows = events.withWatermark("moment", late) if late and events.isStreaming else events
+    return rows.groupBy(F.window("moment", size).alias("w"), "state").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "state", "n")
