@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fieldmesh.functions.order_stats import median
 
@@ -76,17 +77,13 @@ def greedy_by_distance(df: DataFrame, block: str, radius: float, most: int = 200
     return df.groupBy(block).applyInPandas(pick, df.schema)
 
 
-def balanced_tracks(obs: DataFrame, grid: int, limit: int, most: int = 1_000_000) -> DataFrame:
-    """image, track kept: cells of an image take turns, each its longest track first (ties by track), until limit are taken."""
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most:
-            raise ValueError("an image has more tracks than a group may hold")
-        pdf = pdf.sort_values(["length", "track"], ascending=[False, True])
-        pdf["turn"] = pdf.groupby("cell").cumcount()
-        return pdf.sort_values(["turn", "cell"]).head(limit)[["image", "track"]]
-
-    return obs.groupBy("image").applyInPandas(fill, "image long, track long")
+def balanced_tracks(obs: DataFrame, limit: int) -> DataFrame:
+    """image, track kept: cells of an image take turns, each its longest track first (ties by track), until limit are taken.
+    A cell's tracks beyond the limit can't be taken, so they are left out before the turns are ordered."""
+    turn = F.row_number().over(Window.partitionBy("image", "cell").orderBy(F.desc("length"), "track"))
+    some = obs.withColumn("turn", turn).where(F.col("turn") <= limit)
+    place = F.row_number().over(Window.partitionBy("image").orderBy("turn", "cell"))
+    return some.withColumn("place", place).where(F.col("place") <= limit).select("image", "track")
 
 
 def triangulated(obs: DataFrame) -> DataFrame:

@@ -855,10 +855,17 @@ def greedy_dedupe(spark, d):
     return solvers.greedy_by_distance(table(spark, d, "points").withColumn("block", F.floor(F.col("x") / 10)), "block", 3.0).select("id")
 
 
-@query("w07_track_selection")
+TURNS = "t AS (SELECT image, track, feature % 16 AS cell, track % 7 AS length FROM (SELECT image, track, min(feature) AS feature FROM obs GROUP BY 1, 2)), u AS (SELECT *, row_number() OVER (PARTITION BY image, cell ORDER BY length DESC, track) AS turn FROM t), w AS (SELECT image, track FROM u QUALIFY row_number() OVER (PARTITION BY image ORDER BY turn, cell) <= 50)"
+
+
+def _balanced(spark, d):
+    o = table(spark, d, "obs").groupBy("image", "track").agg(F.min("feature").alias("feature"))
+    return solvers.balanced_tracks(o.select("image", "track", (F.col("feature") % 16).alias("cell"), (F.col("track") % 7).alias("length")), 50)
+
+
+@query("w07_track_selection", f"WITH {TURNS} SELECT image, track FROM w")
 def track_selection(spark, d):
-    o = table(spark, d, "obs").select("image", "track", (F.col("feature") % 16).alias("cell"), (F.col("track") % 7).alias("length")).dropDuplicates(["image", "track"])
-    return solvers.balanced_tracks(o, 4, 50)
+    return _balanced(spark, d)
 
 
 @query("n01_similarity_fit")

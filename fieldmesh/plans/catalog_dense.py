@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldmesh.functions import scalars
-from fieldmesh.operators import aggregates, dense, filters, graph, grid, joins, mesh, pairs, planning, solvers
-from fieldmesh.plans.catalog import DIST, FULL, SCORES, SHARED, _scores, query, rounded
+from fieldmesh.operators import aggregates, dense, filters, graph, grid, joins, mesh, pairs, planning
+from fieldmesh.plans.catalog import DIST, FULL, SCORES, SHARED, TURNS, _balanced, _scores, query, rounded
 from fieldmesh.plans.standins import table
 from fieldmesh.sources import formats
 
@@ -42,7 +42,11 @@ def left_right(spark, d):
     return dense.left_right_check(s.groupBy("r", "c").agg((F.max("tile") % 3).alias("d")), s.groupBy("r", "c").agg((F.min("tile") % 3).alias("d")), 1)
 
 
-@query("w11_speckles")
+@query(
+    "w11_speckles",
+    """WITH RECURSIVE s0 AS (SELECT r, c, count(*) % 10 AS d FROM samples GROUP BY r, c), e AS (SELECT a.r AS r, a.c AS c, b.r AS r2, b.c AS c2 FROM s0 a JOIN s0 b ON abs(a.r - b.r) + abs(a.c - b.c) = 1 AND abs(a.d - b.d) <= 2),
+    p AS (SELECT r, c, r AS r2, c AS c2 FROM s0 UNION SELECT p.r, p.c, e.r2, e.c2 FROM p JOIN e ON p.r2 = e.r AND p.c2 = e.c) SELECT s0.r, s0.c, s0.d FROM s0 JOIN p ON s0.r = p.r AND s0.c = p.c GROUP BY 1, 2, 3 HAVING count(*) >= 4""",
+)
 def speckles(spark, d):
     return dense.speckles(table(spark, d, "samples").groupBy("r", "c").agg((F.count("*") % 10).alias("d")), 2, 4)
 
@@ -261,11 +265,9 @@ def spatial_network(spark, d):
     return near.where("(a_id + b_id) % 3 <> 0").select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
 
 
-@query("g05_thinned_tracks")
+@query("g05_thinned_tracks", f"WITH {TURNS} SELECT x.image AS a, y.image AS b, count(*) AS n FROM w x JOIN w y ON x.track = y.track AND x.image < y.image GROUP BY 1, 2")
 def thinned_tracks(spark, d):
-    o = table(spark, d, "obs")
-    kept = solvers.balanced_tracks(o.select("image", "track", (F.col("feature") % 16).alias("cell"), (F.col("track") % 7).alias("length")).dropDuplicates(["image", "track"]), 4, 50)
-    return joins.shared_tracks(kept)
+    return joins.shared_tracks(_balanced(spark, d))
 
 
 @query("n24_descriptor_nn", "SELECT a.id AS a_id, min_by(b.id, (list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))), b.id)) AS b_id FROM (SELECT * FROM vectors WHERE id % 10 = 0) a, (SELECT * FROM vectors WHERE id % 10 <> 0) b GROUP BY a.id")

@@ -39,5 +39,6 @@ def sql(text: str) -> str:
     body = ", ".join(f"{n} AS (" + re.sub(r"[{](\w+)[}]", r"\1", TABLES[n]) + ")" for n in used)
     if not used:
         return text
-    rest = re.sub(r"^\s*WITH\s+", "", text)
-    return f"WITH {body}, {rest}" if rest != text else f"WITH {body} {text}"
+    rest = re.sub(r"^\s*WITH\s+(RECURSIVE\s+)?", "", text)
+    recursive = "RECURSIVE " if re.match(r"\s*WITH\s+RECURSIVE\b", text) else ""
+    return f"WITH {recursive}{body}, {rest}" if rest != text else f"WITH {body} {text}"
