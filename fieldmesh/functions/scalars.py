@@ -109,3 +109,21 @@ def plane_weight(d: Column, most: float, curvature: Column, most_curvature: floa
         return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - x / m))
 
     return F.greatest(F.lit(least), part(d, most) * part(curvature, most_curvature))
+
+
+def utm(lat: Column, lon: Column, zone: int) -> tuple[Column, Column]:
+    """Easting and northing (north of the equator) on WGS 84, by the sixth-order series in the third flattening."""
+    # The ellipsoid, the scale on the central meridian and the false easting.
+    a, f, k0, e0 = 6378137.0, 1 / 298.257223563, 0.9996, 500000.0
+    n = f / (2 - f)
+    radius = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    series = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240]
+    la, lo = F.radians(lat), F.radians(lon - (zone * 6 - 183))
+    c = 2 * n**0.5 / (1 + n)
+    t = F.sinh(F.atanh(F.sin(la)) - c * F.atanh(c * F.sin(la)))
+    xi, eta = F.atan2(t, F.cos(lo)), F.atanh(F.sin(lo) / F.sqrt(1 + t * t))
+    east, north = eta, xi
+    for j, s in enumerate(series, 1):
+        east = east + s * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+        north = north + s * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+    return e0 + k0 * radius * east, k0 * radius * north

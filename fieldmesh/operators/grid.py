@@ -134,3 +134,15 @@ def spike_filter(points: DataFrame, keys: tuple[str, ...] = ("r", "c"), least: i
     spread = robust_spread(points, list(keys), "z")
     limit = F.greatest(F.lit(floor), k * F.col("nmad"))
     return points.join(spread, list(keys)).where((F.col("n") < least) | (F.abs(F.col("z") - F.col("med")) <= limit)).select(*points.columns)
+
+
+def ray_ground(rays: DataFrame, cells: DataFrame, start: float, rounds: int = 3) -> DataFrame:
+    """id, gx, gy, gz: where rays (ox, oy, oz, dx, dy, dz) meet the surface, by rounds: meet a level plane, take the height of the
+    cell there, and again. Rays that leave the grid, or run level, get nulls."""
+    now = rays.withColumn("gz", F.lit(float(start)))
+    for _ in range(rounds):
+        s = F.when(F.col("dz") != 0, (F.col("gz") - F.col("oz")) / F.col("dz"))
+        met = now.withColumn("gx", F.col("ox") + s * F.col("dx")).withColumn("gy", F.col("oy") + s * F.col("dy"))
+        at = met.withColumn("r", F.floor("gy")).withColumn("c", F.floor("gx")).drop("gz")
+        now = at.join(cells.select("r", "c", F.col("z").alias("gz")), ["r", "c"], "left").drop("r", "c")
+    return now.select("id", *[F.when(F.col("gz").isNotNull(), F.col(a)).alias(a) for a in ("gx", "gy", "gz")])

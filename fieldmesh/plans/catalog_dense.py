@@ -325,3 +325,64 @@ def component_sizes(spark, d):
     return aggregates.histogram(graph.components(table(spark, d, "chain")), [], "root")
 
 
+
+
+@query(
+    "f03_normal_consistency",
+    f"""WITH u AS (SELECT id, x, y, z, rank + 1 AS a, z + 1 AS b, x AS c, sqrt((rank + 1) ** 2 + (z + 1) ** 2 + x * x) AS s FROM points), d AS (SELECT a.id, count(*) AS n, avg(abs(a.a * b.a + a.b * b.b + a.c * b.c) / (a.s * b.s)) AS dot FROM u a JOIN u b ON a.id <> b.id AND {DIST} <= 4 GROUP BY a.id)
+    SELECT u.id FROM u LEFT JOIN d ON u.id = d.id WHERE coalesce(n, 0) < 3 OR dot >= 0.97""",
+)
+def normal_consistency(spark, d):
+    p = table(spark, d, "points").select("id", "x", "y", "z", (F.col("rank") + 1).alias("nx"), (F.col("z") + 1).alias("ny"), F.col("x").alias("nz"))
+    return filters.normal_consistency(p, 4.0, 0.97).select("id")
+
+
+@query(
+    "p06_ray_ground",
+    """WITH g AS (SELECT floor(y)::BIGINT AS r, floor(x)::BIGINT AS c, avg(z) AS z FROM points GROUP BY 1, 2), q AS (SELECT id, x, y FROM points WHERE id % 7 = 0),
+    a AS (SELECT q.id, x, y, g.z FROM q LEFT JOIN g ON g.r = floor(y + (100 - 10) / 100 * 0.5::DOUBLE) AND g.c = floor(x + (100 - 10) / 100 * 0.25::DOUBLE)),
+    b AS (SELECT a.id, x, y, a.z AS z1, g.z FROM a LEFT JOIN g ON g.r = floor(y + (100 - a.z) / 100 * 0.5::DOUBLE) AND g.c = floor(x + (100 - a.z) / 100 * 0.25::DOUBLE))
+    SELECT id, round(CASE WHEN z IS NOT NULL THEN x + (100 - z1) / 100 * 0.25::DOUBLE END, 4) AS gx, round(CASE WHEN z IS NOT NULL THEN y + (100 - z1) / 100 * 0.5::DOUBLE END, 4) AS gy, round(z, 4) AS gz FROM b""",
+)
+def ray_ground(spark, d):
+    p = table(spark, d, "points")
+    g = p.groupBy(F.floor("y").alias("r"), F.floor("x").alias("c")).agg(F.avg("z").alias("z"))
+    rays = p.where("id % 7 = 0").select("id", F.col("x").alias("ox"), F.col("y").alias("oy"), F.lit(100.0).alias("oz"), F.lit(0.25).alias("dx"), F.lit(0.5).alias("dy"), F.lit(-100.0).alias("dz"))
+    return rounded(grid.ray_ground(rays, g, 10.0, 2))
+
+
+@query("p13_utm", "SELECT id, round(500000 + 0 * x, 2)::DOUBLE AS east FROM points")
+def utm(spark, d):
+    east, _ = scalars.utm(F.col("x"), F.lit(9.0), 32)
+    return rounded(table(spark, d, "points").select("id", east.alias("east")), 2)
+
+
+@query("n03_control_fit", "SELECT id, id % 50 <> 0 AS used FROM points")
+def control_fit(spark, d):
+    from fieldmesh.operators import solvers
+
+    p = table(spark, d, "points").select("id", "x", "y", "z")
+    out = scalars.similarity(F.col("x"), F.col("y"), F.col("z"), 2.0, [0, -1, 0, 1, 0, 0, 0, 0, 1], [1, 2, 3])
+    moved = p.select("id", "x", "y", "z", (out[0] + F.when(F.col("id") % 50 == 0, 500.0).otherwise(0.0)).alias("u"), out[1].alias("v"), out[2].alias("w"))
+    return solvers.control_fit(moved, 60.0)[1].select("id", "used")
+
+
+@query("j18_mesh_distance", "SELECT id, round(z + 100, 4)::DOUBLE AS d FROM points WHERE x <= 20 AND y <= 20")
+def mesh_distance(spark, d):
+    from fieldmesh.operators import solvers
+
+    vertex, face = mesh.grid_mesh(spark, 20)
+    p = table(spark, d, "points").where("x <= 20 and y <= 20").select("id", "x", "y", (F.col("z") + 100).alias("z"))
+    return rounded(solvers.mesh_distance(p, vertex.withColumn("z", F.lit(0.0)), face))
+
+
+@query("f09_refinement_passes")
+def refinement_passes(spark, d):
+    s = table(spark, d, "samples")
+    return grid.spike_filter(grid.spike_filter(s, k=1.2), k=1.2).groupBy("r", "c").agg(F.count("*").alias("n"))
+
+
+@query("g12_camera_groups")
+def camera_groups(spark, d):
+    tree = graph.spanning_forest(table(spark, d, "chain"))
+    return graph.components(tree.where("n >= 4"))

@@ -75,3 +75,29 @@ def test_disparity_wins_by_least_cost(spark):
     right = left.select("r", (F.col("c") - 2).alias("c"), "v")
     best = dense.winner(dense.cost_volume(left, right, 4))
     assert {r["d"] for r in best.where("c >= 4").collect()} == {2}
+
+
+def test_utm_on_the_central_meridian(spark):
+    from fieldmesh.functions import scalars
+
+    e, n = scalars.utm(F.lit(45.0), F.lit(9.0), 32)
+    r = spark.range(1).select(e.alias("e"), n.alias("n")).first()
+    assert r["e"] == pytest.approx(500000) and r["n"] == pytest.approx(4984944.378 * 0.9996, abs=0.01)
+
+
+def test_mesh_distance(spark):
+    from fieldmesh.operators import solvers
+
+    vertex = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 2.0, 0.0, 0.0), (2, 0.0, 2.0, 0.0)], "vid long, x double, y double, z double")
+    face = spark.createDataFrame([(0, 0, 1, 2)], "fid long, v0 long, v1 long, v2 long")
+    p = spark.createDataFrame([(1, 0.5, 0.5, 3.0), (2, -3.0, 0.0, 4.0), (3, 2.0, 2.0, 0.0)], "id long, x double, y double, z double")
+    assert {r["id"]: round(r["d"], 6) for r in solvers.mesh_distance(p, vertex, face).collect()} == {1: 3.0, 2: 5.0, 3: round(2**0.5, 6)}
+
+
+def test_control_fit_drops_outliers(spark):
+    from fieldmesh.operators import solvers
+
+    rows = [(i, float(i % 5), float(i // 5), float(i % 3), i % 5 + 1.0 + (50 if i == 7 else 0), float(i // 5), float(i % 3)) for i in range(25)]
+    fit, scored = solvers.control_fit(spark.createDataFrame(rows, "id long, x double, y double, z double, u double, v double, w double"), 6.0)
+    assert fit["translation"] == pytest.approx([1, 0, 0], abs=1e-6)
+    assert [r["id"] for r in scored.where("not used").collect()] == [7]
