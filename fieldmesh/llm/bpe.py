@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import id_text, texts_of
+from .common import id_text, lean, texts_of
 
 #: Fixed value: Unicode white space as the tokenizer's pattern has it.
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -228,6 +228,7 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (binary: little-endian unsigned 32-bit) and decoded text of every row."""
     spec = docs.sparkSession.sparkContext.broadcast(load_spec(path))
 
+    @lean
     def run(batches):
         e = Encoder(spec.value)
         for b in batches:
@@ -241,6 +242,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     """tokenized() reduced to counts and SHA-256 digests where the rows are, so that no tokens travel."""
     spec = docs.sparkSession.sparkContext.broadcast(load_spec(path))
 
+    @lean
     def run(batches):
         e = Encoder(spec.value)
         for b in batches:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, mix64, pieces
+from .common import id_text, lean, mix64, pieces
 
 #: Edits a leak may have for each word of an item; repetitions and sampled places of the LSH.
 EDITS, REPEATS, SAMPLED = 0.25, 32, 2
@@ -206,6 +206,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     def passed(rows) -> DataFrame:
         shared = spark.sparkContext.broadcast(rows)
 
+        @lean
         def run(batches):
             items = Items(shared.value)
             for b in batches:
@@ -238,6 +239,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     def passed(docs: DataFrame, rows) -> DataFrame:
         shared = spark.sparkContext.broadcast(rows)
 
+        @lean
         def run(batches):
             items = Items(shared.value)
             for b in batches:

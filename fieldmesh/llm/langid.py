@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, fold_column, id_text, pieces
+from .common import crc_fold, fold_column, id_text, lean, pieces
 
 WINDOW, DIM, FILTERS, WIDTHS = 128, 8, 16, (2, 3, 4, 5)
 #: Labelled rows that training takes at most (those first by a hash of their id), and windows from each.
@@ -112,6 +112,7 @@ def sample_windows(docs: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray,
         return np.zeros((0, WINDOW), np.uint8), np.zeros(0, int), []
     wanted = spark.sparkContext.broadcast({int(i): names.index(x) for i, x in zip(chosen["doc_id"], chosen["lang"]) if i == i and i is not None})
 
+    @lean
     def run(batches):
         for b in batches:
             ids = b.column("doc_id").to_pylist()
@@ -170,6 +171,7 @@ def identify(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row."""
     net, names = trained(docs, train_rows)
 
+    @lean
     def run(batches):
         for b in batches:
             lang, score = predict(b, net.value, names)
@@ -183,6 +185,7 @@ def accepted(docs: DataFrame, least: float, train_rows: int = TRAIN_ROWS) -> Dat
     """The rows, with all their columns, whose text has a language, with a score of at least least."""
     net, names = trained(docs, train_rows)
 
+    @lean
     def run(batches):
         for b in batches:
             lang, score = predict(b, net.value, names)

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_text, mix64, pieces
+from .common import id_text, lean, mix64, pieces
 
 K, W = 12, 8
 #: Words of a template that a match has to cover.
@@ -175,6 +175,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     """One row for each match: doc_id, license, coverage, n_matched, start, end."""
     templates = TEMPLATES if templates is None else templates
 
+    @lean
     def run(batches):
         index = Index(templates)
         for b in batches:

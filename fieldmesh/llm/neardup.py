@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOBS, dealt, gathered, id_text, kept, mix64, packed, partitions, pieces
+from .common import BLOBS, dealt, gathered, id_text, kept, lean, mix64, packed, partitions, pieces
 from .graph import components
 
 SHINGLE, COORDINATES, MATCH = 5, 64, 32
@@ -85,6 +85,7 @@ def signature(s: np.ndarray) -> np.ndarray:
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n, node, sig of every row; node and sig are null where there are no words."""
 
+    @lean
     def run(batches):
         words = Words()
         for b in batches:
@@ -114,6 +115,7 @@ def _sketch(nodes: DataFrame) -> np.ndarray:
     """How often pairs occur, by the cell they fall in."""
     width = SKETCH // 64
 
+    @lean
     def count(batches):
         cells = None
         for b in batches:
@@ -124,6 +126,7 @@ def _sketch(nodes: DataFrame) -> np.ndarray:
             for k in range(64):
                 yield from dealt(cells[k * width : (k + 1) * width].astype("<i8"), np.full(width, k))
 
+    @lean
     def add(batches):
         total: dict[int, np.ndarray] = {}
         for b in batches:
@@ -195,6 +198,7 @@ def links(nodes: DataFrame) -> DataFrame:
     nb = partitions(spark) * 2
     often = spark.sparkContext.broadcast(_sketch(nodes))
 
+    @lean
     def post(batches):
         held = []
         for b in batches:
@@ -237,6 +241,7 @@ def links(nodes: DataFrame) -> DataFrame:
             x = _stars(x["u"], x["v"])
             yield from dealt(x, np.zeros(len(x), int), 1)
 
+    @lean
     def meet(batches):
         got = gathered(batches, {0: POST, 1: LINK})
         x = got[0]
@@ -251,6 +256,7 @@ def links(nodes: DataFrame) -> DataFrame:
                 found.append(packed(LINK, node[a + i], node[a + j]))
         yield from told(found)
 
+    @lean
     def rows(batches):
         for b in batches:
             for x in b.column("blob").to_pylist():
@@ -316,6 +322,7 @@ def confirmed(docs: DataFrame, nodes: DataFrame, clusters: DataFrame) -> DataFra
     sizes = clusters.groupBy("root").agg(F.count("*").alias("members")).where("members > 1")
     wanted = kept(clusters.join(sizes, "root").join(nodes.select("node", "doc", "sig"), "node"), "clusters")
 
+    @lean
     def mark(batches):
         bits = np.zeros(0, np.int64)
         for b in batches:
@@ -328,6 +335,7 @@ def confirmed(docs: DataFrame, nodes: DataFrame, clusters: DataFrame) -> DataFra
         np.bitwise_or.at(marks, at >> 3, (1 << (at & 7)).astype(np.uint8))
     shared = spark.sparkContext.broadcast(marks)
 
+    @lean
     def fetch(batches):
         words = Words()
         for b in batches:

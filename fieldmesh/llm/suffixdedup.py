@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOBS, dealt, gathered, id_text, kept, mix64, packed, partitions, pieces
+from .common import BLOBS, dealt, gathered, id_text, kept, lean, mix64, packed, partitions, pieces
 
 LENGTH, GRAM = 100, 32
 SPREAD = LENGTH - GRAM + 1
@@ -41,7 +41,7 @@ BITS_EACH, MOST_BITS = 32, 1 << 30
 #: Differing segments of one anchor that go to one index; the strings of an anchor with more are dealt out one by one.
 TOGETHER = 50_000
 #: Segments that a task holds before it passes them on.
-HELD = 3_000_000
+HELD = 500_000
 SEGMENT = np.dtype([("anchor", "<u8"), ("kind", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("size", "u1")])
 SPAN = np.dtype([("doc", "<i8"), ("start", "<i4"), ("size", "<i4")])
 PIECE = np.dtype([("anchor", "<u8"), ("kind", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("size", "u1"), ("bytes", f"V{LENGTH + SPREAD}")])
@@ -237,6 +237,7 @@ def copied(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     spark = docs.sparkSession
     nb = partitions(spark) * 2
 
+    @lean
     def survey(batches):
         held = []
         for _, off, doc, row, start, size, anchor, kind in _found(batches):
@@ -255,6 +256,7 @@ def copied(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
 
     surveyed = kept(docs.mapInArrow(survey, BLOBS), "segments")
 
+    @lean
     def compare(batches):
         x, first = _earliest(gathered(batches, {0: SEGMENT})[0])
         yield from _spans(x[~first], nb)
@@ -270,6 +272,7 @@ def copied(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     many = compared.where("tag = 2").select(F.sum(F.length("blob") / 8)).first()[0] or 0
     bits = min(MOST_BITS, 1 << max(16, int(np.ceil(np.log2(max(1, many * BITS_EACH))))))
 
+    @lean
     def cells(batches):
         x = [np.zeros(0, np.int64)]
         for b in batches:
@@ -285,6 +288,7 @@ def copied(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     frequent = gathered(compared.where("tag = 4").toArrow().to_batches(), {4: np.dtype("<u8")})[4]
     shared = spark.sparkContext.broadcast((filter_, np.sort(frequent)))
 
+    @lean
     def fetch(batches):
         held, strings = [], []
         marks, hot = shared.value
@@ -311,7 +315,7 @@ def copied(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
             at = start[some]
             raw = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, LENGTH + SPREAD)[at]).view(f"V{LENGTH + SPREAD}").ravel()
             held.append(packed(PIECE, anchor[some], kind[some], doc[some], at - off[row[some]], size[some], raw))
-            if sum(map(len, held)) > 200_000:
+            if sum(map(len, held)) > 60_000:
                 yield from sent(held)
                 held = []
         if held:
@@ -337,6 +341,7 @@ def copied(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         x = x[first]
         yield from dealt(x, (mix64(x["anchor"]) % np.uint64(nb)).astype(np.int64), 3)
 
+    @lean
     def index(batches):
         got = gathered(batches, {1: SPAN, 3: PIECE, 5: STRING})
         yield from dealt(got[1], _doc_bucket(got[1]["doc"], nb), 1)  # stretches that were found on the way here
@@ -353,7 +358,7 @@ def copied(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
             if b - a > 1:
                 portion.append(x[a:b])
                 size += b - a
-            if size > 20_000:
+            if size > 5_000:
                 yield from told(portion)
                 portion, size = [], 0
         if portion:
@@ -373,6 +378,7 @@ def _numbered(docs: DataFrame, more: tuple[str, ...]) -> DataFrame:
     own = ["doc_id", "text", *more]
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
 
+    @lean
     def number(batches):
         k, part = 0, TaskContext.get().partitionId()
         for b in batches:
@@ -407,6 +413,7 @@ def remove_repeats(docs: DataFrame, with_texts: bool = False, more: tuple[str, .
     own = ["doc_id", "ord", *more]
     names = ["bucket", "tag", "blob", *own]
 
+    @lean
     def place(batches):
         z = zstandard.ZstdCompressor(level=1)
         for b in batches:
@@ -416,6 +423,7 @@ def remove_repeats(docs: DataFrame, with_texts: bool = False, more: tuple[str, .
 
     placed = docs.mapInArrow(place, ", ".join([BLOBS, *(f"`{c}` {types[c]}" for c in own)]))
 
+    @lean
     def cut(batches):
         z = zstandard.ZstdDecompressor()
         spans, held = [], []
