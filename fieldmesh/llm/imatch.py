@@ -26,11 +26,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOBS, dealt, gathered, id_text, mix64, packed, partitions, summed, texts_of
+from .common import BLOBS, dealt, gathered, id_text, lean, mix64, packed, partitions, summed, texts_of
 
 #: Shares of documents that a lexicon term occurs in; the lower one bounds the lexicon (terms of a document / BAND[0]).
 BAND = (5e-4, 0.1)
-SUBSETS, FEW = 24, 3
+SUBSETS, FEW = 48, 3
 REMEMBERED, HELD = 250_000, 1_500_000
 COUNT = np.dtype([("key", "<i8"), ("n", "<i4")])
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -56,6 +56,7 @@ def lexicon(docs: DataFrame) -> tuple[np.ndarray, int]:
     """Hashes of the terms in the band, sorted, and the number of documents."""
     nb = partitions(docs.sparkSession)
 
+    @lean
     def count(batches):
         terms, parts, held = Terms(), [], 0
         for b in batches:
@@ -75,6 +76,7 @@ def lexicon(docs: DataFrame) -> tuple[np.ndarray, int]:
     total = docs.count()
     low, high = BAND[0] * total, BAND[1] * total
 
+    @lean
     def band(batches):
         x = gathered(batches, {0: COUNT})[0]
         keys, n = summed(x["key"], x["n"].astype(np.int64))
@@ -165,6 +167,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(words)
     columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
+    @lean
     def run(batches):
         terms, lex = Terms(), shared.value
         before = None  # (block, doc_id, text, fingerprint) of the row above
