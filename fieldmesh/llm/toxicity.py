@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, fold_column, id_text, texts_of
+from .common import crc_fold, fold_column, id_text, kept, lean, texts_of
 
 # Common insults of English.
 INSULTS = ["idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown", "imbecile", "dumb", "jerk", "filth", "vermin", "bastard"]
@@ -165,6 +165,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> d
     shared = spark.sparkContext.broadcast(truth)
     texts = id_text(docs).where(F.col("doc_id").isNotNull()).join(F.broadcast(spark.createDataFrame([(i,) for i in truth], "doc_id long")), "doc_id", "left_semi")
 
+    @lean
     def count(batches):
         n: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for b in batches:
@@ -178,7 +179,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> d
         if n[0][""] and not n[1][""]:
             yield pa.RecordBatch.from_arrays([pa.array([""]), pa.array([0], pa.int64()), pa.array([n[0][""]], pa.int64()), pa.array([0], pa.int64())], ["e", "t", "c", "d"])
 
-    parts = texts.mapInArrow(count, "e string, t long, c long, d long").groupBy("e").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    parts = kept(texts.mapInArrow(count, "e string, t long, c long, d long").groupBy("e").agg(F.sum("t").alias("t"), F.sum("c").alias("c")), "entries")
     totals = parts.where("e = ''").collect()
     nt, nc = (totals[0]["t"], totals[0]["c"]) if totals else (0, 0)
     entries, kinds = [f"w:{w}" for w in INSULTS], ["fixed"] * len(INSULTS)
@@ -192,6 +193,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> d
     finder = Finder(entries)
     used = spark.sparkContext.broadcast(entries)
 
+    @lean
     def findings(batches):
         f = Finder(used.value)
         for b in batches:
@@ -231,6 +233,7 @@ def score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> D
     model = learn(docs, labels, train_rows)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def run(batches):
         f, w, bias = Finder(shared.value["entries"]), np.array(shared.value["weights"]), shared.value["bias"]
         for b in batches:
