@@ -376,13 +376,16 @@ def mesh_distance(spark, d):
     return rounded(solvers.mesh_distance(p, vertex.withColumn("z", F.lit(0.0)), face))
 
 
-@query("f09_refinement_passes")
+PASS = "SELECT x.* FROM {t} x JOIN (SELECT s.r, s.c, med, count(*) AS n, quantile_cont(abs(z - med), 0.5) * 1.4826 AS nmad FROM {t} s JOIN (SELECT r, c, quantile_cont(z, 0.5) AS med FROM {t} GROUP BY r, c) m ON s.r = m.r AND s.c = m.c GROUP BY s.r, s.c, med) k ON x.r = k.r AND x.c = k.c WHERE k.n < 5 OR abs(z - med) <= greatest(0.5, 1.2 * nmad)"
+
+
+@query("f09_refinement_passes", f"WITH one AS ({PASS.format(t='samples')}), two AS ({PASS.format(t='one')}) SELECT r, c, count(*) AS n FROM two GROUP BY r, c")
 def refinement_passes(spark, d):
     s = table(spark, d, "samples")
     return grid.spike_filter(grid.spike_filter(s, k=1.2), k=1.2).groupBy("r", "c").agg(F.count("*").alias("n"))
 
 
-@query("g12_camera_groups")
+@query("g12_camera_groups", "WITH t AS (SELECT * FROM chain WHERE n >= 4), e AS (SELECT a AS node FROM t UNION SELECT b FROM t) SELECT node, max(CASE WHEN node NOT IN (SELECT b FROM t) THEN node END) OVER (ORDER BY node) AS root FROM e")
 def camera_groups(spark, d):
     tree = graph.spanning_forest(table(spark, d, "chain"))
     return graph.components(tree.where("n >= 4"))
