@@ -7,8 +7,10 @@ below the empty context all symbols left are alike. As a context's symbols are a
 escape excludes hangs on the context escaped from alone, so every context carries its denominators with it and a
 text's positions are scored all at once by hash lookups. A text's code length includes its end.
 
-A context is kept if it has at least RARE of all training symbols: that bounds contexts of each length by 1 / RARE,
-at every size of corpus. A unigram baseline over words comes with it. Word counts are held by 63-bit hashes of the
+All contexts count. Those with at least RARE of all training symbols (at most 1 / RARE of each length) are broadcast,
+with all of fewer than LOW symbols (at most 257 ** LOW symbols in them); as a context's suffixes are as frequent as
+itself, they code what follows them without the rest. Symbols after other contexts are asked for by a shuffle: what
+shares the last LOW symbols of its context lies in one bucket, with all longer contexts. A unigram baseline over words comes with it. Word counts are held by 63-bit hashes of the
 words: frequent ones (at least HEAD of all tokens, so at most 1 / HEAD) are broadcast, the others meet the documents
 that use them in a shuffle by word.
 
@@ -31,6 +33,8 @@ from .common import BLOBS, crc_fold, dealt, gathered, id_text, kept, lean, mix64
 
 ORDER = 5
 RARE, HEAD = 2e-7, 2e-7
+#: Length of the context that names a bucket: of that length on, contexts are looked up in it; shorter ones are broadcast.
+LOW = 3
 #: Words whose hash a worker remembers; counts that a training task holds before it passes them on.
 REMEMBERED, HELD = 250_000, 1_500_000
 END = 0
@@ -38,10 +42,17 @@ END = 0
 END_WORD = np.int64(0x5851F42D4C957F2D)
 COUNT = np.dtype([("key", "<i8"), ("n", "<i8")])
 ASK = np.dtype([("row", "<i8"), ("key", "<i8"), ("n", "<i4")])
-ANSWER = np.dtype([("row", "<i8"), ("known", "<i4"), ("log", "<f8")])
+ANSWER = np.dtype([("row", "<i8"), ("known", "<i4"), ("log", "<f8"), ("ppm", "<f8")])
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 #: Tags of blobs: contexts' symbols by order, then words.
 WORDS = ORDER + 1
+#: Tags of asks: for words, for symbols after contexts that are not broadcast.
+ASK_WORDS, ASK_SYMBOLS = -1, -2
+
+
+def shared_suffix(context: np.ndarray) -> np.ndarray:
+    """The last LOW symbols of contexts (shorter ones whole)."""
+    return context & ((1 << 9 * LOW) - 1)
 
 
 class Words(dict):
@@ -88,7 +99,7 @@ def counted(batches):
         return summed(keys, np.concatenate([top[1], *[p[1] for p in parts]]))
 
     def out(tag, keys, counts, nb):
-        context = keys if tag == WORDS else keys >> 9
+        context = keys if tag == WORDS else shared_suffix(keys >> 9)
         yield from dealt(packed(COUNT, keys, counts), (mix64(context) % np.uint64(nb)).astype(np.int64), tag)
 
     top = (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -204,8 +215,8 @@ class Model:
                 self.none = -np.log(257 - kinds[0]) if len(kinds) and kinds[0] < 257 else -np.log(257)
                 self.empty = not len(kinds)
 
-    def code(self, keys: np.ndarray) -> np.ndarray:
-        """Log probability (base e) of each symbol in its context."""
+    def code(self, keys: np.ndarray, left: np.ndarray | None = None) -> np.ndarray:
+        """Log probability (base e) of each symbol in its context. left: set where the longest context is unknown; such symbols are not coded then."""
         out = np.zeros(len(keys))
         last = np.full(len(keys), -1)  # row of the context escaped from, of the order above
         todo = np.arange(len(keys))
@@ -233,10 +244,22 @@ class Model:
                 known = row >= 0
                 out[x[known]] += level["escape"][row[known]]
                 last[x] = np.where(known, row, -1)
+                if left is not None and k == len(self.levels) - 1:
+                    left[x[~known]] = True
+                    todo = x[known]
         out[todo] += self.none
         return out
 
 
+def part_model(counts: list[tuple[np.ndarray, np.ndarray]], asked: np.ndarray) -> Model:
+    """A model of those contexts that asked symbols may fall back on."""
+    some = []
+    for k, (keys, n) in enumerate(counts):
+        use = np.isin(keys >> 9, np.unique((asked >> 9) & ((1 << 9 * k) - 1)))
+        some.append((keys[use], n[use]))
+    return Model(some)
+
+
 _models: dict = {}
 
 
@@ -264,7 +287,7 @@ def score(docs: DataFrame) -> DataFrame:
                 x = np.frombuffer(x, COUNT)
                 if t == WORDS:
                     x = x[x["n"] >= HEAD * tokens]
-                else:
+                elif t >= LOW:
                     context = x["key"] >> 9
                     first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
                     many = np.add.reduceat(x["n"], first) >= RARE * symbols
@@ -285,7 +308,14 @@ def score(docs: DataFrame) -> DataFrame:
             head = shared.value[WORDS]
             _models[name] = (Model([shared.value[k] for k in range(ORDER + 1)]), Table(head[0]), np.log10(head[1] + 0.1), Words())
         model, table, logs, words = _models[name]
-        asked: list[np.ndarray] = []
+        asked: dict[int, list[np.ndarray]] = {ASK_WORDS: [], ASK_SYMBOLS: []}
+
+        def ask(tag, owner, key):
+            both = np.lexsort((key, owner))
+            o, c = owner[both], key[both]
+            first = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (c[1:] != c[:-1])]))
+            asked[tag].append(packed(ASK, row_id[o[first]], c[first], np.diff(np.append(first, len(o)))))
+
         for b in batches:
             ids = b.column("doc_id")
             n = len(b)
@@ -295,7 +325,10 @@ def score(docs: DataFrame) -> DataFrame:
                 seq, begin = sequence(data, off)
                 keys, many = grams(seq, begin, np.diff(off))
                 ends = np.concatenate([[0], np.cumsum(many)])
-                ppm[i:j] = np.add.reduceat(model.code(keys), ends[:-1]) / np.log(10)
+                left = np.zeros(len(keys), bool)
+                ppm[i:j] = np.add.reduceat(model.code(keys, left), ends[:-1]) / np.log(10)
+                if left.any():
+                    ask(ASK_SYMBOLS, np.repeat(np.arange(i, j), many)[left], keys[left])
                 low = data.tobytes().lower()
                 lists = [low[off[r] : off[r + 1]].split() for r in range(j - i)]
                 count = np.array([len(x) for x in lists])
@@ -307,48 +340,56 @@ def score(docs: DataFrame) -> DataFrame:
                 base += np.bincount(owner[hit], logs[at[hit]], n)
                 known += np.bincount(owner[hit], minlength=n)
                 if not hit.all():
-                    both = np.lexsort((codes[~hit], owner[~hit]))
-                    o, c = owner[~hit][both], codes[~hit][both]
-                    first = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (c[1:] != c[:-1])]))
-                    asked.append(packed(ASK, row_id[o[first]], c[first], np.diff(np.append(first, len(o)))))
+                    ask(ASK_WORDS, owner[~hit], codes[~hit])
             end = table.find(np.array([END_WORD]))[0]
             known += int(end >= 0)
             base += (logs[end] if end >= 0 else np.log10(0.1)) - n_tokens * floor
-            yield pa.RecordBatch.from_arrays([b.column("row"), ids, pa.array([crc_fold(i, 10) == 0 for i in ids.to_pylist()], pa.bool_()), *map(pa.array, (n_tokens, known, base, ppm)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
-            if sum(map(len, asked)) > HELD:
-                yield from asks(asked)
-                asked = []
-        if asked:
-            yield from asks(asked)
-
-    names = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "bucket", "blob"]
-
-    def asks(asked):
+            yield pa.RecordBatch.from_arrays([b.column("row"), ids, pa.array([crc_fold(i, 10) == 0 for i in ids.to_pylist()], pa.bool_()), *map(pa.array, (n_tokens, known, base, ppm)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+            for tag in asked:
+                if sum(map(len, asked[tag])) > HELD:
+                    yield from asks(tag, asked[tag])
+                    asked[tag] = []
+        for tag in asked:
+            if asked[tag]:
+                yield from asks(tag, asked[tag])
+
+    names = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "bucket", "tag", "blob"]
+
+    def asks(tag, asked):
         x = np.concatenate(asked)
-        for b in dealt(x, (mix64(x["key"]) % np.uint64(nb)).astype(np.int64)):
+        place = x["key"] if tag == ASK_WORDS else shared_suffix(x["key"] >> 9)
+        for b in dealt(x, (mix64(place) % np.uint64(nb)).astype(np.int64), tag):
             k = len(b)
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())), b.column("bucket"), b.column("blob")], names)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())), *(b.column(c) for c in ("bucket", "tag", "blob"))], names)
 
     # a row's number holds through the one pass that gives both its asks and its results, as that pass is written
     numbered = id_text(docs).withColumn("row", F.monotonically_increasing_id())
-    first = kept(numbered.mapInArrow(scored, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, bucket int, blob binary"), "ppm-scores")
+    first = kept(numbered.mapInArrow(scored, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, bucket int, tag int, blob binary"), "ppm-scores")
 
     @lean
     def answered(batches):
-        got = gathered(batches, {-1: ASK, WORDS: COUNT})
-        ask, have = got[-1], got[WORDS]
+        got = gathered(batches, {ASK_WORDS: ASK, ASK_SYMBOLS: ASK, WORDS: COUNT, **dict.fromkeys(range(LOW, ORDER + 1), COUNT)})
+        ask, have = got[ASK_WORDS], got[WORDS]
         keys, n = summed(have["key"], have["n"])
         at = np.minimum(np.searchsorted(keys, ask["key"]), max(0, len(keys) - 1))
         c = np.where(keys[at] == ask["key"], n[at], 0) if len(keys) else np.zeros(len(ask), np.int64)
-        order = np.argsort(ask["row"], kind="stable")
-        row, times, c = ask["row"][order], ask["n"][order], c[order]
-        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, int)
-        if len(first):
-            out = packed(ANSWER, row[first], np.add.reduceat(times * (c > 0), first), np.add.reduceat(times * np.log10(c + 0.1), first))
-            yield from dealt(out, (mix64(out["row"]) % np.uint64(nb)).astype(np.int64))
-
-    counts = table.where(F.col("tag") == WORDS).select("bucket", "tag", "blob")
-    asks_ = first.where("blob is not null").select("bucket", F.lit(-1).alias("tag"), "blob")
+        out = [packed(ANSWER, ask["row"], ask["n"] * (c > 0), ask["n"] * np.log10(c + 0.1), np.zeros(len(ask)))]
+        ask = got[ASK_SYMBOLS]
+        if len(ask):
+            keys, at = np.unique(ask["key"], return_inverse=True)
+            model = part_model([*(shared.value[k] for k in range(LOW)), *(summed(got[k]["key"], got[k]["n"]) for k in range(LOW, ORDER + 1))], keys)
+            none = np.zeros(len(ask))
+            out.append(packed(ANSWER, ask["row"], none, none, ask["n"] * (model.code(keys) / np.log(10))[at]))
+        # one record for each row and one blob for each bucket, of both kinds of answers
+        x = np.concatenate(out)
+        if len(x):
+            x = x[np.argsort(x["row"], kind="stable")]
+            first = np.flatnonzero(np.concatenate([[True], x["row"][1:] != x["row"][:-1]]))
+            x = packed(ANSWER, x["row"][first], *(np.add.reduceat(x[c], first) for c in ("known", "log", "ppm")))
+            yield from dealt(x, (mix64(x["row"]) % np.uint64(nb)).astype(np.int64))
+
+    counts = table.where(F.col("tag") >= LOW).select("bucket", "tag", "blob")
+    asks_ = first.where("blob is not null").select("bucket", "tag", "blob")
     answers = counts.unionByName(asks_).repartition(here, "bucket").mapInArrow(answered, BLOBS)
 
     @lean
@@ -366,8 +407,8 @@ def score(docs: DataFrame) -> DataFrame:
         at = np.minimum(np.searchsorted(row, x["row"], sorter=order), max(0, len(row) - 1))
         ok = row[order[at]] == x["row"] if len(row) else np.zeros(0, bool)
         more = np.bincount(order[at[ok]], x["known"][ok], len(row))
-        log = np.bincount(order[at[ok]], x["log"][ok], len(row))
-        out = pa.Table.from_arrays([b.column("doc_id"), b.column("held_out"), b.column("n_tokens"), pa.array(b.column("known").to_numpy() + more.astype(np.int64)), pa.array(np.full(len(row), tokens, np.int64)), pa.array(b.column("base").to_numpy() + log), b.column("score")], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        log, ppm = (np.bincount(order[at[ok]], x[c][ok], len(row)) for c in ("log", "ppm"))
+        out = pa.Table.from_arrays([b.column("doc_id"), b.column("held_out"), b.column("n_tokens"), pa.array(b.column("known").to_numpy() + more.astype(np.int64)), pa.array(np.full(len(row), tokens, np.int64)), pa.array(b.column("base").to_numpy() + log), pa.array(b.column("score").to_numpy() + ppm)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
         yield from out.to_batches(max_chunksize=10_000)
 
     return _together(first.where("blob is null"), answers, nb, here, together)

@@ -162,6 +162,23 @@ def test_unigram_baseline_and_ppm(spark, texts):
     assert sum(r["score"] for r in got.values()) > sum(r["base_score"] for r in got.values())
 
 
+@pytest.mark.parametrize("rare", [2e-7, 1e-3, 1.0])
+def test_ppm_keeps_rare_contexts(spark, texts, monkeypatch, rare):
+    """The score is that of a model of all contexts, whichever of them are broadcast."""
+    monkeypatch.setattr(scoring, "RARE", rare)
+    got = {r["doc_id"]: r["score"] for r in scoring.score(spark.createDataFrame(texts, SCHEMA)).collect()}
+
+    def keys_of(some):
+        data = np.frombuffer(b"".join(t.encode() for t in some), np.uint8)
+        off = np.concatenate([[0], np.cumsum([len(t.encode()) for t in some])])
+        return scoring.grams(*scoring.sequence(data, off), np.diff(off))[0]
+
+    keys = keys_of([t for i, t in texts if zlib.crc32(str(i).encode()) % 10])
+    model = scoring.Model([np.unique(keys & ((1 << 9 * (k + 1)) - 1), return_counts=True) for k in range(scoring.ORDER + 1)])
+    for i, t in texts:
+        assert got[i] == pytest.approx(model.code(keys_of([t])).sum() / math.log(10)), i
+
+
 def test_ppm_is_what_the_definition_says():
     """Against a direct walk down the contexts, with escapes and exclusion; probabilities of all symbols sum to about 1."""
     seqs = [b"abracadabra", b"abacab", b"cadabra"]
