@@ -8,7 +8,7 @@ as the key of a bucket; REPEATS independent walks make the recall. A window of a
 the item's bucket is verified by exact edit distance (free ends in the text), so nothing is reported that does not leak.
 
 Windows that cannot be within the distance are not embedded: k edits leave at least n - 1 - 2 k of an item's word
-pairs, so a window needs that many pairs that occur in items. That bound drops no match.
+pairs, so a window needs that many pairs that occur in items. That bound drops no match; every start that passes it is tried.
 
 Items come in blocks of bounded size; each block is sent to all tasks and makes a pass over the texts. Null and
 empty texts and items match nothing; repeated items are reported each; repeated rows give repeated rows; an empty
@@ -87,16 +87,17 @@ class Items:
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(mix64(self.pairs) & np.uint64(0xFFFFF)).astype(np.int64)] = True
         most = max(self.items, default=0)
-        steps = 3 * most // 2 + 1
+        steps = 3 * most
         # the walk's coins: by repetition, step and word
-        cell = np.arange(REPEATS * steps * self.width, dtype=np.uint64).reshape(REPEATS, steps, self.width)
-        self.coins = (mix64(cell) >> np.uint64(7) & np.uint64(1)).astype(np.int8)
-        self.firsts = np.unique(np.array([s[0] * self.width + s[1] for same in self.items.values() for _, s in same if len(s) > 1], np.int64))
+        self.coins = np.empty((REPEATS, steps, self.width), np.int8)
+        cell = np.arange(steps * self.width, dtype=np.uint64).reshape(steps, self.width)
+        for r in range(REPEATS):
+            self.coins[r] = mix64(cell + np.uint64(r * cell.size)) >> np.uint64(7) & np.uint64(1)
         rng = np.random.default_rng(7)
         self.steps, self.keys, self.owners = {}, {}, {}
         for n, same in sorted(self.items.items()):
-            self.steps[n] = rng.integers(0, 3 * n // 2 + 1, (REPEATS, SAMPLED))
-            keys = np.concatenate([self.key(s, walk(s, np.zeros(1, int), self.coins), np.zeros(1, int), n) for _, s in same])  # items x repetitions
+            self.steps[n] = rng.integers(0, 3 * n, (REPEATS, SAMPLED))
+            keys = np.concatenate([self.key(s, walk(s, np.zeros(1, int), self.coins[:, : 3 * n]), np.zeros(1, int), n) for _, s in same])  # items x repetitions
             order = np.argsort(keys, 0)
             self.owners[n], self.keys[n] = order, np.take_along_axis(keys, order, 0)
 
@@ -119,17 +120,15 @@ class Items:
         hit[hit] = self.bits[(mix64(p[hit]) & np.uint64(0xFFFFF)).astype(np.int64)]
         hit[hit] = np.isin(p[hit], self.pairs)
         hit = np.append(hit, False)
-        if min(self.items) >= 3:
-            # windows begin where a run of such pairs does, or a word or two before, or where an item's first pair stands
-            run = np.flatnonzero(hit & ~np.concatenate([[False], hit[:-1]]))
-            first = np.flatnonzero(hit)
-            first = first[np.isin(p[first], self.firsts)]
-            starts = np.unique(np.concatenate([run, run - 1, run - 2, first]))
+        sums, known = np.concatenate([[0], np.cumsum(hit)]), np.concatenate([[0], np.cumsum(ids > 0)])
+        # what no item's bound can pass is left out at once: too few pairs within the widest window
+        least, most = min(n - 1 - 2 * int(EDITS * n) for n in self.items), max(self.items)
+        reach, every = int(EDITS * most), np.arange(len(ids))
+        if least > 0:
+            starts = np.flatnonzero(sums[np.minimum(every + most + reach, len(ids))] - sums[np.maximum(every - reach, 0)] >= least)
         else:
-            starts = np.flatnonzero(ids > 0)
-        starts = starts[starts >= 0]
+            starts = every
         owner = np.searchsorted(text, starts, "right") - 1
-        sums, known = np.concatenate([[0], np.cumsum(hit)]), np.concatenate([[0], np.cumsum(ids > 0)])
         fits: dict[int, np.ndarray] = {}
         for n in self.items:
             k = int(EDITS * n)
@@ -139,7 +138,8 @@ class Items:
         some = np.flatnonzero(np.any([*fits.values()], 0))
         tried: set[tuple[int, int, int]] = set()
         for part in np.array_split(some, max(1, len(some) // 256)):
-            walks = walk(ids, starts[part], self.coins)
+            longest = max((n for n, ok in fits.items() if ok[part].any()), default=1)
+            walks = walk(ids, starts[part], self.coins[:, : 3 * longest])
             for n, ok in fits.items():
                 mine = np.flatnonzero(ok[part])
                 if not len(mine):

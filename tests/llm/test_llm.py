@@ -302,6 +302,19 @@ def test_decontamination_recall(spark):
     assert {r["doc_id"] for r in left.collect()} == {k for k, _ in rows} - {d for d, _ in found}
 
 
+@pytest.mark.parametrize("n", [4, 38, 59])
+def test_decontamination_finds_edits_at_the_head(n):
+    """Items whose first floor(n / 4) words are dropped or replaced are found."""
+    rng = random.Random(n)
+    items = decontaminate.Items([(i, " ".join(f"w{i}x{j}" if n < 10 else rng.choice(WORDS) + str(rng.randrange(40)) for j in range(n))) for i in range(40)])
+    missed = 0
+    for i, t in enumerate(sorted(items.items[n], key=lambda x: x[0])):
+        for head in ([], [0] * (n // 4)):
+            ids = np.array([0] * 70 + head + t[1][n // 4 :].tolist() + [0] * 70)
+            missed += all(f[1] != i for f in items.search(ids, np.array([0, len(ids)])))
+    assert missed == 0
+
+
 def test_url_filter_both_joins(spark):
     rows = [(k, u, t) for k, (u, t) in enumerate([
         ("http://a.casino-win.example.net/x", "2024-03-01 00:00:00"), ("http://a.casino-win.example.net/x", "2024-10-01 00:00:00"), ("https://u:p@FREE-bets.example.net:8080/", "2024-01-01 00:00:00"),
