@@ -136,7 +136,9 @@ class Items:
             need = n - 1 - 2 * k
             fits[n] = sums[np.maximum(high - 1, low)] - sums[low] >= need if need > 0 else known[high] - known[low] >= n - k
         some = np.flatnonzero(np.any([*fits.values()], 0))
-        tried: set[tuple[int, int, int]] = set()
+        # by size, item and the stretch that starts close together share, as one number
+        tried: dict[int, list[np.ndarray]] = {n: [] for n in fits}
+        size = len(ids) + 1
         for part in np.array_split(some, max(1, len(some) // 256)):
             longest = max((n for n, ok in fits.items() if ok[part].any()), default=1)
             walks = walk(ids, starts[part], self.coins[:, : 3 * longest])
@@ -145,20 +147,21 @@ class Items:
                 if not len(mine):
                     continue
                 keys = self.key(ids, walks[mine], starts[part[mine]], n)
+                base, step = text[owner[part[mine]]], max(1, int(EDITS * n))
+                anchor = base + (starts[part[mine]] - base) // step * step
+                met = []
                 for r in range(REPEATS):
                     table = self.keys[n][:, r]
                     lo, hi = np.searchsorted(table, keys[:, r], "left"), np.searchsorted(table, keys[:, r], "right")
-                    for q in np.flatnonzero(hi > lo):
-                        tried.update((n, int(i), int(part[mine[q]])) for i in self.owners[n][lo[q] : hi[q], r])
+                    many = hi - lo
+                    which = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
+                    met.append(self.owners[n][which, r] * size + np.repeat(anchor, many))
+                tried[n].append(np.unique(np.concatenate(met)))
         best: dict[tuple[int, int, int], list[tuple[int, int, int]]] = {}
-        seen: set[tuple[int, int, int]] = set()
-        for n, i, s in sorted(tried):
-            k, o = int(EDITS * n), int(owner[s])
-            block = int(starts[s] - text[o]) // max(1, k)
-            if (n, i, (o, block)) in seen:
-                continue
-            seen.add((n, i, (o, block)))
-            low, high = max(text[o], text[o] + block * max(1, k) - k), min(text[o + 1] - 1, text[o] + block * max(1, k) + n + 2 * k + 1)
+        for n, code in ((n, int(c)) for n in sorted(tried) if tried[n] for c in np.unique(np.concatenate(tried[n]))):
+            k, (i, q) = int(EDITS * n), divmod(code, size)
+            o = int(np.searchsorted(text, q, "right")) - 1
+            low, high = max(text[o], q - k), min(text[o + 1] - 1, q + n + 2 * k + 1)
             stretch = set(ids[low:high].tolist())
             if sum(w in stretch for w in self.items[n][i][1].tolist()) < n - k:  # each word that is missing costs an edit
                 continue
