@@ -86,16 +86,18 @@ class Index:
     def __init__(self, templates: dict[str, str]):
         self.names = sorted(templates)
         self.words = [_words.findall(templates[n].lower()) for n in self.names]
-        self.post: dict[int, set[int]] = {}
+        self.post: dict[int, set[tuple[int, int]]] = {}
         for t, n in enumerate(self.names):
-            h = grams(normal(np.frombuffer(templates[n].encode(), np.uint8))[0])
+            x, at = normal(np.frombuffer(templates[n].encode(), np.uint8))
+            h = grams(x)
+            starts = [len(templates[n][: m.start()].encode()) for m in _words.finditer(templates[n])]
             for k in winnow(h):
-                self.post.setdefault(int(h[k]), set()).add(t)
+                self.post.setdefault(int(h[k]), set()).add((t, int(np.searchsorted(starts, at[k], "right")) - 1))
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[[f & 0xFFFF for f in self.post]] = True
 
-    def candidates(self, data: np.ndarray, off: np.ndarray) -> dict[int, dict[int, list[int]]]:
-        """For each row with a template's fingerprint: the templates, and the bytes where fingerprints begin."""
+    def candidates(self, data: np.ndarray, off: np.ndarray) -> dict[int, dict[int, list[tuple[int, int]]]]:
+        """For each row with a template's fingerprint: the templates, and the bytes where fingerprints begin with their words in the template."""
         x, at = normal(data)
         h = grams(x)
         if not len(h):
@@ -110,20 +112,20 @@ class Index:
             y, where = normal(data[off[r] : off[r + 1]])
             g = grams(y)
             for k in winnow(g):
-                for t in self.post.get(int(g[k]), ()):
-                    out.setdefault(int(r), {}).setdefault(t, []).append(int(where[k]))
+                for t, word in self.post.get(int(g[k]), ()):
+                    out.setdefault(int(r), {}).setdefault(t, []).append((int(where[k]), word))
         return out
 
 
-def align(template: list[str], words: list[str], band: int) -> tuple[int, int, int]:
+def align(template: list[str], words: list[str], band: int, lead: int = 0) -> tuple[int, int, int]:
     """Matched words, first and last matched word of the text, for a local alignment of a template within a stretch of
-    about its length: match 1, gap or mismatch -0.5, cells further than band from the diagonal left out."""
+    about its length: match 1, gap or mismatch -0.5, cells further than band from the diagonal (which begins lead words on) left out."""
     m, n = len(template), len(words)
     best, where = 0.0, (0, 0, 0)
     prev: dict[int, tuple[float, int, int]] = {}
     for i in range(m):
         cur: dict[int, tuple[float, int, int]] = {}
-        for j in range(max(0, i - band), min(n, i + band + 1)):
+        for j in range(max(0, i + lead - band), min(n, i + lead + band + 1)):
             same = template[i] == words[j]
             s, first, c = prev.get(j - 1, (0.0, -1, 0))
             got = (s + 1, first if first >= 0 else j, c + 1) if same else (s - 0.5, first, c)
@@ -139,7 +141,7 @@ def align(template: list[str], words: list[str], band: int) -> tuple[int, int, i
     return where
 
 
-def scan_text(text: str, places: dict[int, list[int]], index: Index, least: float) -> list[tuple[str, float, int, int, int]]:
+def scan_text(text: str, places: dict[int, list[tuple[int, int]]], index: Index, least: float) -> list[tuple[str, float, int, int, int]]:
     """(license, coverage, matched words, start, end) of the matches in one text."""
     raw = text.encode()
     spots = [(m.start(), m.end(), m.group().lower()) for m in _words.finditer(text)]
@@ -149,24 +151,19 @@ def scan_text(text: str, places: dict[int, list[int]], index: Index, least: floa
         template = index.words[t]
         m = len(template)
         band = max(4, m // 5)
-        chars = sorted({len(raw[:p].decode(errors="ignore")) for p in where})
-        first = sorted({int(np.searchsorted(starts, c, "right")) - 1 for c in chars})
-        taken = -1
-        for g in first:
-            if g < taken:
-                continue
-            # the fingerprint may lie anywhere in the template: every start within its length is tried as a stretch
-            low, high = max(0, g - m - band), min(len(spots), g + m + band)
-            stretch = [w for _, _, w in spots[low:high]]
-            best = (0, 0, 0)
-            for s in range(0, len(stretch)):
-                if stretch[s] == template[0] or (m > 1 and stretch[s] == template[1]):
-                    c, a, b = align(template, stretch[s : s + m + band], band)
-                    best = max(best, (c, s + a, s + b), key=lambda x: (x[0], x[1] - x[2]))
-            c, a, b = best
+        # each fingerprint names the diagonal it lies on: the text's word where the template would begin
+        diagonals = {int(np.searchsorted(starts, len(raw[:p].decode(errors="ignore")), "right")) - 1 - word for p, word in where}
+        spans = set()
+        for d in diagonals:
+            low = max(0, d - band)
+            c, a, b = align(template, [w for _, _, w in spots[low : max(low, d + m + band)]], band, d - low)
             if c >= least * m:
-                found.append((index.names[t], c / m, c, spots[low + a][0], spots[low + b][1], m))
-                taken = low + b + 1
+                spans.add((c, low + a, low + b))
+        taken: list[tuple[int, int]] = []
+        for c, a, b in sorted(spans, key=lambda x: (-x[0], x[2] - x[1], x[1])):
+            if all(b < x or y < a for x, y in taken):
+                taken.append((a, b))
+                found.append((index.names[t], c / m, c, spots[a][0], spots[b][1], m))
     out = [f for f in set(found) if not any(o is not f and o[3] <= f[3] and f[4] <= o[4] and (o[5], o[0]) > (f[5], f[0]) for o in found)]
     return [f[:5] for f in sorted(out, key=lambda f: (f[3], f[4], f[0]))]
 

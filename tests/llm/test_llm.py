@@ -268,6 +268,18 @@ def test_licenses(spark):
     assert text[got[5, "mit-notice"]["start"] : got[5, "mit-notice"]["end"]] == "Released under\n * the MIT\tlicense"
 
 
+def test_licenses_without_their_first_words():
+    """A text that lost or changed the first words is reported with the coverage it has, wherever it stands."""
+    index = licenses.Index(licenses.TEMPLATES)
+    mit, apache = licenses.TEMPLATES["mit"], licenses.TEMPLATES["apache-2.0-header"]
+    for name, text in (("mit", mit[mit.index("free of charge") :]), ("mit", "Zzq qqz " + mit.split(" ", 2)[2]), ("apache-2.0-header", apache[apache.index("you may not") :])):
+        for before in ("", "x " * 300):
+            data = np.frombuffer((before + text).encode(), np.uint8)
+            places = index.candidates(data, np.array([0, len(data)]))[0]
+            got = {f[0]: f for f in licenses.scan_text(before + text, places, index, 0.8)}
+            assert got[name][1] >= 0.8 and got[name][4] == len((before + text).rstrip("."))
+
+
 def test_decontamination_recall(spark):
     """Every planted item is found at up to the allowed edits; what is farther by brute force is not reported."""
     rng = random.Random(8)
