@@ -314,17 +314,57 @@ def test_decontamination_recall(spark):
     assert {r["doc_id"] for r in left.collect()} == {k for k, _ in rows} - {d for d, _ in found}
 
 
+@pytest.mark.parametrize("where", ["front", "middle", "end"])
 @pytest.mark.parametrize("n", [4, 38, 59])
-def test_decontamination_finds_edits_at_the_head(n):
-    """Items whose first floor(n / 4) words are dropped or replaced are found."""
+def test_decontamination_finds_edits_together(n, where):
+    """Items with floor(n / 4) words in a row dropped or replaced are found, alone and beside a two-word item, alike."""
     rng = random.Random(n)
-    items = decontaminate.Items([(i, " ".join(f"w{i}x{j}" if n < 10 else rng.choice(WORDS) + str(rng.randrange(40)) for j in range(n))) for i in range(40)])
-    missed = 0
-    for i, t in enumerate(sorted(items.items[n], key=lambda x: x[0])):
-        for head in ([], [0] * (n // 4)):
-            ids = np.array([0] * 70 + head + t[1][n // 4 :].tolist() + [0] * 70)
-            missed += all(f[1] != i for f in items.search(ids, np.array([0, len(ids)])))
-    assert missed == 0
+    rows = [(i, " ".join(f"w{i}x{j}" if n < 10 else rng.choice(WORDS) + str(rng.randrange(40)) for j in range(n))) for i in range(40)]
+    alone, beside = decontaminate.Items(rows), decontaminate.Items([*rows, (99, "the of")])
+    at = {"front": 0, "middle": (n - n // 4) // 2, "end": n - n // 4}[where]
+    found = []
+    for i, t in rows:
+        for put in ([], ["unknown"] * (n // 4)):
+            w = t.split()
+            w[at : at + n // 4] = put
+            text = np.frombuffer(" ".join(["before"] * 70 + w + ["behind"] * 70).encode(), np.uint8)
+            off = np.array([0, len(text)])
+            got = {f[1:] for f in decontaminate.search_piece(alone, text, off)[0]}
+            assert got == {f[1:] for f in decontaminate.search_piece(beside, text, off)[0]} - {f[1:] for f in decontaminate.search_piece(beside, text, off)[0] if f[1] == 99}
+            found.append(any(f[0] == i for f in got))
+    assert np.mean(found) >= 0.95
+
+
+def test_decontamination_pair_bound_keeps_every_leak():
+    """No window within the distance by brute force is left out before the embedding."""
+    rng = random.Random(5)
+    vocabulary = [f"v{k}" for k in range(12)]
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 30)))) for i in range(25)]
+    items = decontaminate.Items(rows)
+    for _ in range(30):
+        w = rows[rng.randrange(25)][1].split()
+        for _k in range(len(w) // 4):
+            p = rng.randrange(len(w) + 1)
+            w[p : p + rng.randrange(2)] = rng.choice([[], ["other"], [rng.choice(vocabulary)]])
+        words = [rng.choice([*vocabulary, "other"]) for _ in range(9)] + w + [rng.choice(vocabulary) for _ in range(9)]
+        ids = np.array([items.number.get(x, 0) for x in words] + [0])
+        kept = {}
+        for j, _, starts in items.regions(ids, np.array([0, len(ids)])):
+            kept.setdefault(j, set()).update(starts.tolist())
+        for j, seq in enumerate(items.seqs):
+            d, a, _ = decontaminate.edit_span(seq, ids[:-1])
+            if d <= len(seq) // 4:
+                assert a in kept[j]
+
+
+def test_decontamination_of_a_long_item():
+    """An item of 20,000 words, with a fifth of its words replaced, within a text."""
+    rng = random.Random(2)
+    w = [f"x{rng.randrange(5000)}" for _ in range(20_000)]
+    items = decontaminate.Items([(1, " ".join(w)), (2, "two words")])
+    w[1000:5000] = ["gone"] * 4000
+    text = np.frombuffer(("before it " * 50 + " ".join(w) + " behind it" * 50).encode(), np.uint8)
+    assert [f[1] for f in decontaminate.search_piece(items, text, np.array([0, len(text)]))[0]] == [1]
 
 
 def test_url_filter_both_joins(spark):
