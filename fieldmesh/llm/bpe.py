@@ -4,7 +4,8 @@ A merge list whose every merge uses only symbols made by earlier merges ("proper
 What follows a stretch of text can change the tokens in it only by a chain of merges of rising rank, each
 taking one more symbol to the left: the right part of a merge begins with the left part of the one before.
 The longest such chain, in symbols, is the list's sufficient lookahead: tokens that end that many symbols
-before the end of what has been read are stable and are emitted, so a word of any length takes constant memory.
+before the end of what has been read are stable and are emitted, so a word of any length takes constant memory. (A
+word shorter than that has no stable token before its end.) A text's tokens are emitted and decoded piece by piece.
 
 Nulls count as empty texts (no tokens); repeated rows give repeated rows; an empty table gives an empty table;
 columns other than doc_id and text are left behind.
@@ -16,8 +17,10 @@ import codecs
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +33,9 @@ from .common import id_text, lean, texts_of
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Words that each worker remembers with their tokens.
 REMEMBERED = 250_000
+#: Characters of text, and tokens of one word, that are worked on at once.
+CHUNK = 1 << 14
+_space = re.compile(r"\s")
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -76,20 +82,20 @@ def lookahead(merges: list[tuple[str, str]], suffix: str) -> int | None:
 class Encoder:
     """Text to token ids, as the tokenizers library does it for this file's kind of tokenizer."""
 
-    def __init__(self, spec: dict, window: int = 4096):
+    def __init__(self, spec: dict, window: int | None = None):
         self.vocab, self.suffix, self.special = spec["vocab"], spec["suffix"], spec["special"]
         self.names = {i: t for t, i in (self.vocab | self.special).items()}
         self.rank = {m: (r, self.vocab[m[0] + m[1]]) for r, m in reversed([*enumerate(spec["merges"])])}
         self.pairs = {(self.vocab[a], self.vocab[b]): x for (a, b), x in self.rank.items()}
         self.ahead = lookahead(spec["merges"], self.suffix)
-        self.window = window
+        self.window = window or self.ahead or 0
         chars = byte_chars()
         self.inner = [self.vocab[c] for c in chars]
         self.final = [self.vocab[c + self.suffix] for c in chars]
         self.width = {i: len(t.removesuffix(self.suffix)) for t, i in self.vocab.items()}
         self.words = regex.compile(spec["pattern"]).findall
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.known: dict[str, tuple[bytes, str, int]] = {}
+        self.known: dict[str, bytes] = {}
 
     def merged(self, ids: list[int]) -> list[int]:
         """All merges applied: lowest rank first, leftmost first among equals."""
@@ -155,46 +161,59 @@ class Encoder:
             held.append(self.final[prior])
         yield from self.merged(held)
 
-    def word(self, w: str) -> tuple[bytes, str, int]:
-        """ids as bytes, the decoded form, how many."""
-        if (x := self.known.get(w)) is None:
-            ids = [*self.transduce(w.encode())]
-            x = (np.array(ids, "<u4").tobytes(), " ".join(map(self.names.__getitem__, ids)), len(ids))
-            if len(w) <= 64:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[w] = x
-        return x
+    def word(self, w: str) -> Iterator[bytes]:
+        """The ids of a word as bytes; more than one piece for a word too long to remember."""
+        if len(w) > 64:
+            ids = self.transduce(w.encode())
+            while part := [*islice(ids, CHUNK)]:
+                yield np.array(part, "<u4").tobytes()
+            return
+        if len(self.known) >= REMEMBERED:
+            self.known.clear()
+        self.known[w] = x = np.array([*self.transduce(w.encode())], "<u4").tobytes()
+        yield x
 
     def stretches(self, text: str) -> Iterator[str | tuple[str]]:
-        """The text between special tokens, normalised, and the special tokens (as 1-tuples)."""
+        """The text between special tokens, normalised and cut before white space into stretches of about CHUNK
+        characters (a longer word stays whole), and the special tokens (as 1-tuples)."""
         for k, part in enumerate(self.marks.split(text) if self.marks and "<" in text else [text]):
             if k % 2:
                 yield (part,)
-            elif part:
-                if not part.isascii():
-                    part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
-                yield part.lower()
-
-    def encode(self, text: str) -> tuple[int, bytes, str]:
-        """How many ids, the ids as little-endian unsigned 32-bit integers, and what decode() gives for them."""
-        ids: list[bytes] = []
-        shown: list[str] = []
+                continue
+            at = 0
+            while at < len(part):
+                cut = _space.search(part, at + CHUNK)
+                end = cut.start() if cut else len(part)
+                x, at = part[at:end], end
+                if not x.isascii():
+                    x = unicodedata.normalize("NFC", x).replace("Σ", "σ")
+                yield x.lower()
+
+    def stream(self, text: str) -> Iterator[bytes]:
+        """The text's ids as little-endian unsigned 32-bit integers, piece by piece."""
         for part in self.stretches(text):
             if isinstance(part, tuple):
-                ids.append(np.array([self.special[part[0]]], "<u4").tobytes())
-                shown.append(part[0])
+                yield np.array([self.special[part[0]]], "<u4").tobytes()
                 continue
-            words, known = self.words(part), self.known
-            got = [known.get(w) or self.word(w) for w in words]
-            ids += [x[0] for x in got]
-            shown += [x[1] for x in got]
-        raw = b"".join(ids)
-        return len(raw) // 4, raw, " ".join(shown)
+            got, known = [], self.known
+            for w in self.words(part):
+                if (x := known.get(w)) is not None:
+                    got.append(x)
+                elif len(w) <= 64:
+                    got += self.word(w)
+                else:
+                    yield b"".join(got)
+                    got = []
+                    yield from self.word(w)
+            yield b"".join(got)
+
+    def encode(self, text: str) -> bytes:
+        """stream() as a whole."""
+        return b"".join(self.stream(text))
 
 
 class Decoder:
-    """Ids to text, one at a time. joined: the vocabulary's strings with spaces between (what the library does
+    """Ids to text, as they come. joined: the vocabulary's strings with spaces between (what the library does
     without a decoder section); else the bytes they stand for, as far as they are whole characters, with a space for each word end."""
 
     def __init__(self, names: dict[int, str], suffix: str, special: dict[str, int], joined: bool = True):
@@ -203,12 +222,22 @@ class Decoder:
         self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
         self.first = True
 
-    def push(self, i: int) -> str:
+    def push(self, ids: Iterable[int]) -> str:
+        """What the ids add to the text; ids that the vocabulary lacks add nothing."""
+        if not self.joined:
+            return "".join(map(self.shown, ids))
+        try:
+            out = " ".join(map(self.names.__getitem__, ids))
+        except KeyError:
+            out = " ".join(self.names[i] for i in ids if i in self.names)
+        if not out:
+            return out
+        lead, self.first = "" if self.first else " ", False
+        return lead + out
+
+    def shown(self, i: int) -> str:
         if (name := self.names.get(i)) is None:
             return ""
-        if self.joined:
-            out, self.first = name if self.first else f" {name}", False
-            return out
         if name in self.special:
             return self.utf8.decode(b"", True) + name
         ends = bool(self.suffix) and name.endswith(self.suffix)
@@ -219,9 +248,13 @@ class Decoder:
         return "" if self.joined else self.utf8.decode(b"", True)
 
 
-def decode(encoder: Encoder, ids: Iterable[int], joined: bool = True) -> str:
-    d = Decoder(encoder.names, encoder.suffix, encoder.special, joined)
-    return "".join([*map(d.push, ids), d.end()])
+def decoder(encoder: Encoder, joined: bool = True) -> Decoder:
+    return Decoder(encoder.names, encoder.suffix, encoder.special, joined)
+
+
+def decode(encoder: Encoder, ids: Sequence[int], joined: bool = True) -> str:
+    d = decoder(encoder, joined)
+    return d.push(ids) + d.end()
 
 
 def tokenized(docs: DataFrame, path: str) -> DataFrame:
@@ -232,12 +265,24 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         e = Encoder(spec.value)
         for b in batches:
-            got = [e.encode(t) for t in texts_of(b)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x[1] for x in got], pa.binary()), pa.array([x[2] for x in got], pa.string())], ["doc_id", "ids", "decoded"])
+            ids = [e.encode(t) for t in texts_of(b)]
+            text = [decode(e, np.frombuffer(x, "<u4").tolist()) for x in ids]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary()), pa.array(text, pa.string())], ["doc_id", "ids", "decoded"])
 
     return id_text(docs).mapInArrow(run, "doc_id long, ids binary, decoded string")
 
 
+def digest(e: Encoder, text: str) -> tuple[int, str, str]:
+    """How many ids, the SHA-256 of the ids and of what the decoder makes of them; both fed piece by piece."""
+    n, ids, shown, d = 0, hashlib.sha256(), hashlib.sha256(), decoder(e)
+    for piece in e.stream(text):
+        n += len(piece) // 4
+        ids.update(piece)
+        shown.update(d.push(np.frombuffer(piece, "<u4").tolist()).encode())
+    shown.update(d.end().encode())
+    return n, ids.hexdigest(), shown.hexdigest()
+
+
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """tokenized() reduced to counts and SHA-256 digests where the rows are, so that no tokens travel."""
     spec = docs.sparkSession.sparkContext.broadcast(load_spec(path))
@@ -246,12 +291,8 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         e = Encoder(spec.value)
         for b in batches:
-            n, ids, shown = [], [], []
-            for t in texts_of(b):
-                k, raw, text = e.encode(t)
-                n.append(k)
-                ids.append(hashlib.sha256(raw).hexdigest())
-                shown.append(hashlib.sha256(text.encode()).hexdigest())
+            got = [digest(e, t) for t in texts_of(b)]
+            n, ids, shown = zip(*got) if got else ([], [], [])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(shown, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return id_text(docs).mapInArrow(run, SCHEMA)

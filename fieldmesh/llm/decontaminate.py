@@ -221,7 +221,7 @@ class Items:
                 if words > TOGETHER:
                     rest.append(r)
                     continue
-                now, later = starts[: 32 + self.n[j] // 8], starts[32 + self.n[j] // 8 :]
+                now, later = starts[: 32 + self.n[j] // 64], starts[32 + self.n[j] // 64 :]
                 lo, hi = int(now.min()), min(int(now.max() + self.n[j]), int(text[o + 1]) - 1)
                 parts.append(hashed(o, lo - int(text[o]), hi - int(text[o])))
                 batch.append((j, o, now, later))

@@ -130,18 +130,41 @@ def test_bpe_agrees_with_the_library(spark):
     rng = random.Random(2)
     some = ["", "ΑΣ Σ", "a<|endoftext|>b <|startoftext|>", " x\x1cy\x85z q", "don't we'll I'M 12345 ½", "é ﬁ İstanbul", "日本語 😀", "aaaa" * 900, "theingan" * 700, "''s 's"]
     some += ["".join(rng.choice("etaoinshrdlu") for _ in range(3000)) for _ in range(2)]
-    for window in (16, 4096):
+    some += ["é\u0301 \u0301x\n" * 5000 + "Σ ΑΣ" * 4000, "un broken" + "é" * 40_000 + "\u0301 end"]
+    for window in (16, None):
         e = bpe.Encoder(bpe.load_spec(path), window)
         for t in some:
             want = lib.encode(t, add_special_tokens=False).ids
-            n, raw, shown = e.encode(t)
-            assert np.frombuffer(raw, "<u4").tolist() == want and n == len(want)
-            assert shown == lib.decode(want, skip_special_tokens=False) == bpe.decode(e, want)
-    assert bpe.decode(e, np.frombuffer(e.encode("Naïve café!")[1], "<u4").tolist(), False).split() == ["naïve", "café", "!"]
+            assert np.frombuffer(e.encode(t), "<u4").tolist() == want
+            shown = lib.decode(want, skip_special_tokens=False)
+            assert bpe.decode(e, want) == shown
+            assert bpe.digest(e, t) == (len(want), hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest(), hashlib.sha256(shown.encode()).hexdigest())
+    assert bpe.decode(e, np.frombuffer(e.encode("Naïve café!"), "<u4").tolist(), False).split() == ["naïve", "café", "!"]
     got = bpe.digests(spark.createDataFrame([(1, "Hello there"), (2, None)], SCHEMA), path).collect()
     assert [r["n_tokens"] for r in got] == [2, 0] and got[1]["ids_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+def test_bpe_digests_come_from_the_decoder(monkeypatch):
+    e = bpe.Encoder(bpe.load_spec(public_tokenizers.path("word_bpe_49k.json")))
+    monkeypatch.setattr(bpe.Decoder, "push", lambda self, ids: "x" * len(ids))
+    n, _, shown = bpe.digest(e, "some words of a text")
+    assert shown == hashlib.sha256(b"x" * n).hexdigest()
+
+
+@pytest.mark.parametrize("unit", ["theingan", "words and spaces "])
+def test_bpe_streams_in_constant_memory(unit):
+    """A word of 1 MB and a text of 6 MB: beside copies of the word, less than 3 MB are held."""
+    import tracemalloc
+
+    e = bpe.Encoder(bpe.load_spec(public_tokenizers.path("word_bpe_49k.json")))
+    text = unit * ((6_000_000 if " " in unit else 1_000_000) // len(unit))
+    tracemalloc.start()
+    n = sum(len(x) for x in e.stream(text))
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n >= len(text) / 4 and held < 3_000_000 + (3 * len(text) if " " not in unit else 0)
+
+
 def test_lookahead_needs_a_proper_list():
     assert bpe.lookahead([("a", "b"), ("ab", "c</w>")], "</w>") is not None
     assert bpe.lookahead([("ab", "c"), ("a", "b")], "") is None
