@@ -85,6 +85,14 @@ def lean(f):
     return run
 
 
+def one_each(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Of the rows with one of the ids (a bounded number), one for each id, that with the least hash of its text (then
+    by the other columns): however often an id is repeated, a group keeps one row. Columns of ids come along."""
+    rest = [c for c in docs.columns if c != "doc_id"]
+    least = docs.join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("_hash"), *rest)).alias("_row"))
+    return least.select("doc_id", *[F.col(f"_row.{c}").alias(c) for c in rest]).join(F.broadcast(ids), "doc_id")
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return ["" if x is None else x for x in batch.column(column).to_pylist()]
 

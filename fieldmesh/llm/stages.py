@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from . import bpe, decontaminate, langid, neardup, suffixdedup
 from .common import kept
 
-#: A text's language must be at least this sure; a text in four languages by equal parts is just rejected.
-LEAST_SCORE = 0.26
+#: A text's language must be likelier than all others together.
+LEAST_SCORE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or with no language that is sure enough, go."""
+    """Documents without a letter (null and empty texts too), or with no language that is sure enough, go; copies share
+    their fate; an empty table stays empty; without labelled rows no language is known, and all go."""
     return langid.accepted(docs, LEAST_SCORE)
 
 

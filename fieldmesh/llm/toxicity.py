@@ -6,16 +6,20 @@ either class, how often each voter fires (its accuracy) and how voters hang toge
 correlations), fitted by expectation-maximisation. Its posterior labels train a linear classifier over what the
 lists and patterns find; that classifier scores every whole text.
 
-Words are learned from one half of the labelled training rows (by hash), so that the label model sees voters'
-true accuracies on the other. All of it takes a bounded sample of labelled rows; labels of held-out rows are never read.
+Given labels are one more voter: how often it is right is estimated with the others, and rows that lack a label are
+judged by the rest. Words are learned from one half of the labelled training rows (by hash), so that the label model
+sees voters' true accuracies on the other. The classifier sees entries, patterns and voters, so a listed insult that no
+training row has gets its list's weight. All of it takes a bounded sample of labelled rows, and counts over the whole of
+it; labels of held-out rows are never read, and of near copies one is learned from.
 
-Null texts are empty texts and get the score that goes with no findings; repeated rows give repeated rows; an
-empty table gives an empty table; a doc_id with two different labels counts as each of them once; without labels
-the fixed list and the patterns alone vote.
+Null texts are empty texts and get the score that goes with no findings; repeated rows give repeated rows, and of rows
+that share a doc_id learning takes one text; an empty table gives an empty table; a doc_id with two different labels
+counts as each of them once and has none in the label model; without labels the fixed list and the patterns alone vote.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -25,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, fold_column, id_text, kept, lean, texts_of
+from .common import crc_fold, dropped, fold_column, id_text, kept, lean, one_each, texts_of
 
 # Common insults of English.
 INSULTS = ["idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown", "imbecile", "dumb", "jerk", "filth", "vermin", "bastard"]
 PATTERNS = [r"!{3,}", r"\b[A-Z]{5,}(?:\s+[A-Z]{3,}){2,}", r"(?i)\b(?:you|u)\s+(?:are|r)\s+(?:an?|so|such)\b", r"(?i)\b(?:shut up|go to hell|hate you|kill yourself)\b"]
-#: Labelled rows that learning takes at most, and list entries kept at most for each kind.
-TRAIN_ROWS, ENTRIES = 12_000, 2_000
+#: Labelled documents that learning takes at most (those first by a hash of their id).
+TRAIN_ROWS = 12_000
+#: The chance up to which an entry of a learned list may be one by accident, before the other half of the rows is asked.
+CHANCE = 0.005
 STEMS = (4, 5, 6)
 GROUPS = 4
 WORD = re.compile(r"[^\W\d_]+")
@@ -87,16 +93,19 @@ def voters(entries: list[str], kinds: list[str]) -> tuple[np.ndarray, int]:
 
 
 def label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, dict]:
-    """P(class 1) of each row from its votes (rows x voters, 0/1). known: 1, 0 or -1 where no label is given; given
-    labels vote too, as a voter that is right in 19 of 20 cases. Within a class, voters follow a tree of their strongest correlations."""
+    """P(class 1) of each row from its votes (rows x voters, 0/1). known: 1, 0 or -1 where no label is given. Within a
+    class, voters follow a tree of their strongest correlations; the labels' own accuracy is estimated beside them."""
     n, m = votes.shape
-    start = np.where(known >= 0, known, votes.any(1) * 0.7 + 0.02)
-    q = np.clip(start.astype(float), 0.02, 0.98)
+    given = known >= 0
+    start = 1.5 * votes.sum(1) - 2.5 + 1.5 * given * (2 * known - 1)
+    q = 1 / (1 + np.exp(-start))
     model: dict = {}
     for _ in range(rounds):
         prior = np.clip(q.mean(), 1e-3, 1 - 1e-3)
         logit = np.full(n, np.log(prior / (1 - prior)))
-        logit += np.where(known >= 0, (2 * known - 1) * np.log(19), 0)
+        # how often a given label is 1 in either class, as if two more rows of each had agreed with it in 9 of 10 cases
+        says = [np.clip((w[given & (known == 1)].sum() + 2 * hit) / (w[given].sum() + 2), 1e-3, 1 - 1e-3) for w, hit in ((1 - q, 0.1), (q, 0.9))]
+        logit += np.where(known == 1, np.log(says[1] / says[0]), np.where(known == 0, np.log((1 - says[1]) / (1 - says[0])), 0))
         mutual, tables = np.zeros((m, m)), []
         for y in (0, 1):
             w = q if y else 1 - q
@@ -130,7 +139,7 @@ def label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 30) -> tuple
                     p = np.where(v, one, 1 - one)
                 logit += sign * np.log(np.clip(p, 1e-6, 1))
         new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        model = {"prior": prior, "fires": [t[0] for t in tables], "parent": parent}
+        model = {"prior": prior, "fires": [t[0] for t in tables], "parent": parent, "labels": says}
         if np.abs(new - q).max() < 1e-4:
             q = new
             break
@@ -154,42 +163,58 @@ def linear(rows: list[list[int]], target: np.ndarray, size: int, l2: float = 5e-
     return w
 
 
-def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> dict:
-    """Lists and weights from a bounded sample of labelled rows that are not held out."""
-    spark = docs.sparkSession
+def sampled(docs: DataFrame, labels: DataFrame, train_rows: int) -> DataFrame:
+    """doc_id, text, low, high (least and largest label) of the labelled documents that learning takes."""
     given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold_column(5) != 0))
-    sample = given.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(train_rows).toPandas()
-    truth: dict[int, set[int]] = {}
-    for i, y in zip(sample["doc_id"], sample["toxic"]):
-        truth.setdefault(int(i), set()).add(int(y))
-    shared = spark.sparkContext.broadcast(truth)
-    texts = id_text(docs).where(F.col("doc_id").isNotNull()).join(F.broadcast(spark.createDataFrame([(i,) for i in truth], "doc_id long")), "doc_id", "left_semi")
+    chosen = given.groupBy("doc_id").agg(F.min("toxic").alias("low"), F.max("toxic").alias("high")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    # near copies mostly share the least hashes of their word pairs: one of them is learned from, so that what a copied text says counts once
+    words = F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+")
+    words = F.array_sort(F.array_distinct(F.zip_with(words, F.slice(words, 2, 1 << 30), lambda a, b: F.xxhash64(a, b))))
+    rows = one_each(id_text(docs), chosen).withColumn("like", F.slice(words, 1, 2))
+    return kept(rows.groupBy("like", "low", "high").agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("x")).select("x.doc_id", "x.text", "low", "high"), "labelled")
+
+
+def lists(sample: DataFrame) -> tuple[list[str], list[str]]:
+    """Entries and their kinds: the fixed list, and what is eight times as frequent in toxic rows as in others, and not by chance."""
 
     @lean
     def count(batches):
         n: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for b in batches:
-            for i, t in zip(b.column("doc_id").to_pylist(), texts_of(b)):
+            for i, t, low, high in zip(b.column("doc_id").to_pylist(), texts_of(b), b.column("low").to_pylist(), b.column("high").to_pylist()):
                 if crc_fold(i, 2) == 0:
-                    for y in shared.value[i]:
-                        n[y].update(e := entries_of(t))
-                        n[y][""] += bool(e) or 1
-        seen = sorted(n[1])  # what never occurs in a toxic row is no sign of it
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), pa.array([n[1][e] for e in seen], pa.int64()), pa.array([n[0][e] for e in seen], pa.int64()), pa.array([0] * len(seen), pa.int64())], ["e", "t", "c", "d"])
-        if n[0][""] and not n[1][""]:
-            yield pa.RecordBatch.from_arrays([pa.array([""]), pa.array([0], pa.int64()), pa.array([n[0][""]], pa.int64()), pa.array([0], pa.int64())], ["e", "t", "c", "d"])
-
-    parts = kept(texts.mapInArrow(count, "e string, t long, c long, d long").groupBy("e").agg(F.sum("t").alias("t"), F.sum("c").alias("c")), "entries")
+                    for y in {low, high}:
+                        n[y].update(entries_of(t))
+                        n[y][""] += 1  # rows
+        seen = sorted(n[0].keys() | n[1].keys())
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), pa.array([n[1][e] for e in seen], pa.int64()), pa.array([n[0][e] for e in seen], pa.int64())], ["e", "t", "c"])
+
+    parts = kept(sample.mapInArrow(count, "e string, t long, c long").groupBy("e").agg(F.sum("t").alias("t"), F.sum("c").alias("c")), "entries")
     totals = parts.where("e = ''").collect()
     nt, nc = (totals[0]["t"], totals[0]["c"]) if totals else (0, 0)
-    entries, kinds = [f"w:{w}" for w in INSULTS], ["fixed"] * len(INSULTS)
+    fixed = [f"w:{w}" for w in INSULTS]
+    learned = []
     if nt and nc:
-        # clean rows that a task without toxic rows saw are missing from c, so precision is checked again below
-        signs = parts.where((F.col("e") != "") & (F.col("t") >= 2) & (F.col("t") / nt > 8 * F.col("c") / nc)).withColumn("kind", F.col("e").substr(1, 1))
-        for kind in ("w", *map(str, STEMS)):
-            top = signs.where(F.col("kind") == kind).orderBy(F.desc(F.col("t") / (F.col("c") * (nt / nc) + 1)), "e").limit(ENTRIES).collect()
-            entries += [r["e"] for r in top if r["e"] not in entries[: len(INSULTS)]]
-            kinds += ["learned"] * (len(entries) - len(kinds))
+        # Chernoff's bound on seeing an entry in so many toxic rows by chance
+        share, toxic = F.col("t") / (F.col("t") + F.col("c")), nt / (nt + nc)
+        clean = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - toxic))).otherwise(0.0)
+        sure = (F.col("t") + F.col("c")) * (share * F.log(share / toxic) + clean) > -math.log(CHANCE)
+        learned = sorted(r["e"] for r in parts.where((F.col("e") != "") & (F.col("t") > 0)).where((F.col("t") / nt > 8 * F.col("c") / nc) & sure).select("e").collect())  # bounded by the sample's words
+    dropped(sample.sparkSession, parts)
+    learned = [e for e in learned if e not in fixed]
+    return fixed + learned, ["fixed"] * len(fixed) + ["learned"] * len(learned)
+
+
+def features(found: list[int], voter: np.ndarray, size: int) -> list[int]:
+    """Findings, and the voters they make fire as findings from size on."""
+    return [*found, *{size + int(v) for v in voter[found]}]
+
+
+def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> dict:
+    """Lists and weights from a bounded sample of labelled rows that are not held out."""
+    spark = docs.sparkSession
+    sample = sampled(docs, labels, train_rows)
+    entries, kinds = lists(sample)
     finder = Finder(entries)
     used = spark.sparkContext.broadcast(entries)
 
@@ -197,14 +222,14 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> d
     def findings(batches):
         f = Finder(used.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([f.find(t) for t in texts_of(b)], pa.list_(pa.int32()))], ["doc_id", "found"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("low"), b.column("high"), pa.array([f.find(t) for t in texts_of(b)], pa.list_(pa.int32()))], ["doc_id", "low", "high", "found"])
 
-    got = texts.mapInArrow(findings, "doc_id long, found array<int>").toPandas().sort_values("doc_id", kind="stable") if truth else None
-    rows = [list(map(int, r)) for r in got["found"]] if got is not None else []
-    ids = [int(i) for i in got["doc_id"]] if got is not None else []
-    y = np.array([max(truth[i]) if len(truth[i]) == 1 else -1 for i in ids], int)
+    got = sample.mapInArrow(findings, "doc_id long, low int, high int, found array<int>").toPandas().sort_values("doc_id")
+    dropped(spark, sample)
+    rows = [list(map(int, r)) for r in got["found"]]
+    y = np.where(got["low"] == got["high"], got["low"], -1).astype(int)
     # learned entries stay if the rows they were not learned from bear them out
-    apart = np.array([crc_fold(i, 2) for i in ids], int)
+    apart = np.array([crc_fold(int(i), 2) for i in got["doc_id"]], int)
     fires, clean = np.zeros(finder.size), np.zeros(finder.size)
     for r, k, a in zip(rows, y, apart):
         if k >= 0 and a:
@@ -217,27 +242,27 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> d
     votes = np.zeros((len(rows), m))
     for k, r in enumerate(rows):
         votes[k, voter[r]] = 1
-    q, model = label_model(votes, np.where(apart == 1, y, -1)) if len(rows) else (np.zeros(0), {})
-    w = linear(rows, q, finder.size)
-    if not len(rows):
-        w[: len(INSULTS)] = 5.0
-    unseen = np.bincount([k for r in rows for k in r], minlength=finder.size)[: len(INSULTS)] < 3
-    w[: len(INSULTS)][unseen] = np.maximum(w[: len(INSULTS)][unseen], 0.5 - w[-1])  # the fixed list needs no examples
-    w[: finder.size][~good] = 0
-    keep = [k for k in range(len(entries)) if good[k] and abs(w[k]) > 1e-6]
-    return {"entries": [entries[k] for k in keep], "weights": [*w[keep], *w[len(entries) : finder.size]], "bias": float(w[-1]), "label_model": model}
+    model: dict = {}
+    if rows:
+        q, model = label_model(votes, np.where(apart == 1, y, -1))
+        w = linear([features(r, voter, finder.size) for r in rows], q, finder.size + m)
+    else:  # the fixed list decides
+        w = np.zeros(finder.size + m + 1)
+        w[[finder.size, -1]] = 5.0, -3.0
+    keep = np.flatnonzero(good[: len(entries)])
+    return {"entries": [entries[k] for k in keep], "weights": np.concatenate([w[keep], w[len(entries) : -1]]), "voter": np.concatenate([voter[keep], voter[len(entries) :]]), "bias": float(w[-1]), "label_model": model}
 
 
 def score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs."""
-    model = learn(docs, labels, train_rows)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, train_rows))
 
     @lean
     def run(batches):
-        f, w, bias = Finder(shared.value["entries"]), np.array(shared.value["weights"]), shared.value["bias"]
+        model = shared.value
+        f, w = Finder(model["entries"]), model["weights"]
         for b in batches:
-            z = np.array([bias + w[f.find(t)].sum() for t in texts_of(b)])
+            z = np.array([model["bias"] + w[features(f.find(t), model["voter"], f.size)].sum() for t in texts_of(b)])
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             ids = b.column("doc_id")
             yield pa.RecordBatch.from_arrays([ids, pa.array([crc_fold(i, 5) == 0 for i in ids.to_pylist()], pa.bool_()), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])

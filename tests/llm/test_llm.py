@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 pytest.importorskip("fieldmesh.llm")
 import public_tokenizers  # noqa: E402
 
-from fieldmesh.llm import bpe, decontaminate, imatch, langid, licenses, neardup, queries, scoring, suffixdedup, toxicity, urlfilter  # noqa: E402
+from fieldmesh.llm import bpe, decontaminate, imatch, langid, licenses, neardup, queries, scoring, stages, suffixdedup, toxicity, urlfilter  # noqa: E402
 
 SCHEMA = "doc_id long, text string"
 WORDS = "the of and in to it was for on that with as by at from is an or be are his this have not were which had".split()
@@ -250,6 +250,9 @@ def test_language_id(spark):
     assert sum(a == b for a, b in held) >= 0.9 * len(held)
     assert got[400]["lang_pred"] == got[401]["lang_pred"] == "und"
     assert got[1]["held_out"] == (zlib.crc32(b"1") % 3 == 1)
+    mixed = [(500, " ".join(" ".join(alphabet[x].split() * 3) for x in alphabet), "en"), (501, "the and of ing er " * 9, "en"), (502, None, "en"), (503, "", "de")]
+    kept = stages.language(spark, spark.createDataFrame(rows + mixed, "doc_id long, text string, lang string"), "")
+    assert {r["doc_id"] for r in kept.where("doc_id >= 500").collect()} == {501}
 
 
 def test_toxicity(spark):
@@ -267,6 +270,51 @@ def test_toxicity(spark):
     assert [r["predicted"] for r in alone] == [1, 0, 0]
 
 
+def test_toxicity_lists_do_not_hang_on_partitions(spark):
+    """Entries and counts are those of a plain count over the sample, whatever partitions it comes in."""
+    rng = random.Random(7)
+    bad = ["blorken", "zzarg", "quibblo"]
+    rows = [(i, prose(rng, 30) + (f" {rng.choice(bad)}ly {rng.choice(bad)}" if i % 5 == 0 else "")) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    models = [toxicity.learn(spark.createDataFrame(rows, SCHEMA).repartition(n), labels) for n in (1, 50)]
+    assert models[0]["entries"] == models[1]["entries"] and np.allclose(models[0]["weights"], models[1]["weights"])
+    sample = toxicity.sampled(spark.createDataFrame(rows, SCHEMA), labels, 10_000)
+    taken = sample.collect()
+    assert 200 < len(taken) and all(zlib.crc32(str(r["doc_id"]).encode()) % 5 for r in taken)
+    half = [(r["text"], r["doc_id"] % 5 == 0) for r in taken if zlib.crc32(str(r["doc_id"]).encode()) % 2 == 0]
+    n = {y: collections.Counter(e for t, z in half if z == y for e in toxicity.entries_of(t)) for y in (True, False)}
+    nt, nc = sum(z for _, z in half), sum(not z for _, z in half)
+
+    def sure(e):
+        a, b = n[True][e], n[False][e]
+        share, toxic = a / (a + b), nt / (nt + nc)
+        return a / nt > 8 * b / nc and (a + b) * (share * math.log(share / toxic) + ((1 - share) * math.log((1 - share) / (1 - toxic)) if b else 0)) > -math.log(toxicity.CHANCE)
+
+    assert set(toxicity.lists(sample)[0][len(toxicity.INSULTS) :]) == {e for e in n[True] if sure(e)}
+    assert any(e.endswith("blorken") for e in models[0]["entries"])
+
+
+def test_label_model_estimates_voters_and_labels():
+    """A better voter gets the higher accuracy; given labels that are often wrong weigh little."""
+    rng = np.random.default_rng(1)
+    truth = rng.random(4000) < 0.3
+    votes = np.stack([rng.random(4000) < np.where(truth, a, b) for a, b in ((0.95, 0.01), (0.8, 0.03), (0.8, 0.03), (0.4, 0.1))], 1).astype(float)
+    noisy = np.where(rng.random(4000) < 0.65, truth, ~truth).astype(int)
+    q, model = toxicity.label_model(votes, np.where(rng.random(4000) < 0.5, noisy, -1))
+    assert ((q > 0.5) == truth).mean() > 0.95
+    right = [model["fires"][1][k] - model["fires"][0][k] for k in range(4)]
+    assert right[0] > right[1] > right[3]
+    assert model["labels"][1] - model["labels"][0] < 0.5
+
+
+def test_toxicity_and_language_take_one_text_of_a_repeated_id(spark):
+    rows = [(1, f"the text number {k} of one id") for k in range(500)] + [(2, "another")]
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, toxic int")
+    assert toxicity.sampled(spark.createDataFrame(rows, SCHEMA), labels, 100).count() <= 2
+    x, _, _ = langid.sample_windows(spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string"), 100)
+    assert len(x) <= 2
+
+
 def test_imatch(spark, texts):
     got = {r["doc_id"]: r for r in imatch.fingerprints(spark.createDataFrame(texts, SCHEMA)).collect()}
     order = sorted(texts, reverse=True)
