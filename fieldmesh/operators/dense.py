@@ -22,25 +22,31 @@ def winner(costs: DataFrame) -> DataFrame:
     return costs.groupBy("r", "c").agg(F.min_by("d", F.struct("cost", "d")).alias("d"))
 
 
-def path_costs(costs: DataFrame, small: float, large: float) -> DataFrame:
-    """r, c, d, total along each row from left to right: cost plus the least of staying, a step of one (small) or more
-    (large), less the best before. One fold for each row, over its pixels' cost vectors."""
-    vectors = costs.groupBy("r", "c").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "cost"))), lambda x: x["cost"]).alias("v"))
-    rows = vectors.groupBy("r").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("line"))
+def path_costs(costs: DataFrame, small: float, large: float, directions: list[tuple[int, int]] = ((0, 1),)) -> DataFrame:
+    """r, c, d, total: the sum over directions (dr, dc) of the cost along lines of pixels in that direction: a pixel's cost
+    plus the least of staying, a step of one (small) or more (large), less the best before. Every pixel has the same
+    disparities. A line of pixels is a group; it is walked once, all disparities at a time."""
+    import numpy as np
+    import pandas as pd
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("at")
+        v = np.stack(pdf["v"].to_numpy())
+        out = v.copy()
+        for i in range(1, len(v)):
+            x = out[i - 1]
+            best = x.min()
+            padded = np.concatenate([[np.inf], x, [np.inf]])
+            out[i] = v[i] + np.minimum(np.minimum(x, best + large), np.minimum(padded[:-2], padded[2:]) + small) - best
+        return pdf[["r", "c"]].assign(v=list(out))
+
+    pixels = costs.groupBy("r", "c").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "cost"))), lambda x: x["cost"]).alias("v"))
+    # pixels on one line share r dc - c dr, and follow one another by r dr + c dc
+    ways = F.explode(F.array(*[F.struct(F.lit(k).alias("way"), (F.col("r") * dc - F.col("c") * dr).alias("line"), (F.col("r") * dr + F.col("c") * dc).alias("at")) for k, (dr, dc) in enumerate(directions)])).alias("w")
+    lines = pixels.select("r", "c", "v", ways).select("r", "c", "v", "w.way", "w.line", "w.at")
+    walked = lines.groupBy("way", "line").applyInPandas(walk, "r long, c long, v array<double>")
+    return walked.select("r", "c", F.posexplode("v").alias("d", "x")).groupBy("r", "c", "d").agg(F.sum("x").alias("total"))
 
-    def step(done: Column, x: Column) -> Column:
-        before = F.element_at(done, -1)["v"]
-        best = F.array_min(before)
-
-        def one(cost: Column, i: Column) -> Column:
-            stay = F.get(before, i)
-            down, up = F.coalesce(F.get(before, i - 1), F.lit(1e18)), F.coalesce(F.get(before, i + 1), F.lit(1e18))
-            return cost + F.least(stay, F.least(down, up) + small, best + large) - best
-
-        return F.concat(done, F.array(F.struct(x["c"].alias("c"), F.transform(x["v"], one).alias("v"))))
-
-    folded = rows.select("r", F.aggregate(F.slice("line", 2, F.size("line")), F.slice("line", 1, 1), step).alias("line"))
-    return folded.select("r", F.explode("line").alias("p")).select("r", "p.c", F.posexplode("p.v").alias("d", "total"))
 
 
 def left_right_check(left: DataFrame, right: DataFrame, most: float) -> DataFrame:

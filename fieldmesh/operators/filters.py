@@ -100,6 +100,14 @@ def voxel_cleanup(points: DataFrame, size: float, least: int, k: float) -> DataF
     return d.where((F.col("_n") >= least) & (F.abs(F.col("z") - F.col("_m")) <= k * F.col("_s") + 1e-12)).select(*points.columns)
 
 
+def radius_outliers(points: DataFrame, radius: float, least: int) -> DataFrame:
+    """id, n of the points with fewer than least other points within radius, those without any among them."""
+    from fieldmesh.operators.joins import radius_counts
+
+    others = radius_counts(points, radius).select("id", (F.col("n") - 1).alias("n"))  # every point with coordinates meets itself
+    return points.select("id").join(others, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") < least)
+
+
 def normal_consistency(points: DataFrame, radius: float, least: float, neighbours: int = 3) -> DataFrame:
     """Points (id, x, y, z, nx, ny, nz) whose normals agree with those around: mean |dot| of unit normals at least least, over
     that many neighbours or more; points with fewer neighbours stay."""

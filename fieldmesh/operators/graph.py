@@ -10,8 +10,11 @@ from pyspark.sql.window import Window
 
 
 def _folder(spark) -> str:
+    """The folder named in spark.checkpoint.dir, which all executors share. Only a local session may go without (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         at = f"file://{tempfile.gettempdir()}/checkpoints"

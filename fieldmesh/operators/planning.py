@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -58,19 +59,19 @@ def block_overlap(blocks: DataFrame, edges: DataFrame, most: int) -> DataFrame:
 
 def admissible(tasks: DataFrame, needs: DataFrame) -> DataFrame:
     """task, depth: the longest chain of needs below each task; tasks on or behind a cycle or with an unknown need are left out.
-    Rounds take tasks all of whose needs are placed."""
+    Rounds take tasks the last of whose needs were placed in the round before, and drop those needs; what a round placed is written."""
     from fieldmesh.operators.graph import settled
 
-    placed, left, depth = None, settled(tasks.select("task")), 0
-    while True:
-        waits = needs.join(placed.select(F.col("task").alias("need")), "need", "left_anti") if placed is not None else needs
-        ready = left.join(waits.select("task").distinct(), "task", "left_anti").withColumn("depth", F.lit(depth))
-        ready = settled(ready)
-        if not ready.limit(1).count():
-            return placed if placed is not None else ready
-        placed = ready if placed is None else settled(placed.union(ready))
-        left = settled(left.join(ready, "task", "left_anti"))
+    left = needs.select("task", "need").distinct()
+    ready, depth, placed = settled(tasks.select("task").distinct().join(left, "task", "left_anti")), 0, []
+    while not placed or ready.limit(1).count():
+        placed.append(ready.withColumn("depth", F.lit(depth)))
+        done = ready.select(F.col("task").alias("need"))
+        freed = left.join(done, "need", "left_semi").select("task").distinct()
+        left = settled(left.join(done, "need", "left_anti"))
+        ready = settled(freed.join(left.select("task").distinct(), "task", "left_anti").join(tasks.select("task").distinct(), "task", "left_semi"))
         depth += 1
+    return reduce(DataFrame.unionByName, placed)
 
 
 def stationary_tracks(obs: DataFrame, factor: float = 4.0) -> DataFrame:

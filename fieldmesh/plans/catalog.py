@@ -455,9 +455,9 @@ def density(spark, d):
     return joins.radius_counts(table(spark, d, "points"), 3.0).where("n >= 4")
 
 
-@query("f11_radius_outliers", f"SELECT a.id FROM points a JOIN points b ON a.id <> b.id AND {DIST} <= 3 GROUP BY a.id HAVING count(*) < 3")
+@query("f11_radius_outliers", f"WITH n AS (SELECT a.id, count(b.id) AS n FROM points a LEFT JOIN points b ON a.id <> b.id AND {DIST} <= 1.6 GROUP BY a.id) SELECT id, n FROM n WHERE n < 3")
 def radius_outliers(spark, d):
-    return joins.radius_counts(table(spark, d, "points"), 3.0).where("n - 1 between 1 and 2").select("id")
+    return filters.radius_outliers(table(spark, d, "points"), 1.6, 3)
 
 
 @query("j10_plane_weight", f"SELECT a.id AS a_id, b.id AS b_id, round(greatest(0.1, greatest(0, least(1, 1 - {DIST} / 4)) * greatest(0, least(1, 1 - (b.id % 10) / 10))), 4) AS weight FROM queries a JOIN points b ON a.id <> b.id AND {DIST} <= 4 QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY {DIST}, b.id) = 1")
@@ -471,13 +471,17 @@ L2 = "round(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1]::DOUBLE
 
 @query(
     "f12_mutual_ratio",
-    f"""WITH l AS (SELECT * FROM vectors WHERE id % 5 = 0), r AS (SELECT * FROM vectors WHERE id % 5 = 1), d AS (SELECT a.id AS a, b.id AS b, {L2} AS d FROM l a, r b),
-    f AS (SELECT a, min_by(b, (d, b)) AS b, min(d) AS d1, list_sort(list(d))[2] AS d2 FROM d GROUP BY a), k AS (SELECT b, min_by(a, (d, a)) AS a FROM d GROUP BY b) SELECT f.a AS a_id, f.b AS b_id, round(d1, 4) AS d1, round(d2, 4) AS d2 FROM f JOIN k ON f.a = k.a AND f.b = k.b WHERE d1 < 0.95 * d2""",
+    f"""WITH d AS (SELECT a.id AS a, b.id AS b, {L2} AS d FROM vectors a, vectors b WHERE a.id % 100 = 0 AND a.id <> b.id),
+    f AS (SELECT a, min_by(b, (d, b)) AS b, min(d) AS d1, list_sort(list(d))[2] AS d2 FROM d GROUP BY a), e AS (SELECT a.id AS a, b.id AS b, {L2} AS d FROM vectors a, vectors b WHERE a.id IN (SELECT b FROM f) AND a.id <> b.id),
+    k AS (SELECT a AS b, min_by(b, (d, b)) AS a, min(d) AS e1, list_sort(list(d))[2] AS e2 FROM e GROUP BY a), m AS (SELECT f.a, f.b, d1, d2, greatest(sqrt(d1 / d2), sqrt(e1 / e2)) AS ratio FROM f JOIN k ON f.a = k.a AND f.b = k.b),
+    q AS (SELECT CASE WHEN count(*) < 64 THEN 0.98 ELSE least(0.98, greatest(0.78, list_sort(list(ratio))[least(count(*) - 1, count(*) * 3 // 4) + 1] + 0.02)) END AS most FROM m)
+    SELECT a AS a_id, b AS b_id, round(d1, 4) AS d1, round(d2, 4) AS d2 FROM m, q WHERE ratio <= most""",
 )
 def mutual_ratio(spark, d):
     v = table(spark, d, "vectors")
-    left, right = v.where("id % 5 = 0"), v.where("id % 5 = 1")
-    return rounded(joins.mutual(joins.two_nearest(left, right), joins.two_nearest(right, left), 0.95))
+    forward = joins.two_nearest(v.where("id % 100 = 0"), v)  # the query set against all rows
+    matched = v.join(F.broadcast(forward.select(F.col("b_id").alias("id")).distinct()), "id", "left_semi")
+    return rounded(joins.unambiguous(forward, joins.two_nearest(matched, v)))
 
 
 SHARED = "s AS (SELECT x.image AS a, y.image AS b, count(*) AS n FROM (SELECT DISTINCT track, image FROM obs) x JOIN (SELECT DISTINCT track, image FROM obs) y ON x.track = y.track AND x.image < y.image GROUP BY 1, 2)"
@@ -811,12 +815,16 @@ def marker_roles(spark, d):
 
 # tasks --------------------------------------------------------------------------------------------------------------
 
-STEPS = {"view": ["click"], "click": ["purchase", "view"]}
+# events stand in for steps of tasks: an event's number names one of the ten states
+STATE_OF = f"{tasks.STATES!r}[(seq * 7 + CAST(floor(seq / 10) AS BIGINT)) % 10 + 1]"
+LEGAL = ", ".join(f"('{a}', '{b}')" for a, to in tasks.TRANSITIONS.items() for b in to)
 
 
-@query("r07_state_machine", "WITH l AS (SELECT run, moment, seq, lag(state) OVER (PARTITION BY run ORDER BY moment, seq) AS before, state FROM task_events) SELECT run, moment, seq, before, state, before IS NULL OR before = state OR (before = 'view' AND state = 'click') OR (before = 'click' AND state IN ('purchase', 'view')) AS legal FROM l")
+@query("r07_state_machine", f"WITH t AS (SELECT run, moment, seq, {STATE_OF} AS state FROM task_events), l AS (SELECT run, moment, seq, lag(state) OVER (PARTITION BY run ORDER BY moment, seq) AS before, state FROM t) SELECT run, moment, seq, before, state, before IS NULL OR before = state OR (before, state) IN ({LEGAL}) AS legal FROM l")
 def state_machine(spark, d):
-    return tasks.checked(table(spark, d, "task_events"), tasks.transitions(spark, STEPS))
+    number = (F.col("seq") * 7 + F.floor(F.col("seq") / 10)) % 10
+    named = table(spark, d, "task_events").withColumn("state", F.element_at(F.array(*map(F.lit, tasks.STATES)), (number + 1).cast("int")))
+    return tasks.checked(named, tasks.transitions(spark))
 
 
 @query("r06_latest_state", "SELECT run, max_by(state, (moment, seq)) AS state, count(*) AS revision FROM task_events GROUP BY run")
@@ -824,10 +832,10 @@ def latest_state(spark, d):
     return tasks.latest(table(spark, d, "task_events"))
 
 
-@query("r05_resume", "SELECT DISTINCT run FROM task_events WHERE run NOT IN (SELECT run FROM task_events WHERE state = 'purchase')")
+@query("r05_resume", "SELECT run FROM task_events GROUP BY run HAVING max_by(state, (moment, seq)) <> 'purchase'")
 def resume(spark, d):
     e = table(spark, d, "task_events")
-    return tasks.to_resume(e.select("run").distinct(), e.where("state = 'purchase'").select("run"), ["run"])
+    return tasks.to_resume(e.select("run").distinct(), tasks.latest(e).where("state = 'purchase'").select("run"), ["run"])
 
 
 @query("r03_admission", "WITH q AS (SELECT o_orderpriority AS pool, o_orderkey % 10 AS priority, o_orderkey AS seq, (o_custkey % 5 + 1)::BIGINT AS demand FROM orders), u AS (SELECT *, sum(demand) OVER (PARTITION BY pool ORDER BY priority DESC, seq ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM q) SELECT pool, count(*) FILTER (WHERE used <= 500) AS admitted, count(*) AS n FROM u GROUP BY pool")

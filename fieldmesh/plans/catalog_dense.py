@@ -31,9 +31,27 @@ def least_cost(spark, d):
     return dense.winner(_costs(spark, d))
 
 
-@query("w12_path_costs")
+def _line(name: str, line: str, at: str) -> str:
+    """SQL of the costs along lines, in order of place: v is the list of a pixel's costs by disparity."""
+    return f"""{name} AS (SELECT {line} AS l, {at} AS p, r, c, v FROM u WHERE ({line}, {at}) IN (SELECT ({line}, min({at})) FROM u GROUP BY {line}) UNION ALL SELECT x.l, n.p, n.r, n.c, list_transform(generate_series(1, 4), lambda i: n.v[i]
+    + least(x.v[i], coalesce(x.v[i - 1], 1e18) + 0.5::DOUBLE, coalesce(x.v[i + 1], 1e18) + 0.5::DOUBLE, list_min(x.v) + 2.0::DOUBLE) - list_min(x.v)) FROM {name} x JOIN (SELECT {line} AS l, {at} AS p, lag({at}) OVER (PARTITION BY {line} ORDER BY {at}) AS b, r, c, v FROM u) n ON n.l = x.l AND n.b = x.p)"""
+
+
+PATHS = {(0, 1): ("r", "c"), (0, -1): ("r", "-c"), (1, 0): ("c", "r"), (-1, 0): ("c", "-r"), (1, 1): ("r - c", "r"), (1, -1): ("r + c", "r")}
+
+
+@query(
+    "w12_path_costs",
+    f"WITH RECURSIVE {COST}, w AS (SELECT r, c, list(cost ORDER BY d) AS v, count(*) AS n FROM k GROUP BY r, c), u AS (SELECT r, c, v FROM w WHERE n = 4), "
+    + ", ".join(_line(f"p{i}", *x) for i, x in enumerate(PATHS.values()))
+    + ", t AS ("
+    + " UNION ALL ".join(f"SELECT r, c, v FROM p{i}" for i in range(len(PATHS)))
+    + ") SELECT r, c, d - 1 AS d, round(sum(v[d]), 4) AS total FROM t, generate_series(1, 4) g(d) GROUP BY r, c, d",
+)
 def path_costs(spark, d):
-    return rounded(dense.path_costs(_costs(spark, d), 0.5, 2.0))
+    k = _costs(spark, d)
+    whole = k.groupBy("r", "c").agg(F.count("*").alias("n")).where("n = 4").select("r", "c")
+    return rounded(dense.path_costs(k.join(whole, ["r", "c"], "left_semi"), 0.5, 2.0, list(PATHS)).withColumn("d", F.col("d").cast("long")))
 
 
 @query("w10_left_right_check", "WITH a AS (SELECT r, c, max(tile) % 3 AS d FROM samples GROUP BY r, c), b AS (SELECT r, c, min(tile) % 3 AS d FROM samples GROUP BY r, c) SELECT a.r, a.c, a.d FROM a JOIN b ON a.r = b.r AND b.c = a.c - a.d WHERE abs(a.d - b.d) <= 1")
@@ -165,9 +183,10 @@ def pair_key_codec(spark, d):
     return s.select(F.col("s_suppkey").alias("id"), a.alias("a"), b.alias("b"))
 
 
-@query("p22_mask_filter", "WITH m AS (SELECT DISTINCT r, c FROM samples WHERE z > 85), k AS (SELECT id, floor(y / 10)::BIGINT AS r, floor(x / 5)::BIGINT AS c FROM points) SELECT id FROM k WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.r = k.r AND m.c = k.c)")
+@query("p22_mask_filter", "WITH m AS (SELECT r, c FROM samples GROUP BY r, c HAVING avg(z) > (SELECT avg(z) FROM samples)), k AS (SELECT id, floor(y / 10)::BIGINT AS r, floor(x / 5)::BIGINT AS c FROM points) SELECT id FROM k WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.r = k.r AND m.c = k.c)")
 def mask_filter(spark, d):
-    m = table(spark, d, "samples").where("z > 85").select("r", "c").distinct()
+    s = table(spark, d, "samples")
+    m = s.groupBy("r", "c").agg(F.avg("z").alias("z")).join(F.broadcast(s.agg(F.avg("z").alias("all"))), F.col("z") > F.col("all")).select("r", "c")  # one row
     k = table(spark, d, "points").select("id", F.floor(F.col("y") / 10).alias("r"), F.floor(F.col("x") / 5).alias("c"))
     return k.join(m, ["r", "c"], "left_anti").select("id")
 
@@ -250,12 +269,15 @@ def block_overlap(spark, d):
     return planning.block_overlap(planning.balanced_blocks(e, 5), e, 2).withColumn("nodes", F.array_join("nodes", ","))
 
 
-@query("g15_task_admission", "SELECT range AS task, range::INT AS depth FROM range(12)")
+@query("g15_task_admission", "SELECT o_orderkey AS task, (row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) - 1)::INT AS depth FROM orders")
 def task_admission(spark, d):
-    chain = spark.range(12).select(F.col("id").alias("task"))
-    needs = spark.range(1, 12).select(F.col("id").alias("task"), (F.col("id") - 1).alias("need"))
-    loop = spark.createDataFrame([(50, 51), (51, 50), (52, 50)], "task long, need long")
-    return planning.admissible(chain.union(loop.select("task")), needs.union(loop))
+    from pyspark.sql.window import Window
+
+    # an order waits for its customer's order of the same priority before it
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey", "o_orderpriority").orderBy("o_orderkey"))
+    needs = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("task"), before.alias("need"))
+    loop = spark.createDataFrame([(-50, -51), (-51, -50), (-52, -50)], "task long, need long")  # never admitted
+    return planning.admissible(needs.select("task").union(loop.select("task")), needs.where("need is not null").union(loop))
 
 
 @query("g08_spatial_network", f"WITH k AS (SELECT a.id AS x, b.id AS y FROM queries a JOIN queries b ON a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY {DIST}, b.id) <= 2) SELECT DISTINCT least(x, y) AS a, greatest(x, y) AS b FROM k WHERE (x + y) % 3 <> 0")
@@ -270,10 +292,10 @@ def thinned_tracks(spark, d):
     return joins.shared_tracks(_balanced(spark, d))
 
 
-@query("n24_descriptor_nn", "SELECT a.id AS a_id, min_by(b.id, (list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))), b.id)) AS b_id FROM (SELECT * FROM vectors WHERE id % 10 = 0) a, (SELECT * FROM vectors WHERE id % 10 <> 0) b GROUP BY a.id")
+@query("n24_descriptor_nn", "SELECT a.id AS a_id, min_by(b.id, (list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))), b.id)) AS b_id FROM vectors a, vectors b WHERE a.id % 100 = 0 AND a.id <> b.id GROUP BY a.id")
 def descriptor_nn(spark, d):
     v = table(spark, d, "vectors")
-    return joins.two_nearest(v.where("id % 10 = 0"), v.where("id % 10 <> 0")).select("a_id", "b_id")
+    return joins.two_nearest(v.where("id % 100 = 0"), v).select("a_id", "b_id")
 
 
 @query("s03_match_index", "SELECT a AS owner, count(*) AS blocks, sum(inliers)::BIGINT AS inliers, max(created) AS newest FROM variants GROUP BY a")
@@ -339,7 +361,7 @@ def normal_consistency(spark, d):
 
 @query(
     "p06_ray_ground",
-    """WITH g AS (SELECT floor(y)::BIGINT AS r, floor(x)::BIGINT AS c, avg(z) AS z FROM points GROUP BY 1, 2), q AS (SELECT id, x, y FROM points WHERE id % 7 = 0),
+    """WITH g AS (SELECT floor(y)::BIGINT AS r, floor(x)::BIGINT AS c, avg(z) AS z FROM points GROUP BY 1, 2), q AS (SELECT id, x, y FROM points),
     a AS (SELECT q.id, x, y, g.z FROM q LEFT JOIN g ON g.r = floor(y + (100 - 10) / 100 * 0.5::DOUBLE) AND g.c = floor(x + (100 - 10) / 100 * 0.25::DOUBLE)),
     b AS (SELECT a.id, x, y, a.z AS z1, g.z FROM a LEFT JOIN g ON g.r = floor(y + (100 - a.z) / 100 * 0.5::DOUBLE) AND g.c = floor(x + (100 - a.z) / 100 * 0.25::DOUBLE))
     SELECT id, round(CASE WHEN z IS NOT NULL THEN x + (100 - z1) / 100 * 0.25::DOUBLE END, 4) AS gx, round(CASE WHEN z IS NOT NULL THEN y + (100 - z1) / 100 * 0.5::DOUBLE END, 4) AS gy, round(z, 4) AS gz FROM b""",
@@ -347,7 +369,7 @@ def normal_consistency(spark, d):
 def ray_ground(spark, d):
     p = table(spark, d, "points")
     g = p.groupBy(F.floor("y").alias("r"), F.floor("x").alias("c")).agg(F.avg("z").alias("z"))
-    rays = p.where("id % 7 = 0").select("id", F.col("x").alias("ox"), F.col("y").alias("oy"), F.lit(100.0).alias("oz"), F.lit(0.25).alias("dx"), F.lit(0.5).alias("dy"), F.lit(-100.0).alias("dz"))
+    rays = p.select("id", F.col("x").alias("ox"), F.col("y").alias("oy"), F.lit(100.0).alias("oz"), F.lit(0.25).alias("dx"), F.lit(0.5).alias("dy"), F.lit(-100.0).alias("dz"))
     return rounded(grid.ray_ground(rays, g, 10.0, 2))
 
 
@@ -367,12 +389,13 @@ def control_fit(spark, d):
     return solvers.control_fit(moved, 60.0)[1].select("id", "used")
 
 
-@query("j18_mesh_distance", "SELECT id, round(z + 100, 4)::DOUBLE AS d FROM points WHERE x <= 20 AND y <= 20")
+@query("j18_mesh_distance", "SELECT id, round(z + 100, 4)::DOUBLE AS d FROM points")
 def mesh_distance(spark, d):
     from fieldmesh.operators import solvers
 
-    vertex, face = mesh.grid_mesh(spark, 20)
-    p = table(spark, d, "points").where("x <= 20 and y <= 20").select("id", "x", "y", (F.col("z") + 100).alias("z"))
+    vertex, face = mesh.grid_mesh(spark, 16)  # a plane below all points
+    vertex = vertex.withColumns({"x": F.col("x") * 8, "y": F.col("y") * 8})
+    p = table(spark, d, "points").select("id", "x", "y", (F.col("z") + 100).alias("z"))
     return rounded(solvers.mesh_distance(p, vertex.withColumn("z", F.lit(0.0)), face))
 
 

@@ -18,7 +18,7 @@ TABLES = {
     "obs": "SELECT DISTINCT CAST(l_orderkey AS BIGINT) AS track, CAST(l_suppkey AS BIGINT) AS image, CAST(l_partkey AS BIGINT) AS feature FROM {lineitem}",
     "residuals": "SELECT CASE l_returnflag WHEN 'A' THEN 'control' WHEN 'R' THEN 'check' ELSE 'tie' END AS role, (l_quantity - 25) / 10 AS residual FROM {lineitem}",
     "sparse": "SELECT CAST(l_orderkey AS BIGINT) AS id, CAST(l_linenumber AS BIGINT) AS line, l_discount * 40 AS reproj, l_quantity AS angle, CASE WHEN l_linenumber = 3 THEN NULL ELSE l_tax * 100 END AS uncertainty, CAST(l_linenumber AS BIGINT) AS length FROM {lineitem}",
-    "chain": "SELECT DISTINCT CAST(o_custkey AS BIGINT) AS a, CAST(o_custkey + 1 AS BIGINT) AS b, CAST(o_custkey % 17 AS BIGINT) AS n FROM {orders} WHERE o_orderkey % 4 = 0",
+    "chain": "SELECT DISTINCT CAST(o_custkey AS BIGINT) AS a, CAST(o_custkey + 1 AS BIGINT) AS b, CAST(o_custkey % 17 AS BIGINT) AS n FROM {orders}",
     "task_events": "SELECT CAST(user_id AS BIGINT) AS run, ts AS moment, CAST(event_id AS BIGINT) AS seq, event_type AS state FROM {events}",
     "frames": "SELECT CAST(o_orderkey AS BIGINT) AS frame, o_totalprice / 500000 AS quality, o_orderstatus AS kind FROM {orders}",
     "variants": "SELECT CAST(l_suppkey AS BIGINT) AS a, CAST(l_partkey AS BIGINT) AS b, CAST(l_orderkey AS BIGINT) * 10 + l_linenumber AS variant, l_linestatus = 'F' AS compatible, l_returnflag <> 'R' AS passed, CAST(l_quantity AS BIGINT) AS inliers, CAST(l_quantity + l_linenumber AS BIGINT) AS total, CAST(l_linenumber AS BIGINT) AS created FROM {lineitem}",

@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# States a task may go to from a state; staying is always legal.
+# States of a task, and the states it may go to from each; staying is always legal.
+STATES = ["queued", "blocked", "running", "pause_requested", "paused", "cancel_requested", "succeeded", "failed", "cancelled", "interrupted"]
 TRANSITIONS = {
-    "queued": ["blocked", "running", "cancelled"],
-    "blocked": ["queued", "cancelled"],
-    "running": ["pausing", "cancelling", "succeeded", "failed"],
-    "pausing": ["paused", "running", "failed"],
-    "paused": ["running", "cancelling"],
-    "cancelling": ["cancelled", "failed"],
+    "queued": ["blocked", "running", "paused", "failed", "cancelled"],
+    "blocked": ["queued", "paused", "failed", "cancelled"],
+    "running": ["pause_requested", "cancel_requested", "succeeded", "failed", "cancelled", "paused"],
+    "pause_requested": ["paused", "cancel_requested", "succeeded", "failed", "cancelled"],
+    "paused": ["queued", "cancelled"],
+    "cancel_requested": ["cancelled", "succeeded", "failed"],
+    "interrupted": ["queued", "cancelled"],
 }
 
 

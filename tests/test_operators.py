@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldmesh.functions import order_stats, scalars
-from fieldmesh.operators import aggregates, filters, graph, grid, joins, mesh, pairs, solvers
+from fieldmesh.operators import aggregates, dense, filters, graph, grid, joins, mesh, pairs, solvers
 from fieldmesh.sources import readers, writers
 from fieldmesh.streaming import tasks
 
@@ -106,7 +106,7 @@ def test_nearest_agrees_with_all_pairs(spark):
     p = spark.range(300).select("id", *[(F.pmod(F.hash("id", F.lit(k)), F.lit(1000)) / 7.0).alias(a) for k, a in enumerate("xyz")])
     q = p.where("id % 10 = 0")
     fast = cells(joins.nearest(q, p, 4, 3.0, itself=False), "a_id", "rank", "b_id")
-    assert fast == cells(joins.nearest_pruned(q, p, 4, ("x", "y", "z")), "a_id", "rank", "b_id")
+    assert fast == cells(joins.nearest_in_blocks(q, p, 4, ("x", "y", "z"), most=7), "a_id", "rank", "b_id")
 
 
 def test_order_statistics(spark):
@@ -166,3 +166,57 @@ def test_task_states_and_stream(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("counts").outputMode("complete").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     q.awaitTermination()
     assert cells(spark.table("counts"), "state", "n") == cells(tasks.windowed_counts(e, "1 minute"), "state", "n")
+
+
+def test_all_pairs_of_task_states(spark):
+    """All 100 pairs: 27 steps are legal, and staying."""
+    rows = [(k, t, 2 * k + t, s) for k, (a, b) in enumerate([(a, b) for a in tasks.STATES for b in tasks.STATES]) for t, s in enumerate((a, b))]
+    e = spark.createDataFrame(rows, "run long, t long, seq long, state string").select("run", F.timestamp_seconds("t").alias("moment"), "seq", "state")
+    got = {(r["before"], r["state"]): r["legal"] for r in tasks.checked(e, tasks.transitions(spark)).where("before is not null").collect()}
+    assert len(got) == 100 and sum(got.values()) == 27 + 10
+    assert all(legal == (a == b or b in tasks.TRANSITIONS.get(a, [])) for (a, b), legal in got.items())
+    assert not any(got[a, b] for a in ("succeeded", "failed", "cancelled") for b in tasks.STATES if a != b)
+
+
+def test_nearest_settles_far_and_placeless_points(spark):
+    """Queries that the rounds did not settle meet all points; points without a coordinate count for nothing."""
+    pts = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (2, 1.0, 0.0, 0.0), (3, 1e6, 0.0, 0.0), (4, None, 0.0, 0.0), (5, float("nan"), 0.0, 0.0)], "id long, x double, y double, z double")
+    got = cells(joins.nearest(pts, pts, 2, 0.5, itself=False, rounds=4), "a_id", "b_id", "rank")
+    assert got == [(1, 2, 1), (1, 3, 2), (2, 1, 1), (2, 3, 2), (3, 1, 2), (3, 2, 1)]
+    assert cells(joins.nearest(pts, pts, 5, 0.5, itself=False, rounds=3), "a_id", "b_id", "rank") == got
+    assert joins.nearest(pts, pts.limit(0), 1, 0.5).count() == 0
+
+
+def test_radius_outliers_hold_lonely_points(spark):
+    pts = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (2, 0.5, 0.0, 0.0), (3, 0.0, 0.5, 0.0), (4, 9.0, 9.0, 9.0), (5, 20.0, 0.0, 0.0), (6, 20.5, 0.0, 0.0)], "id long, x double, y double, z double")
+    assert cells(filters.radius_outliers(pts, 1.0, 2), "id", "n") == [(4, 0), (5, 1), (6, 1)]
+
+
+def test_path_costs_in_all_directions(spark):
+    """Against the definition, pixel by pixel."""
+    import random
+
+    rng = random.Random(1)
+    cost = {(r, c): [rng.randrange(20) / 4 for _ in range(3)] for r in range(4) for c in range(5)}
+    ways = [(0, 1), (0, -1), (1, 0), (-1, 0), (1, 1), (-1, -1), (1, -1), (-1, 1)]
+    want = {}
+    for dr, dc in ways:
+        done = {}
+        for r, c in sorted(cost, key=lambda p: p[0] * dr * 10 + p[1] * dc):
+            x = done.get((r - dr, c - dc))
+            done[r, c] = cost[r, c] if x is None else [k + min(x[i], (x[i - 1] if i else 1e9) + 0.5, (x[i + 1] if i < 2 else 1e9) + 0.5, min(x) + 2) - min(x) for i, k in enumerate(cost[r, c])]
+            for i, v in enumerate(done[r, c]):
+                want[r, c, i] = want.get((r, c, i), 0) + v
+    df = spark.createDataFrame([(r, c, i, v) for (r, c), k in cost.items() for i, v in enumerate(k)], "r long, c long, d long, cost double")
+    got = {(x["r"], x["c"], x["d"]): x["total"] for x in dense.path_costs(df, 0.5, 2.0, ways).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_ambiguity_limit_follows_the_upper_quartile(spark):
+    rows = [(k, 1000 + k, (k / 100) ** 2, 1.0) for k in range(1, 101)]
+    forward = spark.createDataFrame(rows, "a_id long, b_id long, d1 double, d2 double")
+    backward = forward.select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id"), F.lit(0.0).alias("d1"), F.lit(1.0).alias("d2"))
+    kept = [r["a_id"] for r in joins.unambiguous(forward, backward).collect()]
+    assert sorted(kept) == list(range(1, 79))  # the element at index 75 is 0.76; 0.78 is the least limit
+    few = forward.where("a_id > 60")
+    assert max(r["a_id"] for r in joins.unambiguous(few, backward).collect()) == 98
