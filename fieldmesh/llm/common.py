@@ -28,9 +28,11 @@ def id_text(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where that is unset (tests), one of this machine."""
+    """The folder named in spark.checkpoint.dir, which all executors share. Only a local session may go without (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         at = f"file://{tempfile.gettempdir()}/checkpoints"
@@ -38,21 +40,41 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: What kept() wrote and nobody deleted yet.
+_written: list[str] = []
+
+
 def kept(df: DataFrame, name: str = "step") -> DataFrame:
     """df written to the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def dropped(spark: SparkSession, *frames: DataFrame) -> None:
     """Deletes what kept() wrote for these frames."""
-    jvm = spark.sparkContext._jvm
-    for f in frames:
-        for at in {x.rsplit("/", 1)[0] for x in f.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(at)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, {x.rsplit("/", 1)[0] for f in frames for x in f.inputFiles()})
+
+
+def _delete(spark: SparkSession, paths) -> None:
+    for at in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written() -> int:
+    """A mark: how many tables kept() has written so far."""
+    return len(_written)
+
+
+def dropped_since(spark: SparkSession, mark: int, but: DataFrame) -> None:
+    """Deletes the tables that kept() wrote since the mark, but for that of one frame."""
+    stays = {x.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for x in but.inputFiles()}
+    gone = [at for at in _written[mark:] if at.split(":", 1)[-1].lstrip("/") not in stays]
+    _delete(spark, gone)
+    _written[mark:] = [at for at in _written[mark:] if at not in gone]
 
 
 def crc_fold(doc_id: int | None, n: int) -> int:

@@ -14,16 +14,20 @@ within a match of a longer template is left to that one.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import id_text, lean, mix64, pieces
 
 K, W = 12, 8
 #: Words of a template that a match has to cover.
 COVERAGE = 0.8
+#: Cells of alignments that are walked at once.
+CELLS = 400_000
 SCHEMA = "doc_id long, license string, coverage double, n_matched long, start long, end long"
 
 # Public notices and license texts.
@@ -117,55 +121,115 @@ class Index:
         return out
 
 
-def align(template: list[str], words: list[str], band: int, lead: int = 0) -> tuple[int, int, int]:
-    """Matched words, first and last matched word of the text, for a local alignment of a template within a stretch of
-    about its length: match 1, gap or mismatch -0.5, cells further than band from the diagonal (which begins lead words on) left out."""
-    m, n = len(template), len(words)
-    best, where = 0.0, (0, 0, 0)
-    prev: dict[int, tuple[float, int, int]] = {}
-    for i in range(m):
-        cur: dict[int, tuple[float, int, int]] = {}
-        for j in range(max(0, i + lead - band), min(n, i + lead + band + 1)):
-            same = template[i] == words[j]
-            s, first, c = prev.get(j - 1, (0.0, -1, 0))
-            got = (s + 1, first if first >= 0 else j, c + 1) if same else (s - 0.5, first, c)
-            for other in (prev.get(j), cur.get(j - 1)):
-                if other and other[0] - 0.5 > got[0]:
-                    got = (other[0] - 0.5, other[1], other[2])
-            if got[0] <= 0:
-                got = (0.0, -1, 0)
-            cur[j] = got
-            if same and got[0] > best:
-                best, where = got[0], (got[2], got[1], j)
-        prev = cur
+def align(template: np.ndarray, words: np.ndarray, diagonals: np.ndarray, band: int, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each diagonal (the word of the texts where the template would begin; its text is words[begin:end]): matched
+    words, first and last matched word of the best local alignment (match 1, gap or mismatch -0.5) of the template with
+    the text's words within band of it. All diagonals are walked at once, a template's word at a time."""
+    d, wide = diagonals[:, None], 2 * band + 1
+    low, high = np.maximum(begin[:, None], d - band), np.minimum(end[:, None], d + len(template) + band)
+    steps, rows = np.arange(wide), np.arange(len(diagonals))
+    score = np.zeros((len(diagonals), wide))
+    first, count = np.full(score.shape, -1), np.zeros(score.shape, int)
+    best, where = np.zeros(len(diagonals)), (np.zeros(len(diagonals), int), np.zeros(len(diagonals), int), np.zeros(len(diagonals), int))
+    for i, w in enumerate(template.tolist()):
+        j = d + (i - band) + steps
+        inside = (j >= low) & (j < high)
+        same = inside & (words[np.clip(j, 0, len(words) - 1)] == w)
+        new, lead, many = np.where(same, score + 1, score - 0.5), np.where(same & (first < 0), j, first), count + same
+        # a word of the template left out: from the row above, same word of the text
+        up = np.zeros(score.shape, bool)
+        up[:, :-1] = score[:, 1:] - 0.5 > new[:, :-1]
+        if up.any():
+            r, c = np.nonzero(up)
+            new[r, c], lead[r, c], many[r, c] = score[r, c + 1] - 0.5, first[r, c + 1], count[r, c + 1]
+        low_ = (new <= 0) | ~inside
+        new[low_], lead[low_], many[low_] = 0, -1, 0
+        # words of the text left out: the best to the left, less a half for each
+        tilted = new + 0.5 * steps
+        top = np.maximum.accumulate(tilted, 1)
+        source = np.maximum.accumulate(np.where(tilted == top, steps, 0), 1)
+        new = top - 0.5 * steps
+        lead, many = np.take_along_axis(lead, source, 1), np.take_along_axis(many, source, 1)
+        low_ = (new <= 0) | ~inside
+        new[low_], lead[low_], many[low_] = 0, -1, 0
+        score, first, count = new, lead, many
+        hit = np.where(same, score, -1.0)
+        at = hit.argmax(1)
+        more = np.flatnonzero(hit[rows, at] > best)
+        best[more] = hit[more, at[more]]
+        for x, y in zip(where, (count, first, j)):
+            x[more] = y[more, at[more]]
     return where
 
 
-def scan_text(text: str, places: dict[int, list[tuple[int, int]]], index: Index, least: float) -> list[tuple[str, float, int, int, int]]:
-    """(license, coverage, matched words, start, end) of the matches in one text."""
-    raw = text.encode()
-    spots = [(m.start(), m.end(), m.group().lower()) for m in _words.finditer(text)]
-    starts = np.array([s for s, _, _ in spots])
-    found = []
-    for t, where in places.items():
-        template = index.words[t]
-        m = len(template)
-        band = max(4, m // 5)
-        # each fingerprint names the diagonal it lies on: the text's word where the template would begin
-        diagonals = {int(np.searchsorted(starts, len(raw[:p].decode(errors="ignore")), "right")) - 1 - word for p, word in where}
-        spans = set()
-        for d in diagonals:
-            low = max(0, d - band)
-            c, a, b = align(template, [w for _, _, w in spots[low : max(low, d + m + band)]], band, d - low)
-            if c >= least * m:
-                spans.add((c, low + a, low + b))
-        taken: list[tuple[int, int]] = []
-        for c, a, b in sorted(spans, key=lambda x: (-x[0], x[2] - x[1], x[1])):
-            if all(b < x or y < a for x, y in taken):
-                taken.append((a, b))
-                found.append((index.names[t], c / m, c, spots[a][0], spots[b][1], m))
-    out = [f for f in set(found) if not any(o is not f and o[3] <= f[3] and f[4] <= o[4] and (o[5], o[0]) > (f[5], f[0]) for o in found)]
-    return [f[:5] for f in sorted(out, key=lambda f: (f[3], f[4], f[0]))]
+def disjoint(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(matched words, first, last): the best spans that don't overlap, most words first, then the shortest, then the leftmost."""
+    taken: list[tuple[int, int]] = []
+    out = []
+    for c, a, b in sorted(spans, key=lambda x: (-x[0], x[2] - x[1], x[1])):
+        k = bisect_left(taken, (a, b))
+        if (k == len(taken) or taken[k][0] > b) and (k == 0 or taken[k - 1][1] < a):
+            taken.insert(k, (a, b))
+            out.append((c, a, b))
+    return out
+
+
+Match = tuple[str, float, int, int, int]
+
+
+def scan_texts(texts: list[str], places: list[dict[int, list[tuple[int, int]]]], index: Index, least: float) -> list[list[Match]]:
+    """For each text (with the places of its fingerprints) its matches: license, coverage, matched words, start, end."""
+    number: dict[str, int] = {}
+    spots, words, begins = [], [], [0]
+    diagonals: dict[int, list[np.ndarray]] = {}
+    owners: dict[int, list[int]] = {}
+    for r, (text, some) in enumerate(zip(texts, places)):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        points = np.cumsum((raw & 0xC0) != 0x80)  # code points that begin up to each byte
+        own = [(m.start(), m.end()) for m in _words.finditer(text)]
+        starts = np.array([a for a, _ in own])
+        words += [number.setdefault(text[a:b].lower(), len(number)) for a, b in own]
+        for t, where in some.items():
+            # each fingerprint names the diagonal it lies on: the text's word where the template would begin
+            byte, word = np.array(where).T
+            d = np.unique(np.searchsorted(starts, points[byte] - 1, "right") - 1 - word)
+            diagonals.setdefault(t, []).append(d + begins[-1])
+            owners.setdefault(t, []).append(r)
+        spots += own
+        begins.append(len(words))
+    words, bounds = np.array(words), np.array(begins)
+    found: list[dict[int, list[tuple[int, int, int, int]]]] = [{} for _ in texts]
+    for t, parts in diagonals.items():
+        template = np.array([number.get(w, -1) for w in index.words[t]])
+        m, band = len(template), max(4, len(template) // 5)
+        d, owner = np.concatenate(parts), np.repeat(owners[t], [len(x) for x in parts])
+        spans: dict[int, set[tuple[int, int, int]]] = {}
+        for part in np.array_split(np.arange(len(d)), -(-len(d) * (2 * band + 1) // CELLS)):
+            c, a, b = align(template, words, d[part], band, bounds[owner[part]], bounds[owner[part] + 1])
+            for k in np.flatnonzero(c >= least * m).tolist():
+                spans.setdefault(int(owner[part[k]]), set()).add((int(c[k]), int(a[k]), int(b[k])))
+        for r, own in spans.items():
+            found[r][t] = sorted((spots[a][0], spots[b][1], c, m) for c, a, b in disjoint([*own]))
+    return [left_over(own, index.names) for own in found]
+
+
+def left_over(found: dict[int, list[tuple[int, int, int, int]]], names: list[str]) -> list[Match]:
+    """Matches (by template: start, end, matched words, words of the template) but those within one of a longer template."""
+    out = []
+    for t, mine in found.items():
+        longer = [o for o in found if (found[o][0][3], names[o]) > (mine[0][3], names[t])]
+        for start, end, c, m in mine:
+            if not any((k := bisect_left(found[o], (start + 1,)) - 1) >= 0 and found[o][k][1] >= end for o in longer):
+                out.append((names[t], c / m, c, start, end))
+    return sorted(out, key=lambda f: (f[3], f[4], f[0]))
+
+
+def templates_in(spark: SparkSession, path: str, most: int = 5_000_000) -> dict[str, str]:
+    """Templates from a folder of license texts, by file name without ending; at most so many characters of them."""
+    texts = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), "value")
+    if (texts.agg(F.sum(F.length("value"))).first()[0] or 0) > most:
+        raise ValueError("templates are sent to every task; these are too many")
+    return {r["name"].rsplit(".", 1)[0] if r["name"].endswith(".txt") else r["name"]: r["value"] for r in texts.collect()}
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = COVERAGE) -> DataFrame:
@@ -179,9 +243,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
             rows = []
             ids = b.column("doc_id")
             for i, _, data, off in pieces(b):
-                for r, places in index.candidates(data, off).items():
-                    text = data[off[r] : off[r + 1]].tobytes().decode()
-                    rows += [(ids[i + r].as_py(), *f) for f in scan_text(text, places, index, least)]
+                places = index.candidates(data, off)
+                texts = [data[off[r] : off[r + 1]].tobytes().decode() for r in places]
+                for r, found in zip(places, scan_texts(texts, [*places.values()], index, least)):
+                    rows += [(ids[i + r].as_py(), *f) for f in found]
             cols = [*zip(*rows)] if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "license", "coverage", "n_matched", "start", "end"])
 

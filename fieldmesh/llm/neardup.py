@@ -25,7 +25,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BLOBS, dealt, gathered, id_text, kept, lean, mix64, packed, partitions, pieces
@@ -34,6 +34,8 @@ from .graph import components
 SHINGLE, COORDINATES, MATCH = 5, 64, 32
 #: Cells of the counting sketch, bits of the filter of wanted documents, nodes of a block.
 SKETCH, WANTED_BITS, BLOCK = 1 << 20, 1 << 27, 512
+#: Parts that a root's rows are dealt to where they meet the root's one row.
+SALTS = 8
 WHOLE, LIST = 2_000, 8_000
 REMEMBERED = 250_000
 POST = np.dtype([("key", "<i8"), ("node", "<i8"), ("whole", "u1"), ("low", "u1", (COORDINATES // 2,))])
@@ -83,7 +85,7 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n, node, sig of every row; node and sig are null where there are no words."""
+    """doc_id, text_hash, n, node, sig of every row; node and sig are null where there are no words."""
 
     @lean
     def run(batches):
@@ -97,9 +99,10 @@ def signatures(docs: DataFrame) -> DataFrame:
                     n.append(len(s))
                     node.append(xxhash.xxh3_64_intdigest(s.tobytes()) >> 1 if len(s) else None)
                     sig.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "n", "node", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "text_hash", "n", "node", "sig"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, n long, node long, sig binary")
+    hashed = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_hash")
+    return id_text(docs, hashed).mapInArrow(run, "doc_id long, text_hash long, n long, node long, sig binary")
 
 
 def _matrix(column) -> np.ndarray:
@@ -320,7 +323,7 @@ def confirmed(docs: DataFrame, nodes: DataFrame, clusters: DataFrame) -> DataFra
     spark = docs.sparkSession
     # nodes: node, doc (a document that has the set), sig; clusters: node, root
     sizes = clusters.groupBy("root").agg(F.count("*").alias("members")).where("members > 1")
-    wanted = kept(clusters.join(sizes, "root").join(nodes.select("node", "doc", "sig"), "node"), "clusters")
+    wanted = kept(clusters.select("node", "root", salt()).join(salted(sizes), ["root", "salt"]).drop("salt").join(nodes.select("node", "doc", "sig"), "node"), "clusters")
 
     @lean
     def mark(batches):
@@ -370,15 +373,29 @@ def confirmed(docs: DataFrame, nodes: DataFrame, clusters: DataFrame) -> DataFra
     return meets.groupBy("root", "a", "b").applyInArrow(match, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
+def salted(few: DataFrame) -> DataFrame:
+    """A row for each of SALTS salts, to meet many rows with the same root in several tasks."""
+    return few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def salt() -> Column:
+    return F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt")
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n_shingles, root (null where there are no words) and component_id of every row."""
     rows = kept(signatures(docs), "signatures")
     nodes = kept(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig")), "nodes")
     clusters = components(links(nodes))
     found = components(confirmed(docs, nodes, clusters))
     roots = nodes.select("node", "doc").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     label = roots.groupBy("root").agg(F.min("doc").alias("component_id"))
-    labelled = roots.join(label, "root").select("node", "component_id")
+    labelled = roots.select("node", "root", salt()).join(salted(label), ["root", "salt"]).select("node", "root", "component_id")
     out = rows.drop("sig").join(labelled, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "root", component.alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row."""
+    return grouped(docs).select("doc_id", "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))

@@ -347,10 +347,63 @@ def test_licenses_without_their_first_words():
         for before in ("", "x " * 300):
             data = np.frombuffer((before + text).encode(), np.uint8)
             places = index.candidates(data, np.array([0, len(data)]))[0]
-            got = {f[0]: f for f in licenses.scan_text(before + text, places, index, 0.8)}
+            got = {f[0]: f for f in licenses.scan_texts([before + text], [places], index, 0.8)[0]}
             assert got[name][1] >= 0.8 and got[name][4] == len((before + text).rstrip("."))
 
 
+def test_license_alignment_is_the_plain_one():
+    """Matched words and spans against a cell-by-cell local alignment within the band."""
+
+    def plain(template, words, d, band):
+        best, where, prev = 0.0, (0, 0, 0), {}
+        low, high = max(0, d - band), min(len(words), d + len(template) + band)
+        for i, w in enumerate(template):
+            cur = {}
+            for j in range(max(low, i + d - band), min(high, i + d + band + 1)):
+                same = w == words[j]
+                s, first, c = prev.get(j - 1, (0.0, -1, 0))
+                got = (s + 1, first if first >= 0 else j, c + 1) if same else (s - 0.5, first, c)
+                for other in (prev.get(j), cur.get(j - 1)):
+                    if other and other[0] - 0.5 > got[0]:
+                        got = (other[0] - 0.5, other[1], other[2])
+                cur[j] = got = got if got[0] > 0 else (0.0, -1, 0)
+                if same and got[0] > best:
+                    best, where = got[0], (got[2], got[1], j)
+            prev = cur
+        return where
+
+    rng = random.Random(11)
+    for _ in range(60):
+        template = [rng.randrange(8) for _ in range(rng.randrange(1, 25))]
+        words = [rng.randrange(9) for _ in range(10)] + [w for w in template if rng.random() < 0.85] + [rng.randrange(9) for _ in range(10)]
+        diagonals, band = np.arange(-3, 15), rng.randrange(1, 6)
+        around = np.array([3, 4] + words + [5])  # other texts stand before and behind
+        got = zip(*licenses.align(np.array(template), around, diagonals + 2, band, np.full(18, 2), np.full(18, 2 + len(words))))
+        got = [(c, a - 2 if c else 0, b - 2 if c else 0) for c, a, b in got]
+        assert [tuple(map(int, g)) for g in got] == [plain(template, words, d, band) for d in diagonals.tolist()]
+
+
+def test_licenses_in_long_repetitive_texts():
+    import time
+
+    index = licenses.Index(licenses.TEMPLATES)
+    sentence = licenses.TEMPLATES["mit"].split(". ")[0] + ". "
+    began = time.time()
+    for unit, some in ((sentence, False), ("Released under the MIT License. é ", True)):
+        data = np.frombuffer((unit * (300_000 // len(unit))).encode(), np.uint8)
+        places = index.candidates(data, np.array([0, len(data)]))[0]
+        got = licenses.scan_texts([data.tobytes().decode()], [places], index, licenses.COVERAGE)[0]
+        assert (len(got) == 300_000 // len(unit)) == some
+    assert time.time() - began < 30
+
+
+def test_license_templates_of_a_folder(spark, tmp_path):
+    (tmp_path / "own.txt").write_text(" ".join(f"word{k} of the licence" for k in range(300)))
+    templates = licenses.templates_in(spark, f"file://{tmp_path}")
+    docs = spark.createDataFrame([(1, "before " + templates["own"] + " after"), (2, "nothing of it")], SCHEMA)
+    assert [(r["doc_id"], r["license"], r["coverage"]) for r in licenses.scan(docs, templates).collect()] == [(1, "own", 1.0)]
+
+
 def test_decontamination_recall(spark):
     """Every planted item is found at up to the allowed edits; what is farther by brute force is not reported."""
     rng = random.Random(8)
@@ -494,3 +547,29 @@ def test_pipeline(spark, tmp_path):
     assert len(left["suffix_dedup"][34]["text"]) < len(rows[34][1])
     assert set(left["decontamination"]) == set(left["near_dedup"]) - {35}
     assert left["bpe"].keys() == left["decontamination"].keys()
+
+
+STAGE = {f.__name__: f for _, f in stages.STAGES}
+
+
+@pytest.mark.parametrize("name", sorted(STAGE))
+def test_stages_on_odd_tables(spark, tmp_path, name):
+    """Nulls, empty and long texts, repeated rows and ids, clashing columns, an empty table: no crash, and the same columns."""
+    spark.createDataFrame([(1, None), (2, ""), (None, "the same row here again")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = odd(spark).withColumn("lang", F.lit("en")).withColumn("n_chars", F.length("text").cast("long"))
+    out = STAGE[name](spark, docs, f"file://{tmp_path}")
+    rows = out.collect()
+    if name != "tokens":
+        assert out.columns == docs.columns
+    assert STAGE[name](spark, docs.limit(0), f"file://{tmp_path}").count() == 0
+    if name == "near_duplicates":
+        # 5 and 6 are copies, 9 comes twice, 10 has two texts that are not alike
+        assert sorted((str(r["doc_id"]), len(r["text"] or "")) for r in rows) == sorted((str(i), len(t or "")) for i, t in {(r["doc_id"], r["text"]) for r in docs.collect()} if i != 6)
+
+
+def test_one_of_each_group_stays_where_ids_repeat(spark):
+    """An id with two texts that are alike, and one with a text like another id's: one row of each group stays."""
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, base), (1, base + " more"), (2, "of another kind " * 3), (3, base), (4, " ".join(f"v{k}" for k in range(60))), (4, "alone with its own words")]
+    left = stages.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert sorted(r["doc_id"] for r in left) == [1, 2, 4, 4]
