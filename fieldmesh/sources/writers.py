@@ -45,6 +45,22 @@ def ply_text(points: DataFrame, path: str) -> int:
     return n
 
 
+def validated_ply(spark: SparkSession, header: str, body: str) -> DataFrame:
+    """promised, found, valid: vertices that a PLY header names, and lines of its body that are points."""
+    told = spark.read.text(header).select(F.max(F.regexp_extract("value", r"element vertex (\d+)", 1).try_cast("long")).alias("promised"))
+    whole = F.rlike("value", F.lit(r"^\s*[-+0-9.eE]+\s+[-+0-9.eE]+\s+[-+0-9.eE]+"))
+    found = spark.read.text(body).agg(F.count_if(whole).alias("found"), F.count_if(F.trim("value") != "").alias("_lines"))
+    valid = F.coalesce((F.col("promised") == F.col("found")) & (F.col("found") == F.col("_lines")), F.lit(False))
+    return told.join(found, F.lit(True)).select("promised", "found", valid.alias("valid"))  # a row each
+
+
+def obj_text(vertex: DataFrame, face: DataFrame, path: str) -> None:
+    """An OBJ file of vertices (vid, x, y, z) and triangles (fid, v0, v1, v2), in order; a mesh file is one unit, written by one task."""
+    v = vertex.select(F.lit(0).alias("part"), F.col("vid").alias("at"), F.concat_ws(" ", F.lit("v"), "x", "y", "z").alias("value"))
+    f = face.select(F.lit(1).alias("part"), F.col("fid").alias("at"), F.concat_ws(" ", F.lit("f"), *[F.col(c) + 1 for c in ("v0", "v1", "v2")]).alias("value"))
+    v.union(f).repartition(1).sortWithinPartitions("part", "at").select("value").write.mode("overwrite").text(path)
+
+
 def report(df: DataFrame) -> DataFrame:
     """A one-row table as one JSON document."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
