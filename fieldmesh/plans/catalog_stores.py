@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmesh.operators import gates
+from fieldmesh.operators import gates, twoview
 from fieldmesh.plans.catalog import query, rounded
 from fieldmesh.plans.catalog_files import _mesh_lines, _one_file, documents, place
 from fieldmesh.plans.standins import table
@@ -308,3 +308,17 @@ def solver_input(spark, d):
 def solver_status(spark, d):
     cameras = table(spark, d, "images").where("x > 2000").select(F.col("idx").alias("image"))
     return gates.solver_input(cameras, table(spark, d, "obs"))[1]
+
+
+# two views --------------------------------------------------------------------------------------------------------
+
+
+@query("f13_homographies", "SELECT l_suppkey AS pair, count(*) AS valid, count(*) FILTER (WHERE l_returnflag <> 'R') AS inliers, count(*) FILTER (WHERE l_returnflag <> 'R') >= 390 AS passed FROM lineitem GROUP BY l_suppkey")
+def homographies(spark, d):
+    """Matches that a homography moves, but those with flag R, which are far off."""
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
+    xa, ya = F.col("l_quantity") * 20, F.col("l_extendedprice") % 997
+    low = 1 + 0.0001 * xa + 0.0002 * ya
+    off = F.when(F.col("l_returnflag") == "R", 200 + F.col("l_partkey") % 389).otherwise(0)
+    m = li.select(F.col("l_suppkey").alias("pair"), xa.alias("xa"), ya.alias("ya"), ((1.1 * xa + 0.1 * ya + 30) / low + off).alias("xb"), ((0.9 * ya - 0.05 * xa + 12) / low + off).alias("yb"))
+    return twoview.gated(twoview.verified(m, ["pair"], "homography"), ["pair"], 390)
