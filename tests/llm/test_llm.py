@@ -5,10 +5,12 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 pytest.importorskip("fieldmesh.llm")
@@ -330,6 +332,58 @@ def test_imatch(spark, texts):
     assert np.mean([r["near_edited"] for r in long]) > np.mean([r["near_next"] for r in long])
 
 
+def test_imatch_is_the_definition(spark, texts, monkeypatch):
+    """Fingerprints and likeness by brute force: subset by subset, term by term."""
+    monkeypatch.setattr(imatch, "BAND", (0.02, 0.4))
+    rows = sorted(texts, reverse=True)
+    words = lambda t: {w for w in re.split("[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) if w}
+    count = collections.Counter(w for _, t in rows for w in words(t))
+    band = {w for w, n in count.items() if 0.02 * len(rows) <= n <= 0.4 * len(rows)}
+    assert 10 < len(band) < len(count)
+    number = lambda w: xxhash.xxh3_64_intdigest(w.encode()) >> 1
+
+    def part(term, level, deal):
+        """The part of the lexicon that a term is dealt to, by an integer mix of its own."""
+        x = (term + (level * 64 + deal + 1) * 0x9E3779B97F4A7C15) % 2**64
+        return int(imatch.mix64(np.array([x], np.uint64))[0]) % 2**level
+
+    def brute(t):
+        own = words(t) & band
+        own = sorted(map(number, own if len(own) >= imatch.FEW else words(t)))
+        middle = max(2, math.ceil(math.log2(max(1, len(own)))))
+        out = {}
+        for level in (middle - 1, middle, middle + 1):
+            out[level] = []
+            for subset in range(imatch.SUBSETS):
+                deal, which = divmod(subset, 2**level)
+                inside = [x for x in own if part(x, level, deal) == which]
+                out[level].append((xxhash.xxh32_intdigest(np.array(inside, "<i8").tobytes()) or 1) if inside else 0)
+        return out
+
+    def like(p, q):
+        last = None
+        for level in sorted(set(p) & set(q)):
+            hit = [(a, b) for a, b in zip(p[level], q[level]) if a or b]
+            if not hit:
+                break
+            last = sum(a == b for a, b in hit) / len(hit)
+            if len(hit) <= imatch.SUBSETS * 3 / 4:
+                break
+        return last
+
+    got = {r["doc_id"]: r for r in imatch.fingerprints(spark.createDataFrame(texts, SCHEMA)).collect()}
+    assert len(got) == len(rows)
+    for k, (i, t) in list(enumerate(rows))[::3]:
+        after = rows[(k + 1) % len(rows)][1]
+        changed = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        p, e, q = brute(t), brute(changed), brute(after)
+        for name, want in (("fingerprint", p), ("edited_fingerprint", e)):
+            assert got[i][name] == ";".join(f"{level}:" + "".join(f"{x:08x}" for x in xs) for level, xs in sorted(want.items()))
+        for name, other in (("near_edited", e), ("near_next", q)):
+            want = like(p, other)
+            assert got[i][name] == pytest.approx(float(p == other) if want is None else want)
+
+
 def test_licenses(spark):
     mit = licenses.TEMPLATES["mit"].replace("person", "human").replace("copies", "dupes")
     rows = [(1, "x " * 50 + mit + " tail"), (2, None), (3, "no license here"), (4, licenses.TEMPLATES["apache-2.0-header"].upper()), (5, "// Released under\n * the MIT\tlicense!")]
