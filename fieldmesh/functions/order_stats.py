@@ -38,11 +38,26 @@ def quartile_index(n: Column) -> Column:
     return F.least(n - 1, F.floor(n * 3 / 4))
 
 
+def bucket(value: Column) -> Column:
+    """A number that never falls as the value grows: 256 steps for each doubling of its size, 1.2 million at most in all."""
+    step = F.floor(F.least(F.lit(600_000.0), F.log2(F.abs(value)) * 256 + 300_000))
+    return F.when(value > 0, step).when(value < 0, -step).otherwise(0).cast("long")
+
+
 def order_statistics(df: DataFrame, keys: list[str], value: str, picks: dict[str, Index]) -> DataFrame:
-    """keys, n and one column for each pick: the element of the sorted values at that index."""
+    """keys, n and one column for each pick: the element of the sorted values at that index. Equal values are counted
+    before they are sorted. Without keys the values are sorted in buckets that follow each other, not in one task."""
     counted = df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_k"))
-    own = Window.partitionBy(*[F.col(k) for k in keys]) if keys else Window.partitionBy(F.lit(1))
-    run = counted.withColumn("_cum", F.sum("_k").over(own.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_k").over(own))
+    cum = lambda w: F.sum("_k").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    if keys:
+        own = Window.partitionBy(*[F.col(k) for k in keys])
+        run = counted.withColumn("_cum", cum(own.orderBy("_v"))).withColumn("_n", F.sum("_k").over(own))
+    else:
+        counted = counted.withColumn("_b", bucket(F.col("_v").cast("double")))
+        every = Window.partitionBy(F.lit(1))
+        # a row for each bucket: they are bounded, so one task may sort them and all tasks may hold them
+        before = counted.groupBy("_b").agg(F.sum("_k").alias("_k")).select("_b", (cum(every.orderBy("_b")) - F.col("_k")).alias("_before"), F.sum("_k").over(every).alias("_n"))
+        run = counted.withColumn("_cum", cum(Window.partitionBy("_b").orderBy("_v"))).join(F.broadcast(before), "_b").withColumn("_cum", F.col("_cum") + F.col("_before"))
     return run.groupBy(*keys).agg(F.max("_n").alias("n"), *[F.min(F.when(F.col("_cum") > at(F.col("_n")), F.col("_v"))).alias(name) for name, at in picks.items()])
 
 

@@ -101,3 +101,23 @@ def test_control_fit_drops_outliers(spark):
     fit, scored = solvers.control_fit(spark.createDataFrame(rows, "id long, x double, y double, z double, u double, v double, w double"), 6.0)
     assert fit["translation"] == pytest.approx([1, 0, 0], abs=1e-6)
     assert [r["id"] for r in scored.where("not used").collect()] == [7]
+
+
+def test_order_statistics_without_keys_are_those_of_the_sorted_values(spark):
+    import random
+
+    from fieldmesh.functions import order_stats
+
+    rng = random.Random(4)
+    for n in (1, 2, 7, 400):
+        v = [rng.choice([0.0, -0.5, 1e-300, -1e-300, 1e300, float("inf"), -float("inf"), rng.gauss(0, 1), rng.gauss(900, 1), -rng.gauss(900, 1)]) for _ in range(n)]
+        df = spark.createDataFrame([(x,) for x in [*v, None, float("nan")]], "v double")
+        picks = {f"q{i}": order_stats.ceil_index(i / 10) for i in range(1, 10)}
+        got = order_stats.order_statistics(df, [], "v", picks).first()
+        one = order_stats.order_statistics(df.selectExpr("v", "1 AS k"), ["k"], "v", picks).first()
+        assert got["n"] == n and all(got[q] == one[q] and got[q] in v for q in picks)
+        assert got["q5"] == sorted(v)[-(-(n - 1) // 2)]
+        b = [r[0] for r in spark.createDataFrame([(x,) for x in sorted(v)], "v double").coalesce(1).select(order_stats.bucket(F.col("v"))).collect()]
+        assert b == sorted(b)
+    empty = order_stats.order_statistics(spark.createDataFrame([], "v double"), [], "v", picks).first()
+    assert empty["n"] is None and empty["q5"] is None
