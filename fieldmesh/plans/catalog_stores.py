@@ -188,11 +188,11 @@ def _project(spark, d) -> str:
     return path
 
 
-@query("k10_result_tables", "SELECT 'points' AS name, count(*) AS rows, true AS intact FROM part UNION ALL SELECT 'cameras', count(*), false FROM supplier WHERE s_acctbal > 0")
+@query("k10_result_tables", "SELECT 'points' AS name, count(*) AS rows, true AS intact FROM part UNION ALL SELECT 'cameras', count(*) FILTER (WHERE s_acctbal > 3000), count(*) FILTER (WHERE s_acctbal > 3000) = count(*) FROM supplier")
 def result_tables(spark, d):
     path = place(spark, "result")
     stores.write_result({"points": table(spark, d, "points"), "cameras": table(spark, d, "images")}, path)
-    table(spark, d, "images").where("x > 0").write.mode("overwrite").parquet(f"{path}/cameras")  # what was promised is gone
+    table(spark, d, "images").where("x > 3000").write.mode("overwrite").parquet(f"{path}/cameras")  # what was promised is gone
     return stores.checked_result(spark, path)
 
 
