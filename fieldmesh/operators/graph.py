@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,21 +29,66 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Nodes that a task's union-find holds at once.
+LOCAL_NODES = 500_000
+
+
+def _local_stars(edges: DataFrame) -> DataFrame:
+    """(u, v) of edges (a, b): what each task's own edges join becomes stars, every node with the least one; centres name themselves."""
+    kind = edges.schema["a"].dataType.simpleString()
+
+    def run(batches):
+        root: dict = {}
+
+        def find(i):
+            while (r := root.setdefault(i, i)) != i:
+                root[i] = i = root[r]
+            return i
+
+        def stars():
+            pairs = [(i, find(i)) for i in [*root]]
+            root.clear()
+            for i in range(0, len(pairs), 50_000):
+                u, v = zip(*pairs[i : i + 50_000])
+                yield pa.RecordBatch.from_arrays([pa.array(u, at), pa.array(v, at)], ["u", "v"])
+
+        for batch in batches:
+            at = batch.schema.field(0).type
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = find(a), find(b)
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+            if len(root) > LOCAL_NODES:
+                yield from stars()
+        if root:
+            yield from stars()
+
+    return edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL").mapInArrow(run, f"u {kind}, v {kind}")
+
+
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """node, root: the least node reachable over edges (a, b). Labels spread along edges and jump along labels until none changes."""
-    both = settled(edges.select("a", "b").union(edges.select("b", "a")).distinct().toDF("a", "b"))
-    now = both.select(F.col("a").alias("node")).distinct()
-    if nodes is not None:
-        now = now.union(nodes.select("node")).distinct()
-    now = settled(now.withColumn("root", F.col("node")))
+    """node, root: the least node reachable over edges (a, b: both long or both string; edges with a null are left out).
+
+    Each task first joins what its own edges join; rounds of a large star (larger neighbours go to the least of the
+    neighbourhood) and a small star (smaller ones do) then run until all edges are stars. Every step is written to the
+    shared folder. Minima are aggregated and written before edges meet them, so both sides of that join are plain exchanges, and a
+    node with very many edges can be split among tasks. Nodes of `nodes` without edges are their own roots.
+    """
+    first = settled(_local_stars(edges))
+    now = first.where("u != v")
     while True:
-        heard = both.join(now.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("heard"))
-        near = now.join(heard, "node", "left").select("node", F.col("root").alias("old"), F.least("root", F.coalesce("heard", "root")).alias("mid"))
-        jump = now.select(F.col("node").alias("mid"), F.col("root").alias("far"))
-        step = settled(near.join(jump, "mid", "left").select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("root")))
-        now = step.select("node", "root")
-        if not step.where("root != old").limit(1).count():
-            return now
+        centres = now.select(F.col("v").alias("u")).distinct()
+        deep = now.join(centres, "u", "left_semi").select("u").union(now.groupBy("u").count().where("count > 1").select("u"))
+        if not deep.limit(1).count():
+            break
+        both = now.union(now.select("v", "u"))
+        least = settled(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
+        large = settled(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
+        least = settled(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        now = settled(small.where("u != v").distinct())
+    every = first.select("u").union(nodes.select("node")) if nodes is not None else first.select("u")
+    return every.distinct().join(now.distinct(), "u", "left").select(F.col("u").alias("node"), F.coalesce("v", "u").alias("root"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:

@@ -149,12 +149,12 @@ def height_holes(spark, d):
 
 
 # customers point to others, so that components branch
-TREE = "e AS (SELECT c_custkey::BIGINT AS a, (c_custkey // 3)::BIGINT AS b FROM customer WHERE c_acctbal > 2000)"
+TREE = "e AS (SELECT c_custkey::BIGINT AS a, (c_custkey // 3)::BIGINT AS b FROM customer WHERE c_acctbal > 2000 AND c_custkey > 0)"
 
 
 @query("g01_union_find", f"WITH RECURSIVE {TREE}, up AS (SELECT a AS node, b AS top FROM e UNION ALL SELECT up.node, e.b FROM up JOIN e ON up.top = e.a), n AS (SELECT node, top FROM up UNION ALL SELECT b, b FROM e) SELECT node, min(top) AS root FROM n GROUP BY node")
 def union_find(spark, d):
-    c = spark.read.parquet(f"{d}/customer.parquet").where("c_acctbal > 2000")
+    c = spark.read.parquet(f"{d}/customer.parquet").where("c_acctbal > 2000 AND c_custkey > 0")
     return graph.components(c.select(F.col("c_custkey").cast("long").alias("a"), F.floor(F.col("c_custkey") / 3).cast("long").alias("b")))
 
 
@@ -170,9 +170,9 @@ def track_records(spark, d):
     return found.groupBy(F.col("feature").alias("record")).agg((F.count("*") - 1).alias("edges"), F.count("*").alias("observations"), F.round(F.sum("q"), 2).alias("weight"))
 
 
-@query("n04_marker_triangulation", "SELECT s_suppkey::BIGINT AS track, round(s_nationkey + 0.5, 3)::DOUBLE AS x, round(s_acctbal / 100, 3)::DOUBLE AS y, 12::DOUBLE AS z, 4::BIGINT AS views FROM supplier")
+@query("n04_marker_triangulation", "SELECT s_suppkey::BIGINT AS track, round(s_nationkey + 0.5, 3)::DOUBLE AS x, round(s_acctbal / 1000, 5)::DOUBLE AS y, 12::DOUBLE AS z, 4::BIGINT AS views FROM supplier")
 def marker_triangulation(spark, d):
-    m = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("track"), (F.col("s_nationkey") + 0.5).alias("x"), (F.col("s_acctbal") / 100).alias("y"), F.lit(12.0).alias("z"))
+    m = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("track"), (F.col("s_nationkey") + 0.5).alias("x"), (F.col("s_acctbal") / 1000).alias("y"), F.lit(12.0).alias("z"))
     views = F.explode(F.array(*[F.struct(F.lit(a).alias("ox"), F.lit(b).alias("oy"), F.lit(0.0).alias("oz")) for a, b in ((0.0, 0.0), (40.0, 0.0), (0.0, 40.0), (40.0, 40.0))])).alias("o")
     rays = m.select("track", "x", "y", "z", views).select("track", "o.*", (F.col("x") - F.col("o.ox")).alias("dx"), (F.col("y") - F.col("o.oy")).alias("dy"), (F.col("z") - F.col("o.oz")).alias("dz"))
-    return rounded(solvers.triangulated(rays), 3)
+    return rounded(solvers.triangulated(rays), 5)

@@ -2,6 +2,7 @@
 
 import math
 import os
+import threading
 
 import duckdb
 import pytest
@@ -23,7 +24,7 @@ def con():
 
 def plain(v):
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 3) + 0.0
+        return None if math.isnan(v) else round(v, 5) + 0.0
     return v.replace(tzinfo=None).isoformat() if hasattr(v, "isoformat") else v
 
 
@@ -36,11 +37,15 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_against_sql(spark, con, name):
     got = catalog.QUERIES[name](spark, AT)
+    stop = threading.Timer(60, con.interrupt)  # SQL without an end must not stop the run
+    stop.start()
     want = con.sql(catalog.ORACLES[name])
+    fetched = want.fetchall()
+    stop.cancel()
     cols = sorted(got.columns)
     assert cols == sorted(want.columns)
     a = sorted((tuple(plain(r[c]) for c in cols) for r in got.collect()), key=repr)
-    b = sorted((tuple(plain(r[want.columns.index(c)]) for c in cols) for r in want.fetchall()), key=repr)
+    b = sorted((tuple(plain(r[want.columns.index(c)]) for c in cols) for r in fetched), key=repr)
     assert len(a) == len(b)
     for x, y in zip(a, b):
-        assert all(p == q or (isinstance(p, float) and abs(p - q) < 2e-3) for p, q in zip(x, y)), (x, y)
+        assert all(p == q or (isinstance(p, float) and abs(p - q) < 2e-4) for p, q in zip(x, y)), (x, y)
