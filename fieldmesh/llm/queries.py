@@ -70,5 +70,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.evaluate(urlfilter.page_captures(spark.read.parquet(f"{sf_dir}/pages.parquet")), urlfilter.entries(spark))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_duplicates, op2_toxicity, op3_language_id, op4_suffix_dedup, op5_ppm, op6_bpe, op7_imatch, op8_licenses, op9_decontaminate, op10_url_filter)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import variants
+
+    return variants.variants(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_duplicates, op2_toxicity, op3_language_id, op4_suffix_dedup, op5_ppm, op6_bpe, op7_imatch, op8_licenses, op9_decontaminate, op10_url_filter, op11_spelling_variants)}
 ORACLES: dict[str, str] = {"op10_url_filter": urlfilter.ORACLE}
