@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import urlfilter
+from . import mixing, urlfilter
 from .common import documents
 
 
@@ -76,5 +76,15 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_duplicates, op2_toxicity, op3_language_id, op4_suffix_dedup, op5_ppm, op6_bpe, op7_imatch, op8_licenses, op9_decontaminate, op10_url_filter, op11_spelling_variants)}
-ORACLES: dict[str, str] = {"op10_url_filter": urlfilter.ORACLE}
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import whitening
+
+    return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_duplicates, op2_toxicity, op3_language_id, op4_suffix_dedup, op5_ppm, op6_bpe, op7_imatch, op8_licenses, op9_decontaminate, op10_url_filter, op11_spelling_variants, op12_whitening, op13_source_mix)}
+ORACLES: dict[str, str] = {"op10_url_filter": urlfilter.ORACLE, "op13_source_mix": mixing.ORACLE}
