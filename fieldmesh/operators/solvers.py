@@ -127,43 +127,3 @@ def control_fit(pairs: DataFrame, limit: float, rounds: int = 4) -> tuple[dict,
             break
         seen = n
     return fit, scored
-
-
-def mesh_distance(points: DataFrame, vertex: DataFrame, face: DataFrame, most: int = 200_000) -> DataFrame:
-    """id, d: distance of points (id, x, y, z) to the nearest triangle. The mesh goes to all tasks, so it may have at most so many
-    faces (counted); points are worked on in portions."""
-    n = face.count()
-    if n > most:
-        raise ValueError("the mesh has more faces than are sent to every task")
-    at = [f"{a}{k}" for k in range(3) for a in "xyz"]
-    corners = face
-    for k in range(3):
-        corners = corners.join(vertex.select(F.col("vid").alias(f"v{k}"), *[F.col(a).alias(f"{a}{k}") for a in "xyz"]), f"v{k}")
-    tri = corners.select(*at).toPandas().to_numpy(float).reshape(-1, 3, 3)
-    shared = points.sparkSession.sparkContext.broadcast(tri)
-
-    def segment(p, a, b):
-        ab = b - a
-        t = np.clip(((p[:, None] - a) * ab).sum(-1) / np.maximum((ab * ab).sum(-1), 1e-300), 0, 1)
-        return ((p[:, None] - a - t[..., None] * ab) ** 2).sum(-1)
-
-    def run(batches):
-        a, b, c = shared.value[:, 0], shared.value[:, 1], shared.value[:, 2]
-        normal = np.cross(b - a, c - a)
-        area = np.maximum((normal * normal).sum(-1), 1e-300)
-        for pdf in batches:
-            p = pdf[["x", "y", "z"]].to_numpy(float)
-            out = np.empty(len(p))
-            for i in range(0, len(p), 256):
-                q = p[i : i + 256]
-                best = np.minimum(np.minimum(segment(q, a, b), segment(q, b, c)), segment(q, c, a))
-                off = ((q[:, None] - a) * normal).sum(-1)
-                foot = q[:, None] - (off / area)[..., None] * normal
-                inside = np.ones(off.shape, bool)
-                for s, e in ((a, b), (b, c), (c, a)):
-                    inside &= (np.cross(e - s, foot - s) * normal).sum(-1) >= -1e-12
-                best = np.where(inside, np.minimum(best, off * off / area), best)
-                out[i : i + 256] = np.sqrt(best.min(1)) if best.shape[1] else np.nan
-            yield pd.DataFrame({"id": pdf["id"], "d": out})
-
-    return points.select("id", "x", "y", "z").mapInPandas(run, "id long, d double")

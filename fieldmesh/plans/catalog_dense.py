@@ -389,16 +389,6 @@ def control_fit(spark, d):
     return solvers.control_fit(moved, 60.0)[1].select("id", "used")
 
 
-@query("j18_mesh_distance", "SELECT id, round(z + 100, 4)::DOUBLE AS d FROM points")
-def mesh_distance(spark, d):
-    from fieldmesh.operators import solvers
-
-    vertex, face = mesh.grid_mesh(spark, 16)  # a plane below all points
-    vertex = vertex.withColumns({"x": F.col("x") * 8, "y": F.col("y") * 8})
-    p = table(spark, d, "points").select("id", "x", "y", (F.col("z") + 100).alias("z"))
-    return rounded(solvers.mesh_distance(p, vertex.withColumn("z", F.lit(0.0)), face))
-
-
 PASS = "SELECT x.* FROM {t} x JOIN (SELECT s.r, s.c, med, count(*) AS n, quantile_cont(abs(z - med), 0.5) * 1.4826 AS nmad FROM {t} s JOIN (SELECT r, c, quantile_cont(z, 0.5) AS med FROM {t} GROUP BY r, c) m ON s.r = m.r AND s.c = m.c GROUP BY s.r, s.c, med) k ON x.r = k.r AND x.c = k.c WHERE k.n < 5 OR abs(z - med) <= greatest(0.5, 1.2 * nmad)"
 
 

@@ -23,6 +23,9 @@ TABLES = {
     "frames": "SELECT CAST(o_orderkey AS BIGINT) AS frame, o_totalprice / 500000 AS quality, o_orderstatus AS kind FROM {orders}",
     "variants": "SELECT CAST(l_suppkey AS BIGINT) AS a, CAST(l_partkey AS BIGINT) AS b, CAST(l_orderkey AS BIGINT) * 10 + l_linenumber AS variant, l_linestatus = 'F' AS compatible, l_returnflag <> 'R' AS passed, CAST(l_quantity AS BIGINT) AS inliers, CAST(l_quantity + l_linenumber AS BIGINT) AS total, CAST(l_linenumber AS BIGINT) AS created FROM {lineitem}",
     "pair_matches": "SELECT CAST(l_suppkey AS BIGINT) AS a, CAST(l_suppkey + 1 AS BIGINT) AS b, l_returnflag = 'R' AS inlier, l_quantity / 50 AS xa, l_discount * 10 AS ya, l_tax * 12 AS xb, l_discount * 9 AS yb FROM {lineitem}",
+    "field": "SELECT CAST(l_suppkey AS BIGINT) AS i, CAST(round(l_discount * 100) AS BIGINT) AS j, CAST(l_linenumber AS BIGINT) AS k, avg(l_quantity) - 25.5e0 AS value FROM {lineitem} GROUP BY 1, 2, 3",
+    "body_vertices": "SELECT s * 10 + b AS vid, r * cos(radians(90e0 - 22.5e0 * b)) * cos(radians(360e0 * s / n)) AS x, r * cos(radians(90e0 - 22.5e0 * b)) * sin(radians(360e0 * s / n)) AS y, r * sin(radians(90e0 - 22.5e0 * b)) AS z FROM (SELECT CAST(l_suppkey AS BIGINT) AS s, CAST(l_linenumber AS BIGINT) AS b, 100e0 + avg(l_quantity) AS r FROM {lineitem} GROUP BY 1, 2) CROSS JOIN (SELECT count(DISTINCT l_suppkey) AS n FROM {lineitem}) UNION ALL SELECT CAST(p AS BIGINT), 0e0, 0e0, CAST(125 * (2 * p + 3) AS DOUBLE) FROM (VALUES (-1), (-2)) AS q(p)",
+    "body_faces": "SELECT (s * 10 + b) * 2 + k AS fid, CASE WHEN b = 0 THEN -1 WHEN b = 7 THEN -2 ELSE s * 10 + b END AS v0, CASE WHEN b = 0 THEN s * 10 + 1 WHEN b = 7 THEN t * 10 + 7 ELSE t * 10 + b + k END AS v1, CASE WHEN b = 0 THEN t * 10 + 1 WHEN b = 7 THEN s * 10 + 7 WHEN k = 0 THEN t * 10 + b + 1 ELSE s * 10 + b + 1 END AS v2 FROM (SELECT s, (s + 1) % n AS t FROM (SELECT DISTINCT CAST(l_suppkey AS BIGINT) AS s FROM {lineitem}) CROSS JOIN (SELECT count(DISTINCT l_suppkey) AS n FROM {lineitem})) CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7)) AS u(b) CROSS JOIN (VALUES (0), (1)) AS w(k) WHERE b BETWEEN 1 AND 6 OR k = 0",
     "vectors": "SELECT CAST(vec_id AS BIGINT) AS id, embedding AS v, CAST(label AS BIGINT) AS label FROM {embeddings}",
 }
 

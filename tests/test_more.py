@@ -86,12 +86,12 @@ def test_utm_on_the_central_meridian(spark):
 
 
 def test_mesh_distance(spark):
-    from fieldmesh.operators import solvers
+    from fieldmesh.operators import triangles
 
     vertex = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 2.0, 0.0, 0.0), (2, 0.0, 2.0, 0.0)], "vid long, x double, y double, z double")
     face = spark.createDataFrame([(0, 0, 1, 2)], "fid long, v0 long, v1 long, v2 long")
     p = spark.createDataFrame([(1, 0.5, 0.5, 3.0), (2, -3.0, 0.0, 4.0), (3, 2.0, 2.0, 0.0)], "id long, x double, y double, z double")
-    assert {r["id"]: round(r["d"], 6) for r in solvers.mesh_distance(p, vertex, face).collect()} == {1: 3.0, 2: 5.0, 3: round(2**0.5, 6)}
+    assert {r["id"]: round(r["d"], 6) for r in triangles.nearest_triangles(p, triangles.corners(vertex, face)).collect()} == {1: 3.0, 2: 5.0, 3: round(2**0.5, 6)}
 
 
 def test_control_fit_drops_outliers(spark):
