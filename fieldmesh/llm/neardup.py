@@ -11,10 +11,11 @@ Posts carry the signature's low half-bytes. Members of a posting list whose half
 (whatever coordinates agree, their half-bytes do, so no match is lost) are linked. A list with more than WHOLE members
 within a task, or LIST in all, is linked as a whole, which loses nothing either; of the former a task passes on one
 member, so a frequent pair is no hot key. Nodes that links connect form a cluster, which so holds every pair that may
-match. Within a cluster (in blocks of BLOCK nodes, every two blocks together) signatures of all pairs
-are matched at once, pairs that agree in at least MATCH coordinates and are not yet connected are confirmed on their
-full sets (100 * intersection >= 75 * union), and only links that connect something new are passed on. Components of
-those links are the answer; no pair of a large group is written out.
+match. Within a cluster signatures are matched, pairs that agree in at least MATCH coordinates and are not yet connected
+are confirmed on their full sets (100 * intersection >= 75 * union), and only links that connect something new are
+passed on. A cluster of more than BLOCK nodes first meets in blocks of nodes that stand side by side; nodes that are still apart
+then visit the blocks with which they share one of their rarest shingles. Components of those links are the
+answer; no pair of a large group is written out.
 
 Null texts are empty texts, and empty texts are linked with nothing. Repeated rows are linked if they have words; a
 null doc_id is larger than any other. An empty table gives an empty table; columns other than doc_id and text are left behind.
@@ -34,6 +35,8 @@ from .graph import components
 SHINGLE, COORDINATES, MATCH = 5, 64, 32
 #: Cells of the counting sketch, bits of the filter of wanted documents, nodes of a block.
 SKETCH, WANTED_BITS, BLOCK = 1 << 20, 1 << 27, 512
+#: Coordinates by whose order a large cluster's nodes stand side by side.
+PASSES = (0, 16, 32, 48)
 #: Parts that a root's rows are dealt to where they meet the root's one row.
 SALTS = 8
 WHOLE, LIST = 2_000, 8_000
@@ -114,8 +117,8 @@ def _keys(sig: np.ndarray) -> np.ndarray:
     return mix64((np.arange(COORDINATES, dtype=np.uint64) << np.uint64(32)) | sig.astype(np.uint64))
 
 
-def _sketch(nodes: DataFrame) -> np.ndarray:
-    """How often pairs occur, by the cell they fall in."""
+def _sketch(rows: DataFrame, numbers) -> np.ndarray:
+    """How often the 64-bit numbers that numbers() finds in a batch occur, by the cell they fall in."""
     width = SKETCH // 64
 
     @lean
@@ -123,26 +126,33 @@ def _sketch(nodes: DataFrame) -> np.ndarray:
         cells = None
         for b in batches:
             if len(b):
-                x = np.bincount((_keys(_matrix(b.column("sig"))) & np.uint64(SKETCH - 1)).astype(np.int64).ravel(), minlength=SKETCH)
+                x = np.bincount((numbers(b) & np.uint64(SKETCH - 1)).astype(np.int64).ravel(), minlength=SKETCH)
                 cells = x if cells is None else cells + x
         if cells is not None:
             for k in range(64):
                 yield from dealt(cells[k * width : (k + 1) * width].astype("<i8"), np.full(width, k))
 
+    out = np.zeros(SKETCH, np.int64)
+    for k, x in _merged(rows.mapInArrow(count, BLOBS), np.add):
+        out[k * width : (k + 1) * width] = x
+    return np.minimum(out, (1 << 23) - 1)
+
+
+def _merged(slices: DataFrame, how) -> list[tuple[int, np.ndarray]]:
+    """The slices (BLOBS of 8-byte numbers, one size for each bucket, at most 64 buckets) of all tasks, merged in tasks: one of each kind reaches the driver."""
+
     @lean
-    def add(batches):
+    def merge(batches):
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for k, x in zip(b.column("bucket").to_pylist(), b.column("blob").to_pylist()):
-                total[k] = total.get(k, 0) + np.frombuffer(x, "<i8")
+                x = np.frombuffer(x, "<i8")
+                total[k] = how(total[k], x) if k in total else x
         for k, x in total.items():
-            yield from dealt(x.astype("<i8"), np.full(width, k))
+            yield from dealt(x, np.full(len(x), k))
 
-    out = np.zeros(SKETCH, np.int64)
-    got = nodes.select("sig").mapInArrow(count, BLOBS).repartition(min(64, partitions(nodes.sparkSession)), "bucket").mapInArrow(add, BLOBS).toArrow()
-    for k, x in zip(got.column("bucket").to_pylist(), got.column("blob").to_pylist()):
-        out[k * width : (k + 1) * width] = np.frombuffer(x, "<i8")
-    return np.minimum(out, (1 << 23) - 1)
+    got = slices.repartition(min(64, partitions(slices.sparkSession)), "bucket").mapInArrow(merge, BLOBS).toArrow()
+    return [(k, np.frombuffer(x, "<i8")) for k, x in zip(got.column("bucket").to_pylist(), got.column("blob").to_pylist())]
 
 
 def _half_bytes(sig: np.ndarray) -> np.ndarray:
@@ -199,7 +209,7 @@ def links(nodes: DataFrame) -> DataFrame:
     """u, v: links between members of posting lists that may match."""
     spark = nodes.sparkSession
     nb = partitions(spark) * 2
-    often = spark.sparkContext.broadcast(_sketch(nodes))
+    often = spark.sparkContext.broadcast(_sketch(nodes.select("sig"), lambda b: _keys(_matrix(b.column("sig")))))
 
     @lean
     def post(batches):
@@ -242,7 +252,7 @@ def links(nodes: DataFrame) -> DataFrame:
         if found:
             x = np.concatenate(found)
             x = _stars(x["u"], x["v"])
-            yield from dealt(x, np.zeros(len(x), int), 1)
+            yield from dealt(x, (mix64(x["u"]) % np.uint64(nb)).astype(np.int64), 1)
 
     @lean
     def meet(batches):
@@ -271,8 +281,9 @@ def links(nodes: DataFrame) -> DataFrame:
     return met.mapInArrow(rows, "u long, v long").distinct()
 
 
-def _confirmed(node: np.ndarray, sig: np.ndarray, sets: list[bytes], half: np.ndarray) -> list[tuple[int, int]]:
-    """Links, as stars, that connect the nodes of one or two blocks (half: 0 or 1; with two, only pairs across are looked at)."""
+def _confirmed(node: np.ndarray, sig: np.ndarray, sets: list[bytes], half: np.ndarray, part: np.ndarray) -> list[tuple[int, int]]:
+    """Links, as stars, that connect the nodes of one or two blocks (half: 0 or 1; with two, only pairs across are
+    looked at). Nodes of one part are connected already."""
     n = len(node)
     arrays = [np.frombuffer(s, np.uint64) for s in sets]
     size = np.array([len(a) for a in arrays])
@@ -289,7 +300,7 @@ def _confirmed(node: np.ndarray, sig: np.ndarray, sets: list[bytes], half: np.nd
             mask[i] = int.from_bytes(np.packbits(x, bitorder="little").tobytes(), "little")
         return mask[i]
 
-    root = list(range(n))
+    root = np.unique(part, return_index=True)[1][np.unique(part, return_inverse=True)[1]].tolist()
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -318,25 +329,33 @@ def _confirmed(node: np.ndarray, sig: np.ndarray, sets: list[bytes], half: np.nd
     return [(int(node[i]), int(node[r])) for i in range(n) if (r := find(i)) != i]
 
 
-def confirmed(docs: DataFrame, nodes: DataFrame, clusters: DataFrame) -> DataFrame:
-    """u, v: links between nodes confirmed on full sets, enough to connect all that are linked within each cluster."""
-    spark = docs.sparkSession
-    # nodes: node, doc (a document that has the set), sig; clusters: node, root
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("members")).where("members > 1")
-    wanted = kept(clusters.select("node", "root", salt()).join(salted(sizes), ["root", "salt"]).drop("salt").join(nodes.select("node", "doc", "sig"), "node"), "clusters")
+def _wanted(rows: DataFrame) -> np.ndarray:
+    """A bitmap of the documents of rows (column doc), of a fixed size: tasks set bits by slices, which are merged in tasks."""
+    words = WANTED_BITS // 64 // 64  # 64-bit words of a slice
 
     @lean
     def mark(batches):
-        bits = np.zeros(0, np.int64)
+        bits = np.zeros(64 * words, np.uint64)
         for b in batches:
-            bits = np.unique(np.concatenate([bits, (mix64(b.column("doc").fill_null(0).to_numpy()) % np.uint64(WANTED_BITS)).astype(np.int64)]))
-        yield from dealt(bits, np.zeros(len(bits), int))
+            at = (mix64(b.column("doc").fill_null(0).to_numpy()) % np.uint64(WANTED_BITS)).astype(np.int64)
+            np.bitwise_or.at(bits, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+        for k in range(64):
+            own = bits[k * words : (k + 1) * words]
+            if own.any():
+                yield from dealt(own.view("<i8"), np.full(words, k))
+
+    out = np.zeros(64 * words, "<i8")
+    for k, x in _merged(rows.select("doc").mapInArrow(mark, BLOBS), np.bitwise_or):
+        out[k * words : (k + 1) * words] = x
+    return out.view(np.uint8)
 
-    marks = np.zeros(WANTED_BITS // 8, np.uint8)
-    for x in wanted.select("doc").mapInArrow(mark, BLOBS).toArrow().column("blob").to_pylist():
-        at = np.frombuffer(x, np.int64)
-        np.bitwise_or.at(marks, at >> 3, (1 << (at & 7)).astype(np.uint8))
-    shared = spark.sparkContext.broadcast(marks)
+
+def clustered(docs: DataFrame, nodes: DataFrame, clusters: DataFrame) -> DataFrame:
+    """root, node, members, sig, shingles (the full set) of the nodes (node, doc, sig) of clusters (node, root) of two or more."""
+    spark = docs.sparkSession
+    sizes = clusters.groupBy("root").agg(F.count("*").alias("members")).where("members > 1")
+    wanted = kept(clusters.select("node", "root", salt()).join(salted(sizes), ["root", "salt"]).drop("salt").join(nodes.select("node", "doc", "sig"), "node"), "clusters")
+    shared = spark.sparkContext.broadcast(_wanted(wanted))
 
     @lean
     def fetch(batches):
@@ -354,23 +373,107 @@ def confirmed(docs: DataFrame, nodes: DataFrame, clusters: DataFrame) -> DataFra
                 yield pa.RecordBatch.from_arrays([b.column("doc_id")[i:j], pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) >> 1 if len(s) else None for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "got", "shingles"])
 
     sets = id_text(docs).mapInArrow(fetch, "doc_id long, got long, shingles binary")
-    full = wanted.join(sets, (F.col("doc").eqNullSafe(F.col("doc_id"))) & (F.col("node") == F.col("got")))
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    full = full.select("root", "node", "sig", "shingles", blocks.alias("blocks"), own.alias("own"))
-    # every two blocks of a cluster meet; a block meets itself by itself
-    meets = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "root", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node", "sig", "shingles", (F.col("own") > F.col("other")).cast("int").alias("half")
-    )
-
-    def match(group: pa.Table) -> pa.Table:
-        node = group.column("node").to_numpy()
-        _, one = np.unique(node, return_index=True)  # a set that repeated rows have comes once
-        group = group.take(pa.array(one))
-        got = _confirmed(group.column("node").to_numpy(), _matrix(group.column("sig")), group.column("shingles").to_pylist(), group.column("half").to_numpy())
-        return pa.table({"u": pa.array([x[0] for x in got], pa.int64()), "v": pa.array([x[1] for x in got], pa.int64())})
-
-    return meets.groupBy("root", "a", "b").applyInArrow(match, "u long, v long")
+    return wanted.join(sets, (F.col("doc").eqNullSafe(F.col("doc_id"))) & (F.col("node") == F.col("got"))).select("root", "node", "members", "sig", "shingles")
+
+
+def _matched(rows: pa.Table) -> pa.Table:
+    """u, v: links that _confirmed finds among rows (node, sig, shingles; maybe half and part); a node that repeated rows have comes once."""
+    names = rows.column_names
+    half = rows.column("half").to_numpy() if "half" in names else np.zeros(len(rows), np.int32)
+    _, one = np.unique(np.rec.fromarrays([rows.column("node").to_numpy(), half]), return_index=True)
+    rows, half = rows.take(pa.array(one)), half[one]
+    node = rows.column("node").to_numpy()
+    got = _confirmed(node, _matrix(rows.column("sig")), rows.column("shingles").to_pylist(), half, rows.column("part").to_numpy() if "part" in names else node)
+    got = [x for x in got if x[0] != x[1]]
+    return pa.table({"u": pa.array([x[0] for x in got], pa.int64()), "v": pa.array([x[1] for x in got], pa.int64())})
+
+
+def _side_by_side(large: DataFrame, coordinate: int) -> DataFrame:
+    """u, v: links among each BLOCK rows that follow each other within a cluster, ordered by one coordinate of the
+    signature: copies that are near stand together, whatever the size of the cluster."""
+
+    @lean
+    def walk(batches):
+        held: list[pa.RecordBatch] = []
+
+        def found():
+            rows = pa.Table.from_batches(held)
+            held.clear()
+            root = rows.column("root").to_numpy()
+            for a, e in zip(*(lambda c: (c[:-1], c[1:]))(np.concatenate([[0], np.flatnonzero(root[1:] != root[:-1]) + 1, [len(root)]]))):
+                if e - a > 1:
+                    yield from _matched(rows.slice(a, e - a)).to_batches()
+
+        for b in batches:
+            for i in range(0, len(b), BLOCK):
+                held.append(b.slice(i, BLOCK))
+                if sum(map(len, held)) >= BLOCK:
+                    yield from found()
+        if held:
+            yield from found()
+
+    rows = large.select("root", "node", "sig", "shingles", F.substring("sig", 4 * coordinate + 1, 4).alias("value"))
+    spread = rows.repartitionByRange(partitions(large.sparkSession), "root", "value", "node").sortWithinPartitions("root", "value", "node")
+    return spread.select("root", "node", "sig", "shingles").mapInArrow(walk, "u long, v long")
+
+
+def _beyond(open_: DataFrame) -> DataFrame:
+    """u, v: links between parts of clusters (root, node, part, blocks, sig, shingles) that are still apart.
+
+    A node outside its cluster's largest part visits the blocks that hold a node of another part with which it shares one of
+    its first shingles (as many as a set of similarity 0.75 cannot miss all of), in one order of all shingles, rarest
+    first. So nodes whose common part is what all share, and is too little, visit nobody.
+    """
+    spark = open_.sparkSession
+    often = spark.sparkContext.broadcast(_sketch(open_.select("shingles"), lambda b: np.frombuffer(b"".join(b.column("shingles").to_pylist()), np.uint64)))
+
+    @lean
+    def post(batches):
+        for b in batches:
+            for root, node, part, block, s in zip(*(b.column(c).to_pylist() for c in ("root", "node", "part", "block", "shingles"))):
+                s = np.frombuffer(s, np.uint64)
+                first = len(s) - (75 * len(s) + 99) // 100 + 1
+                rank = (often.value[(s & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(40)) | (s >> np.uint64(24))
+                own = s[np.lexsort((s, rank))[:first]].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), x)) for x in (root, node, part, block)] + [pa.array(own)], ["root", "node", "part", "block", "shingle"])
+
+    block = F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block")
+    rows = kept(open_.select("root", "node", "part", block, "sig", "shingles"), "open")
+    posts = kept(rows.select("root", "node", "part", F.col("block").cast("long").alias("block"), "shingles").mapInArrow(post, "root long, node long, part long, block long, shingle long"), "posts")
+    largest = rows.groupBy("root", "part").count().groupBy("root").agg(F.max_by("part", F.struct("count", "part")).alias("main"))
+    hosts = posts.groupBy("root", "shingle", "block").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+    callers = posts.join(largest, "root").where("part != main").select("root", "shingle", "node", "part")
+    visits = kept(callers.join(hosts, ["root", "shingle"]).where("low != part OR high != part").select("root", "node", F.col("block").cast("int").alias("block")).distinct(), "visits")
+    chunks = kept(visits.groupBy("root", "block").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks")), "chunks")
+    row = ["root", "node", "part", "sig", "shingles"]
+    at_home = rows.join(chunks, ["root", "block"]).select("block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("half"), *row)
+    calling = visits.join(chunks, ["root", "block"]).join(rows.drop("block"), ["root", "node"]).select("block", F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("chunk"), F.lit(1).alias("half"), *row)
+    return at_home.unionByName(calling).groupBy("root", "block", "chunk").applyInArrow(_matched, "u long, v long")
+
+
+def confirmed(docs: DataFrame, nodes: DataFrame, clusters: DataFrame) -> DataFrame:
+    """u, v: links between nodes confirmed on full sets, enough to connect all that are linked within each cluster.
+
+    A cluster of at most BLOCK nodes is one group. In a larger one, rows that stand side by side in the order of each of
+    PASSES coordinates are looked at first; what is still apart then meets by its rarest shingles (_beyond)."""
+    full = kept(clustered(docs, nodes, clusters), "sets")
+    small = full.where(F.col("members") <= BLOCK).groupBy("root").applyInArrow(_matched, "u long, v long")
+    large = full.where(F.col("members") > BLOCK)
+    if not large.limit(1).count():
+        return small
+    beside = None
+    for c in PASSES:
+        found = _side_by_side(large, c)
+        beside = found if beside is None else beside.unionByName(found)
+    beside = kept(beside, "beside")
+    joined = components(beside).withColumnRenamed("root", "part")
+    where = kept(large.select("root", "node").distinct().join(joined, "node", "left").select("root", "node", F.coalesce("part", "node").alias("part")), "parts")
+    apart = where.groupBy("root").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("root")
+    rest = where.join(apart, "root", "left_semi")
+    if not rest.limit(1).count():
+        return small.unionByName(beside)
+    open_ = large.join(rest, ["root", "node"]).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).dropDuplicates(["node"])
+    return small.unionByName(beside).unionByName(_beyond(open_))
 
 
 def salted(few: DataFrame) -> DataFrame:

@@ -76,6 +76,40 @@ def test_posting_lists_as_a_whole_lose_nothing(spark, texts, monkeypatch):
     assert sorted(neardup.near_duplicates(spark.createDataFrame(texts, SCHEMA)).collect()) == sorted(want)
 
 
+def test_large_clusters_are_exact(spark, monkeypatch):
+    """Clusters of many blocks: near copies in a chain, copies of a long common part that is not enough, and stragglers."""
+    monkeypatch.setattr(neardup, "BLOCK", 7)
+    monkeypatch.setattr(neardup, "PASSES", (0,))
+    rng = random.Random(11)
+    shared = prose(rng, 60).split()
+    rows = []
+    for i in range(150):  # these drift apart, so links form long chains
+        w = rows[-1][1].split() if i % 50 else prose(rng, 80).split()
+        w[rng.randrange(80)] = f"drift{i}"
+        rows.append((i, " ".join(w)))
+    for i in range(150, 260):  # two thirds in common with all others: no link, but for a few
+        w = shared + prose(rng, 30).split()
+        rows.append((i, " ".join(w)))
+        if i % 20 == 0:
+            rows.append((1000 + i, " ".join([*w[:-1], "end"])))
+    rng.shuffle(rows)
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: find(i) for i in sets}
+
+
 def brute_repeats(rows):
     seen, out = set(), {}
     for i, t in sorted(rows):
