@@ -177,6 +177,25 @@ def dealt(records: np.ndarray, bucket: np.ndarray, tag: int = 0) -> Iterator[pa.
 BLOBS = "bucket int, tag int, blob binary"
 
 
+def slices_of(places: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """A bitmap of so many bits (a power of two, 4,096 at least) with the places set, as blobs of up to 64 slices."""
+    wide = bits // 64
+    places = np.unique(places)
+    for k in np.unique(places // wide).tolist():
+        own, at = np.zeros(wide // 64, np.uint64), places[np.searchsorted(places, k * wide) : np.searchsorted(places, (k + 1) * wide)] - k * wide
+        np.bitwise_or.at(own, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+        yield from dealt(own.view("<i8"), np.full(len(own), k))
+
+
+def bitmap(slices: DataFrame, bits: int) -> np.ndarray:
+    """The bytes of a bitmap from the slices of all tasks."""
+    words = bits // 64 // 64
+    out = np.zeros(64 * words, "<i8")
+    for k, x in merged_slices(slices, np.bitwise_or):
+        out[k * words : (k + 1) * words] = x
+    return out.view(np.uint8)
+
+
 def gathered(batches, kinds: dict[int, np.dtype]) -> dict[int, np.ndarray]:
     """All records of a partition's blobs, by tag."""
     parts: dict[int, list[bytes]] = {t: [] for t in kinds}
@@ -187,6 +206,28 @@ def gathered(batches, kinds: dict[int, np.dtype]) -> dict[int, np.ndarray]:
     return {t: np.frombuffer(b"".join(x), kinds[t]) for t, x in parts.items()}
 
 
+def merged_slices(slices: DataFrame, how) -> list[tuple[int, np.ndarray]]:
+    """The slices (BLOBS of 8-byte numbers, one size for each bucket, at most 64 buckets) of all tasks, merged in tasks, in two
+    steps where tasks are many: one of each kind reaches the driver."""
+
+    @lean
+    def merge(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, x in zip(b.column("bucket").to_pylist(), b.column("blob").to_pylist()):
+                x = np.frombuffer(x, "<i8")
+                total[k] = how(total[k], x) if k in total else x
+        for k, x in total.items():
+            yield from dealt(x, np.full(len(x), k))
+
+    parts = partitions(slices.sparkSession)
+    if parts > 128:
+        some = F.pmod(F.spark_partition_id(), F.lit(parts // 64)).alias("some")
+        slices = slices.select("*", some).repartition(parts, "bucket", "some").drop("some").mapInArrow(merge, BLOBS)
+    got = slices.repartition(min(64, parts), "bucket").mapInArrow(merge, BLOBS).toArrow()
+    return [(k, np.frombuffer(x, "<i8")) for k, x in zip(got.column("bucket").to_pylist(), got.column("blob").to_pylist())]
+
+
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, ascending, and their counts."""
     if not len(keys):

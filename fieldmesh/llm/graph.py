@@ -1,36 +1,16 @@
-"""Connected components of an edge table, by alternating large and small stars."""
+"""Connected components of an edge table, with this subpackage's written tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, kept
+from fieldmesh.operators import graph
 
+from .common import kept
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root (the least node reachable) of every node that an edge (u, v: long, not null) has.
 
-    Every round writes its edges to the shared folder, so a lost executor costs that round's tasks at most. A large
-    star joins a node's larger neighbours to the least in its neighbourhood, a small star the smaller ones; rounds
-    end when edges repeat. Neighbourhood minima are pre-aggregated and written before edges are joined to them, so both
-    sides of a join are plain exchanges and a node with very many edges can be split among tasks. Self-loops name
-    nodes without links; repeated edges change nothing.
-    """
-    all_nodes = edges.select(F.col("u").alias("node")).union(edges.select(F.col("v").alias("node"))).distinct()
-    now = kept(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges")
-    seen = None
-    while True:
-        both = now.union(now.select(F.col("v"), F.col("u"))).toDF("u", "v")
-        least = kept(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least")
-        large = kept(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct(), "edges")
-        small_least = kept(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(small_least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        before, now = now, kept(small, "edges")
-        dropped(edges.sparkSession, before, least, large, small_least)  # read for the last time
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(mark) == seen:
-            break
-        seen = tuple(mark)
-    roots = now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
-    return all_nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+def components(edges: DataFrame) -> DataFrame:
+    """node, root (the least node reachable) of every node that an edge (u, v: long, not null) has. Self-loops name nodes
+    without links; repeated edges change nothing."""
+    return graph.components(edges.select(F.col("u").alias("a"), F.col("v").alias("b")), write=lambda df: kept(df, "edges"))

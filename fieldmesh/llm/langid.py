@@ -3,7 +3,8 @@
 Every text is cut into windows of a fixed number of bytes (a few bytes overlap, so that no n-gram is lost at a
 cut). Byte embeddings go through filters of several widths, each filter keeps its largest response in the window,
 and softmax over those gives the window's language; a document's answer is the mean over all its windows,
-weighted by their lengths. The network is trained on a bounded sample of labelled rows.
+weighted by their lengths; of languages with equal scores the first by name is taken. The network is trained on a bounded
+sample of labelled rows.
 
 Null texts and texts without a letter get lang_pred 'und' and score 0; so do all texts if nothing is labelled.
 Repeated rows give repeated rows; an empty table gives an empty table; other columns are left behind.
@@ -20,8 +21,9 @@ from pyspark.sql import functions as F
 from .common import crc_fold, fold_column, id_text, lean, one_each, pieces
 
 WINDOW, DIM, FILTERS, WIDTHS = 128, 8, 16, (2, 3, 4, 5)
-#: Labelled documents that training takes at most (those first by a hash of their id), each with all its windows.
-TRAIN_ROWS = 1500
+#: Labelled documents that training takes at most (those first by a hash of their id), and windows of each: of a longer
+#: one as many, spread evenly over its whole text. So the sample is bounded in bytes as well.
+TRAIN_ROWS, TRAIN_WINDOWS = 1500, 1000
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
@@ -104,7 +106,7 @@ def cut(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def sample_windows(docs: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """All windows of at most that many labelled documents, and their labels; of rows that share a doc_id one counts."""
+    """Windows of at most that many labelled documents, and their labels; of rows that share a doc_id one counts."""
     spark = docs.sparkSession
     labelled = id_text(docs, F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold_column(3) != 1))
     chosen = labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
@@ -118,8 +120,11 @@ def sample_windows(docs: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray,
                 at = np.searchsorted(row, np.arange(j - i + 1))
                 w_out = []
                 for r in range(j - i):
-                    rng, own = np.random.default_rng(crc_fold(ids[i + r], 1 << 31)), win[at[r] : at[r + 1]].copy()
-                    for x, size in zip(own, length[at[r] : at[r + 1]]):
+                    use = np.arange(at[r], at[r + 1])
+                    if len(use) > TRAIN_WINDOWS:
+                        use = use[np.arange(TRAIN_WINDOWS) * len(use) // TRAIN_WINDOWS]
+                    rng, own = np.random.default_rng(crc_fold(ids[i + r], 1 << 31)), win[use].copy()
+                    for x, size in zip(own, length[use]):
                         if rng.random() < 0.3 and size > 16:  # short texts are learned too
                             n = int(rng.integers(8, size))
                             x[:n], x[n:] = x[size - n : size].copy(), 0

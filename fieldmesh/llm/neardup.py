@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOBS, dealt, gathered, id_text, kept, lean, mix64, packed, partitions, pieces
+from .common import BLOBS, bitmap, dealt, gathered, id_text, kept, lean, merged_slices, mix64, packed, partitions, pieces, slices_of
 from .graph import components
 
 SHINGLE, COORDINATES, MATCH = 5, 64, 32
@@ -40,7 +40,8 @@ PASSES = (0, 16, 32, 48)
 #: Parts that a root's rows are dealt to where they meet the root's one row.
 SALTS = 8
 WHOLE, LIST = 2_000, 8_000
-REMEMBERED = 250_000
+#: Words that a worker remembers, places that a task holds before it passes them on.
+REMEMBERED, HELD = 250_000, 4_000_000
 POST = np.dtype([("key", "<i8"), ("node", "<i8"), ("whole", "u1"), ("low", "u1", (COORDINATES // 2,))])
 LINK = np.dtype([("u", "<i8"), ("v", "<i8")])
 SCHEMA = "doc_id long, n_shingles long, component_id long, kept boolean"
@@ -133,28 +134,11 @@ def _sketch(rows: DataFrame, numbers) -> np.ndarray:
                 yield from dealt(cells[k * width : (k + 1) * width].astype("<i8"), np.full(width, k))
 
     out = np.zeros(SKETCH, np.int64)
-    for k, x in _merged(rows.mapInArrow(count, BLOBS), np.add):
+    for k, x in merged_slices(rows.mapInArrow(count, BLOBS), np.add):
         out[k * width : (k + 1) * width] = x
     return np.minimum(out, (1 << 23) - 1)
 
 
-def _merged(slices: DataFrame, how) -> list[tuple[int, np.ndarray]]:
-    """The slices (BLOBS of 8-byte numbers, one size for each bucket, at most 64 buckets) of all tasks, merged in tasks: one of each kind reaches the driver."""
-
-    @lean
-    def merge(batches):
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            for k, x in zip(b.column("bucket").to_pylist(), b.column("blob").to_pylist()):
-                x = np.frombuffer(x, "<i8")
-                total[k] = how(total[k], x) if k in total else x
-        for k, x in total.items():
-            yield from dealt(x, np.full(len(x), k))
-
-    got = slices.repartition(min(64, partitions(slices.sparkSession)), "bucket").mapInArrow(merge, BLOBS).toArrow()
-    return [(k, np.frombuffer(x, "<i8")) for k, x in zip(got.column("bucket").to_pylist(), got.column("blob").to_pylist())]
-
-
 def _half_bytes(sig: np.ndarray) -> np.ndarray:
     low = (sig & np.uint32(15)).astype(np.uint8)
     return low[:, 0::2] | (low[:, 1::2] << 4)
@@ -330,24 +314,20 @@ def _confirmed(node: np.ndarray, sig: np.ndarray, sets: list[bytes], half: np.nd
 
 
 def _wanted(rows: DataFrame) -> np.ndarray:
-    """A bitmap of the documents of rows (column doc), of a fixed size: tasks set bits by slices, which are merged in tasks."""
-    words = WANTED_BITS // 64 // 64  # 64-bit words of a slice
+    """A bitmap of the documents of rows (column doc), of a fixed size."""
 
     @lean
     def mark(batches):
-        bits = np.zeros(64 * words, np.uint64)
+        places = np.zeros(0, np.int64)
         for b in batches:
-            at = (mix64(b.column("doc").fill_null(0).to_numpy()) % np.uint64(WANTED_BITS)).astype(np.int64)
-            np.bitwise_or.at(bits, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
-        for k in range(64):
-            own = bits[k * words : (k + 1) * words]
-            if own.any():
-                yield from dealt(own.view("<i8"), np.full(words, k))
+            new = (mix64(b.column("doc").fill_null(0).to_numpy()) % np.uint64(WANTED_BITS)).astype(np.int64)
+            places = np.concatenate([places, new])
+            if len(places) > HELD:
+                yield from slices_of(places, WANTED_BITS)
+                places = np.zeros(0, np.int64)
+        yield from slices_of(places, WANTED_BITS)
 
-    out = np.zeros(64 * words, "<i8")
-    for k, x in _merged(rows.select("doc").mapInArrow(mark, BLOBS), np.bitwise_or):
-        out[k * words : (k + 1) * words] = x
-    return out.view(np.uint8)
+    return bitmap(rows.select("doc").mapInArrow(mark, BLOBS), WANTED_BITS)
 
 
 def clustered(docs: DataFrame, nodes: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -388,9 +368,9 @@ def _matched(rows: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array([x[0] for x in got], pa.int64()), "v": pa.array([x[1] for x in got], pa.int64())})
 
 
-def _side_by_side(large: DataFrame, coordinate: int) -> DataFrame:
-    """u, v: links among each BLOCK rows that follow each other within a cluster, ordered by one coordinate of the
-    signature: copies that are near stand together, whatever the size of the cluster."""
+def _side_by_side(large: DataFrame) -> DataFrame:
+    """u, v: links among each BLOCK rows that follow each other within a cluster, in the order of each of PASSES coordinates of
+    the signature: copies that are near stand together, whatever the size of the cluster."""
 
     @lean
     def walk(batches):
@@ -399,8 +379,9 @@ def _side_by_side(large: DataFrame, coordinate: int) -> DataFrame:
         def found():
             rows = pa.Table.from_batches(held)
             held.clear()
-            root = rows.column("root").to_numpy()
-            for a, e in zip(*(lambda c: (c[:-1], c[1:]))(np.concatenate([[0], np.flatnonzero(root[1:] != root[:-1]) + 1, [len(root)]]))):
+            root, at = rows.column("root").to_numpy(), rows.column("pass").to_numpy()
+            cut = np.flatnonzero((root[1:] != root[:-1]) | (at[1:] != at[:-1])) + 1
+            for a, e in zip([0, *cut.tolist()], [*cut.tolist(), len(root)]):
                 if e - a > 1:
                     yield from _matched(rows.slice(a, e - a)).to_batches()
 
@@ -412,9 +393,10 @@ def _side_by_side(large: DataFrame, coordinate: int) -> DataFrame:
         if held:
             yield from found()
 
-    rows = large.select("root", "node", "sig", "shingles", F.substring("sig", 4 * coordinate + 1, 4).alias("value"))
-    spread = rows.repartitionByRange(partitions(large.sparkSession), "root", "value", "node").sortWithinPartitions("root", "value", "node")
-    return spread.select("root", "node", "sig", "shingles").mapInArrow(walk, "u long, v long")
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("pass"), F.substring("sig", 4 * c + 1, 4).alias("value")) for c in PASSES])).alias("x")
+    rows = large.select("root", "node", "sig", "shingles", each).select("x.*", "root", "node", "sig", "shingles")
+    order = ["pass", "root", "value", "node"]
+    return rows.repartitionByRange(partitions(large.sparkSession), *order).sortWithinPartitions(*order).mapInArrow(walk, "u long, v long")
 
 
 def _beyond(open_: DataFrame) -> DataFrame:
@@ -461,11 +443,7 @@ def confirmed(docs: DataFrame, nodes: DataFrame, clusters: DataFrame) -> DataFra
     large = full.where(F.col("members") > BLOCK)
     if not large.limit(1).count():
         return small
-    beside = None
-    for c in PASSES:
-        found = _side_by_side(large, c)
-        beside = found if beside is None else beside.unionByName(found)
-    beside = kept(beside, "beside")
+    beside = kept(_side_by_side(large), "beside")
     joined = components(beside).withColumnRenamed("root", "part")
     where = kept(large.select("root", "node").distinct().join(joined, "node", "left").select("root", "node", F.coalesce("part", "node").alias("part")), "parts")
     apart = where.groupBy("root").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("root")

@@ -7,10 +7,12 @@ below the empty context all symbols left are alike. As a context's symbols are a
 escape excludes hangs on the context escaped from alone, so every context carries its denominators with it and a
 text's positions are scored all at once by hash lookups. A text's code length includes its end.
 
-All contexts count. Those with at least RARE of all training symbols (at most 1 / RARE of each length) are broadcast,
-with all of fewer than LOW symbols (at most 257 ** LOW symbols in them); as a context's suffixes are as frequent as
-itself, they code what follows them without the rest. Symbols after other contexts are asked for by a shuffle: what
-shares the last LOW symbols of its context lies in one bucket, with all longer contexts. A unigram baseline over words comes with it. Word counts are held by 63-bit hashes of the
+All contexts count. Frequent ones are broadcast: those with at least RARE of all training symbols or, where these take
+more than BYTES, with as many more as it takes to stay below that (sizes are counted by powers of two first); and all of fewer than
+LOW symbols (at most 257 ** LOW symbols in them). As a context's suffixes are as frequent as itself, they code what follows them
+without the rest. Symbols after other contexts are asked for by a shuffle. A context's place is its shortest suffix that is not
+broadcast: the contexts that an escape leads to are there too, or broadcast, and no place holds more than a
+frequent context would, so none is hot. A unigram baseline over words comes with it. Word counts are held by 63-bit hashes of the
 words: frequent ones (at least HEAD of all tokens, so at most 1 / HEAD) are broadcast, the others meet the documents
 that use them in a shuffle by word.
 
@@ -33,8 +35,8 @@ from .common import BLOBS, crc_fold, dealt, gathered, id_text, kept, lean, mix64
 
 ORDER = 5
 RARE, HEAD = 2e-7, 2e-7
-#: Length of the context that names a bucket: of that length on, contexts are looked up in it; shorter ones are broadcast.
-LOW = 3
+#: Contexts shorter than that are all broadcast; of the others, so many bytes at most.
+LOW, BYTES = 3, 96 << 20
 #: Words whose hash a worker remembers; counts that a training task holds before it passes them on.
 REMEMBERED, HELD = 250_000, 1_500_000
 END = 0
@@ -251,15 +253,34 @@ class Model:
         return out
 
 
-def part_model(counts: list[tuple[np.ndarray, np.ndarray]], asked: np.ndarray) -> Model:
-    """A model of those contexts that asked symbols may fall back on."""
+def part_model(counts: list[list[tuple[np.ndarray, np.ndarray]]], asked: np.ndarray) -> Model:
+    """A model of those contexts that asked symbols may fall back on. counts: by order, parts with different contexts, each ascending."""
     some = []
-    for k, (keys, n) in enumerate(counts):
-        use = np.isin(keys >> 9, np.unique((asked >> 9) & ((1 << 9 * k) - 1)))
-        some.append((keys[use], n[use]))
+    for k, parts in enumerate(counts):
+        context = np.unique((asked >> 9) & ((1 << 9 * k) - 1))
+        found = []
+        for keys, n in parts:
+            begin, end = np.searchsorted(keys, context << 9), np.searchsorted(keys, (context + 1) << 9)
+            size = end - begin
+            at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
+            found.append((keys[at], n[at]))
+        keys, n = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(keys)
+        some.append((keys[order], n[order]))
     return Model(some)
 
 
+def places(context: np.ndarray, order: int, frequent) -> np.ndarray:
+    """The shortest suffix of LOW symbols or more that is not frequent, of contexts of so many symbols; -1 where all are.
+    frequent(k, contexts): which contexts of k symbols are."""
+    out = np.full(len(context), -1)
+    for k in range(order, LOW - 1, -1):
+        own = context & ((1 << 9 * k) - 1)
+        rare = ~frequent(k, own)
+        out[rare] = own[rare] | (k << 9 * ORDER)
+    return out
+
+
 _models: dict = {}
 
 
@@ -280,6 +301,28 @@ def score(docs: DataFrame) -> DataFrame:
     size = {r["tag"]: (r["n"], r["v"]) for r in table.mapInArrow(sizes, "tag long, n long, v long").groupBy("tag").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()}
     symbols, (tokens, distinct) = size.get(0, (0, 0))[0], size.get(WORDS, (0, 0))
 
+    @lean
+    def spread(batches):
+        """Entries of contexts by the power of two of their symbols."""
+        found = np.zeros(64, np.int64)
+        for b in batches:
+            for t, x in zip(b.column("tag").to_pylist(), b.column("blob").to_pylist()):
+                if LOW <= t < WORDS:
+                    x = np.frombuffer(x, COUNT)
+                    context = x["key"] >> 9
+                    first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+                    many = np.log2(np.add.reduceat(x["n"], first)).astype(int)
+                    found += np.bincount(many, np.diff(np.append(first, len(x))), 64).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(64)), pa.array(found)], ["power", "entries"])
+
+    least, held = RARE * symbols, 0
+    entries = {r["power"]: r["n"] for r in table.mapInArrow(spread, "power long, entries long").groupBy("power").agg(F.sum("entries").alias("n")).collect()}
+    for power in range(63, -1, -1):
+        held += entries.get(power, 0) * COUNT.itemsize
+        if held > BYTES:
+            least = max(least, float(1 << (power + 1)))
+            break
+
     @lean
     def frequent(batches):
         for b in batches:
@@ -290,7 +333,7 @@ def score(docs: DataFrame) -> DataFrame:
                 elif t >= LOW:
                     context = x["key"] >> 9
                     first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-                    many = np.add.reduceat(x["n"], first) >= RARE * symbols
+                    many = np.add.reduceat(x["n"], first) >= least
                     x = x[np.repeat(many, np.diff(np.append(first, len(x))))]
                 yield from dealt(x, np.zeros(len(x), int), t)
 
@@ -357,7 +400,8 @@ def score(docs: DataFrame) -> DataFrame:
 
     def asks(tag, asked):
         x = np.concatenate(asked)
-        place = x["key"] if tag == ASK_WORDS else shared_suffix(x["key"] >> 9)
+        levels = _models[name][0].levels
+        place = x["key"] if tag == ASK_WORDS else places(x["key"] >> 9, ORDER, lambda k, own: levels[k]["context"].find(own) >= 0)
         for b in dealt(x, (mix64(place) % np.uint64(nb)).astype(np.int64), tag):
             k = len(b)
             yield pa.RecordBatch.from_arrays([*(pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())), *(b.column(c) for c in ("bucket", "tag", "blob"))], names)
@@ -377,7 +421,7 @@ def score(docs: DataFrame) -> DataFrame:
         ask = got[ASK_SYMBOLS]
         if len(ask):
             keys, at = np.unique(ask["key"], return_inverse=True)
-            model = part_model([*(shared.value[k] for k in range(LOW)), *(summed(got[k]["key"], got[k]["n"]) for k in range(LOW, ORDER + 1))], keys)
+            model = part_model([[shared.value[k], *([summed(got[k]["key"], got[k]["n"])] if k >= LOW else [])] for k in range(ORDER + 1)], keys)
             none = np.zeros(len(ask))
             out.append(packed(ANSWER, ask["row"], none, none, ask["n"] * (model.code(keys) / np.log(10))[at]))
         # one record for each row and one blob for each bucket, of both kinds of answers
@@ -388,7 +432,23 @@ def score(docs: DataFrame) -> DataFrame:
             x = packed(ANSWER, x["row"][first], *(np.add.reduceat(x[c], first) for c in ("known", "log", "ppm")))
             yield from dealt(x, (mix64(x["row"]) % np.uint64(nb)).astype(np.int64))
 
-    counts = table.where(F.col("tag") >= LOW).select("bucket", "tag", "blob")
+    @lean
+    def rare(batches):
+        """Counts dealt to where they are asked for; contexts that are broadcast stay behind."""
+        known = {k: np.unique(shared.value[k][0] >> 9) for k in range(LOW, ORDER + 1)}
+
+        def frequent(k, own):
+            at = np.minimum(np.searchsorted(known[k], own), max(0, len(known[k]) - 1))
+            return known[k][at] == own if len(known[k]) else np.zeros(len(own), bool)
+
+        for b in batches:
+            for t, x in zip(b.column("tag").to_pylist(), b.column("blob").to_pylist()):
+                x = np.frombuffer(x, COUNT)
+                place = x["key"] if t == WORDS else places(x["key"] >> 9, t, frequent)
+                x, place = x[place >= 0], place[place >= 0]
+                yield from dealt(x, (mix64(place) % np.uint64(nb)).astype(np.int64), t)
+
+    counts = table.where(F.col("tag") >= LOW).mapInArrow(rare, BLOBS)
     asks_ = first.where("blob is not null").select("bucket", "tag", "blob")
     answers = counts.unionByName(asks_).repartition(here, "bucket").mapInArrow(answered, BLOBS)
 

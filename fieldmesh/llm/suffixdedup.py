@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOBS, dealt, gathered, id_text, kept, lean, mix64, packed, partitions, pieces
+from .common import BLOBS, bitmap, dealt, gathered, id_text, kept, lean, mix64, packed, partitions, pieces, slices_of
 
 LENGTH, GRAM = 100, 32
 SPREAD = LENGTH - GRAM + 1
@@ -277,13 +277,9 @@ def copied(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         x = [np.zeros(0, np.int64)]
         for b in batches:
             x += [np.unique((np.frombuffer(y, "<u8") % np.uint64(bits)).astype(np.int64)) for y in b.column("blob").to_pylist()]
-        y = np.unique(np.concatenate(x)).astype("<i4")
-        yield from dealt(y, np.zeros(len(y), int), 2)
+        yield from slices_of(np.concatenate(x), bits)
 
-    filter_ = np.zeros(bits // 8, np.uint8)
-    for x in compared.where("tag = 2").mapInArrow(cells, BLOBS).toArrow().column("blob").to_pylist():
-        at = np.frombuffer(x, "<i4")
-        np.bitwise_or.at(filter_, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    filter_ = bitmap(compared.where("tag = 2").mapInArrow(cells, BLOBS), bits)
     # at most one of TOGETHER segments has such an anchor
     frequent = gathered(compared.where("tag = 4").toArrow().to_batches(), {4: np.dtype("<u8")})[4]
     shared = spark.sparkContext.broadcast((filter_, np.sort(frequent)))

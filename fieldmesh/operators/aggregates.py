@@ -12,10 +12,10 @@ from fieldmesh.functions.order_stats import order_statistics, round_index
 
 
 def numeric_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """keys, n, low, high, mean, p50, p84, p95 (elements at round(q (n - 1)))."""
+    """keys, n, low, high, mean, p50, p84, p95 (elements at round(q (n - 1))); keys are few."""
     plain = df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*keys).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.avg(value).alias("mean"))
-    ranks = order_statistics(df, keys, value, {"p50": round_index(0.5), "p84": round_index(0.84), "p95": round_index(0.95)})
-    return ranks.join(plain, keys) if keys else ranks.join(F.broadcast(plain), F.lit(True))
+    ranks = order_statistics(df, keys, value, {"p50": round_index(0.5), "p84": round_index(0.84), "p95": round_index(0.95)}, few=True)
+    return ranks.join(F.broadcast(plain), keys) if keys else ranks.join(F.broadcast(plain), F.lit(True))
 
 
 def residual_statistics(df: DataFrame, role: str, residual: str, limit: float) -> DataFrame:

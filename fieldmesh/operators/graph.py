@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
+from pyspark import SparkContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,13 +25,42 @@ def _folder(spark) -> str:
     return at.rstrip("/")
 
 
+#: Folders to delete when the driver ends: results that hang on them are read lazily until then.
+_left: set[str] = set()
+
+
+def until_exit(path: str) -> str:
+    """path, deleted when the driver ends (unless it is gone by then)."""
+    if not _left:
+        atexit.register(_clear)
+    _left.add(path)
+    return path
+
+
+def _clear() -> None:
+    jvm = SparkContext._jvm
+    for at in _left if jvm is not None else ():
+        try:
+            path = jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+        except (Py4JError, OSError):  # the JVM went first; what is left there is the shared folder's owner's to clear
+            return
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: cuts lineage, survives lost executors."""
-    path = f"{_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    """df written to the shared folder and read again: cuts lineage, survives lost executors. Deleted when the driver ends."""
+    path = until_exit(f"{_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark, *frames: DataFrame) -> None:
+    """Deletes what settled() wrote for these frames, once nothing will read it again."""
+    for at in {x.rsplit("/", 1)[0] for f in frames for x in f.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Nodes that a task's union-find holds at once.
 LOCAL_NODES = 500_000
 
@@ -66,27 +98,33 @@ def _local_stars(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL").mapInArrow(run, f"u {kind}, v {kind}")
 
 
-def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame | None = None, write=settled) -> DataFrame:
     """node, root: the least node reachable over edges (a, b: both long or both string; edges with a null are left out).
 
-    Each task first joins what its own edges join; rounds of a large star (larger neighbours go to the least of the
+    Each task first joins what its own edges join. If what is left is no more than a task holds (LOCAL_NODES), one joins it; else
+    rounds of a large star (larger neighbours go to the least of the
     neighbourhood) and a small star (smaller ones do) then run until all edges are stars. Every step is written to the
     shared folder. Minima are aggregated and written before edges meet them, so both sides of that join are plain exchanges, and a
-    node with very many edges can be split among tasks. Nodes of `nodes` without edges are their own roots.
+    node with very many edges can be split among tasks. Nodes of `nodes` without edges are their own roots. write() settles a
+    step; steps that nothing reads again are deleted.
     """
-    first = settled(_local_stars(edges))
+    first = write(_local_stars(edges))
     now = first.where("u != v")
-    while True:
+    few = now.count() <= LOCAL_NODES // 2
+    if few:  # as few as one task's union-find holds
+        now = write(_local_stars(now.toDF("a", "b").coalesce(1))).where("u != v")
+    while not few:
         centres = now.select(F.col("v").alias("u")).distinct()
         deep = now.join(centres, "u", "left_semi").select("u").union(now.groupBy("u").count().where("count > 1").select("u"))
         if not deep.limit(1).count():
             break
         both = now.union(now.select("v", "u"))
-        least = settled(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
-        large = settled(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
-        least = settled(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        now = settled(small.where("u != v").distinct())
+        least = write(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
+        large = write(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
+        small_least = write(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(small_least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        before, now = now, write(small.where("u != v").distinct())
+        dropped(edges.sparkSession, least, large, small_least, *([before] if before.inputFiles() != first.inputFiles() else []))
     every = first.select("u").union(nodes.select("node")) if nodes is not None else first.select("u")
     return every.distinct().join(now.distinct(), "u", "left").select(F.col("u").alias("node"), F.coalesce("v", "u").alias("root"))
 

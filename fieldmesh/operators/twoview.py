@@ -56,6 +56,11 @@ def residuals_of(m: np.ndarray, a: np.ndarray, b: np.ndarray, model: str) -> np.
     return np.where(np.isfinite(r), r, np.inf)
 
 
+def agreeing(m: np.ndarray, a: np.ndarray, b: np.ndarray, model: str, threshold: float, portion: int = 8192) -> np.ndarray:
+    """How many matches agree with each model; matches are walked in portions."""
+    return sum((residuals_of(m, a[i : i + portion], b[i : i + portion], model) <= threshold).sum(1) for i in range(0, len(a), portion))
+
+
 def robust(a: np.ndarray, b: np.ndarray, model: str, threshold: float, confidence: float, trials: int, seed: int, batch: int = 64) -> np.ndarray | None:
     """The model that most matches agree with, fitted again to those; None without one."""
     n, k = len(a), MINIMAL[model]
@@ -65,14 +70,14 @@ def robust(a: np.ndarray, b: np.ndarray, model: str, threshold: float, confidenc
     while done < min(trials, wanted):
         pick = np.stack([rng.choice(n, k, replace=False) for _ in range(batch)])
         m = estimated(a[pick], b[pick], model)
-        count = (residuals_of(m, a, b, model) <= threshold).sum(1)
+        count = agreeing(m, a, b, model, threshold)
         done += batch
         if count.max() > most:
             best, most = m[count.argmax()], int(count.max())
             for _ in range(5):  # its inliers give a better model, as long as more agree
                 some = residuals_of(best[None], a, b, model)[0] <= threshold
                 again = estimated(a[some][None], b[some][None], model) if some.sum() >= k else best[None]
-                more = int((residuals_of(again, a, b, model)[0] <= threshold).sum())
+                more = int(agreeing(again, a, b, model, threshold)[0])
                 if more < most or (again[0] == best).all():
                     break
                 best, most = again[0], more

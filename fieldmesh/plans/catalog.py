@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmesh.functions import scalars
-from fieldmesh.functions.order_stats import order_statistics, quartile_index, robust_spread, upper_median
+from fieldmesh.functions.order_stats import order_statistics, quantiles, quartile_index, robust_spread, upper_median
 from fieldmesh.operators import aggregates, filters, graph, grid, joins, mesh, pairs, solvers
 from fieldmesh.plans.standins import sql, table
 from fieldmesh.sources import readers
@@ -218,7 +218,7 @@ def numeric_summary(spark, d):
 
 @query("a10_linear_quantiles", "SELECT flag, round(quantile_cont(z, 0.5), 4) AS p50, round(quantile_cont(z, 0.84), 4) AS p84, round(quantile_cont(z, 0.95), 4) AS p95 FROM samples GROUP BY flag")
 def linear_quantiles(spark, d):
-    return rounded(table(spark, d, "samples").groupBy("flag").agg(*[F.percentile("z", F.lit(q)).alias(f"p{int(q * 100)}") for q in (0.5, 0.84, 0.95)]))
+    return rounded(quantiles(table(spark, d, "samples"), ["flag"], "z", {f"p{int(q * 100)}": q for q in (0.5, 0.84, 0.95)}).drop("n"))
 
 
 @query("a34_upper_median", "SELECT r, c, count(z) AS n, round(list_sort(list(z))[floor(count(z) / 2)::INT + 1], 4) AS med, round(list_sort(list(z))[least(count(z) - 1, floor(count(z) * 3 / 4))::INT + 1], 4) AS quartile FROM samples GROUP BY r, c")
@@ -228,7 +228,7 @@ def upper_medians(spark, d):
 
 @query("f02_robust_spread", "WITH m AS (SELECT flag, quantile_cont(z, 0.5) AS med FROM samples GROUP BY flag) SELECT s.flag, count(z) AS n, round(med, 4) AS med, round(quantile_cont(abs(z - med), 0.5), 4) AS mad, round(quantile_cont(abs(z - med), 0.5) * 1.4826, 4) AS nmad FROM samples s JOIN m ON s.flag = m.flag GROUP BY s.flag, med")
 def spread(spark, d):
-    return rounded(robust_spread(table(spark, d, "samples"), ["flag"], "z"))
+    return rounded(robust_spread(table(spark, d, "samples"), ["flag"], "z", few=True))
 
 
 @query("f02_robust_outliers", "WITH m AS (SELECT quantile_cont(z, 0.5) AS med FROM samples), a AS (SELECT quantile_cont(abs(z - med), 0.5) AS mad FROM samples, m) SELECT flag, count(*) AS n FROM samples, m, a WHERE z <= med + 1.0 * 1.4826 * mad GROUP BY flag")

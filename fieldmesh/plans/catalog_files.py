@@ -14,8 +14,8 @@ from fieldmesh.sources import formats, readers, writers
 
 
 def place(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{graph._folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, deleted when the driver ends."""
+    return graph.until_exit(f"{graph._folder(spark)}/{name}-{uuid.uuid4().hex}")
 
 
 def lines(df: DataFrame, value, name: str) -> str:

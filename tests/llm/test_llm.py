@@ -221,10 +221,11 @@ def test_unigram_baseline_and_ppm(spark, texts):
     assert sum(r["score"] for r in got.values()) > sum(r["base_score"] for r in got.values())
 
 
-@pytest.mark.parametrize("rare", [2e-7, 1e-3, 1.0])
-def test_ppm_keeps_rare_contexts(spark, texts, monkeypatch, rare):
-    """The score is that of a model of all contexts, whichever of them are broadcast."""
+@pytest.mark.parametrize("rare,held", [(2e-7, 96 << 20), (1e-3, 96 << 20), (1.0, 96 << 20), (0.0, 40_000), (0.0, 3_000), (2e-7, 16)])
+def test_ppm_keeps_rare_contexts(spark, texts, monkeypatch, rare, held):
+    """The score is that of a model of all contexts, whichever of them are broadcast, and however few bytes they may take."""
     monkeypatch.setattr(scoring, "RARE", rare)
+    monkeypatch.setattr(scoring, "BYTES", held)
     got = {r["doc_id"]: r["score"] for r in scoring.score(spark.createDataFrame(texts, SCHEMA)).collect()}
 
     def keys_of(some):

@@ -8,12 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldmesh.operators import mesh, surface, triangles
-
-
-def field(spark, f, n, step=1):
-    g = np.indices((n, n, n)).reshape(3, -1).T
-    values = f(*(g * step).T.astype(float))
-    return spark.createDataFrame([(*map(int, p), float(v)) for p, v in zip(g, values)], "i long, j long, k long, value double")
+from tests_shapes import field
 
 
 def test_all_configurations_are_closed_and_manifold(spark):
