@@ -219,7 +219,7 @@ def decode_geotiff(content: bytes) -> tuple[np.ndarray, float, float, float, flo
 def write_geotiffs(cells: DataFrame, path: str, step: float, origin: tuple[float, float] = (0.0, 0.0), block: int = 512, nodata: float = -9999.0) -> None:
     """GeoTIFF files of a grid (r, c, value), one for each block of cells (a bounded group) that has any; origin: the corner of cell (0, 0)."""
 
-    def pack(key, group: pa.Table) -> pa.Table:
+    def pack(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         i, j = (k.as_py() for k in key)
         z = np.full((block, block), nodata, np.float32)
         z[group.column("r").to_numpy() - i * block, group.column("c").to_numpy() - j * block] = group.column("value").to_numpy()
