@@ -74,9 +74,10 @@ class Tile:
             row = i + s.radius + di
             for dj in range(-s.radius, s.radius + 1):
                 col = j + s.across + dj
-                x = col - (plane[0] + plane[1] * dj + plane[2] * di)
-                low = np.clip(np.floor(x).astype(int), 0, self.right.shape[1] - 2)
-                w = x - low
+                back = plane[0] + plane[1] * dj + plane[2] * di
+                whole = np.ceil(back)  # taken apart before the column comes in, so rounding does not hang on where a tile begins
+                low = np.clip(col - whole.astype(int), 0, self.right.shape[1] - 2)
+                w = whole - back
                 other = self.right[row, low] * (1 - w) + self.right[row, low + 1] * w
                 off = np.abs(self.left[row, col] - other)
                 total += np.where(np.isnan(off), s.truncated, np.minimum(off, s.truncated))
@@ -167,6 +168,11 @@ def _turned(group: pa.Table, s: Search, n: int, refinements: int) -> pa.Table:
     return _out(t)
 
 
+def _half_sweep(s: Search, n: int, refinements: int):
+    """One half sweep over a tile's rows; of one argument, as Spark gives a second one the key first."""
+    return lambda group: _turned(group, s, n, refinements)
+
+
 def slanted_disparities(pixels: DataFrame, search: Search, sweeps: int = 3, refinements: int = 4) -> DataFrame:
     """r, c, d, a, b, cost of every pixel (r, c, left, right: the values of both images there) with a left value: its disparity, by how much it grows
     a column and a row on, and the mean difference of its window. A left pixel c lies at c - d in the right image.
@@ -181,7 +187,7 @@ def slanted_disparities(pixels: DataFrame, search: Search, sweeps: int = 3, refi
     dealt = rows.withColumn("bi", near("r", s.radius)).withColumn("bj", near("c", s.across))
     state = settled(dealt.groupBy("bi", "bj").applyInArrow(lambda g: _begun(g, s), ROWS))
     for n in range(2 * sweeps):
-        before, state = state, settled(state.groupBy("bi", "bj").applyInArrow(lambda g, n=n: _turned(g, s, n, refinements), ROWS))
+        before, state = state, settled(state.groupBy("bi", "bj").applyInArrow(_half_sweep(s, n, refinements), ROWS))
         dropped(state.sparkSession, before)
 
     def planes(batches):

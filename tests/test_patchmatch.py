@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from fieldmesh.operators import patchmatch
 from fieldmesh.operators.patchmatch import Search, slanted_disparities
 
 
@@ -41,3 +42,25 @@ def test_missing_pixels(spark):
     got = slanted_disparities(frame(spark, left, right), Search(0.0, 14.0, 0.2, 2, 40.0, 16), 1, 1).collect()
     assert len(got) == left.size - 1 and all(np.isfinite(r["cost"]) for r in got)
     assert slanted_disparities(frame(spark, left, right).limit(0), Search(0.0, 5.0)).count() == 0
+
+
+def test_half_sweeps_take_one_argument():
+    """Spark gives a function of two arguments the group's key first."""
+    import inspect
+
+    assert len(inspect.signature(patchmatch._half_sweep(Search(0.0, 5.0), 1, 2)).parameters) == 1
+
+
+def test_prices_do_not_hang_on_where_a_tile_begins():
+    """The same pixels and planes, a column further on in the tile, cost the same to the last bit."""
+    s = Search(0.0, 9.0, 0.3, 2, 40.0, 24)
+    left, right, _ = scene(3, 24, 24)
+    rng, cost = np.random.default_rng(4), []
+    planes = np.stack([rng.uniform(0, 9, 60), *rng.uniform(-0.3, 0.3, (2, 60))])
+    i, j = rng.integers(3, 20, (2, 60))
+    for by in (0, 1, 5):
+        t = patchmatch.Tile(np.full(patchmatch.Tile.size(s), np.nan).tobytes(), (0, 0), s)
+        for image, x in ((t.left, left), (t.right, right)):
+            image[s.radius : s.radius + 24, s.across + by : s.across + by + 24] = x
+        cost.append(t.price(i, j + by, planes))
+    assert np.isfinite(cost[0]).all() and (cost[0] == cost[1]).all() and (cost[0] == cost[2]).all()
