@@ -3,11 +3,13 @@
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from fieldmesh.operators import mesh, surface, triangles
+from fieldmesh.plans import catalog, catalog_surface  # noqa: F401  registers the query
 from tests_shapes import field
 
 
@@ -121,3 +123,22 @@ def test_radial_products_against_all_triangles(spark):
             if ts:
                 want[row, col] = (pytest.approx(min(ts)), max(ts) - min(ts) > 1e-6)
     assert got == want and any(x[1] for x in got.values()) and len(got) < 24 * 48
+
+
+def test_vertices_are_rounded_as_by_sql(spark, tmp_path):
+    """Many cuts lie halfway between two numbers of four decimals; each side must come out as from DuckDB."""
+    rng = random.Random(5)
+    rows = [(i, j / 100, k, 25.5 + (-u if (i + j + k) % 2 else 8 - u)) for i in range(60) for j in range(6) for k in range(6) for u in [rng.randrange(1, 800) / 100]]
+    spark.createDataFrame(rows, "l_suppkey long, l_discount double, l_linenumber int, l_quantity double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted(tuple(r) for r in catalog.QUERIES["n14_iso_vertices"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.sql(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert got and got == sorted(con.sql(catalog.ORACLES["n14_iso_vertices"]).fetchall())
+
+
+def test_rounding_in_binary(spark):
+    numbers = [4.52875, -4.52875, 36.52875, 0.00005, -0.00005, 0.49999999999999994, 1e300, -1e300, 0.0, None, math.inf, -math.inf, math.nan, 123456789.98765]
+    df = spark.createDataFrame([(n, x) for n, x in enumerate(numbers)], "n long, x double")
+    got = [r["x"] for r in catalog.rounded_in_binary(df).orderBy("n").collect()]
+    want = [r[0] for r in duckdb.sql("select round(x, 4) + 0.0 from (select unnest($1::double[]) as x)", params=[[x for x in numbers]]).fetchall()]
+    assert repr(got) == repr(want)
