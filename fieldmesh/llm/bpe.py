@@ -18,7 +18,9 @@ import hashlib
 import heapq
 import json
 import re
+import struct
 import unicodedata
+import uuid
 from collections.abc import Iterable, Iterator, Sequence
 from itertools import islice
 
@@ -31,8 +33,8 @@ from .common import id_text, lean, texts_of
 
 #: Fixed value: Unicode white space as the tokenizer's pattern has it.
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Words that each worker remembers with their tokens.
-REMEMBERED = 250_000
+#: Words of a generation that each worker remembers with their tokens (and of the one before), and characters of the longest.
+REMEMBERED, LONG = 250_000, 64
 #: Characters of text, and tokens of one word, that are worked on at once.
 CHUNK = 1 << 14
 _space = re.compile(r"\s")
@@ -79,14 +81,43 @@ def lookahead(merges: list[tuple[str, str]], suffix: str) -> int | None:
     return most + 1
 
 
+class LongWord(Exception):
+    """A word too long to remember."""
+
+
+class Known(dict):
+    """Words with their ids as bytes. Those used since the last change of generations outlive the next one."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, w: str) -> bytes:
+        if len(w) > LONG:
+            raise LongWord
+        if (x := self.old.get(w)) is None:
+            x = self.make(w)
+        if len(self) >= REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+        self[w] = x
+        return x
+
+
 class Encoder:
     """Text to token ids, as the tokenizers library does it for this file's kind of tokenizer."""
 
     def __init__(self, spec: dict, window: int | None = None):
         self.vocab, self.suffix, self.special = spec["vocab"], spec["suffix"], spec["special"]
         self.names = {i: t for t, i in (self.vocab | self.special).items()}
-        self.rank = {m: (r, self.vocab[m[0] + m[1]]) for r, m in reversed([*enumerate(spec["merges"])])}
-        self.pairs = {(self.vocab[a], self.vocab[b]): x for (a, b), x in self.rank.items()}
+        # ranks of merges by their left id and then their right id, and what each makes
+        self.none, self.made = len(spec["merges"]), [self.vocab[a + b] for a, b in spec["merges"]]
+        nothing: dict[int, int] = {}
+        self.after = [nothing] * (max(self.names, default=-1) + 1)
+        for r, (a, b) in enumerate(spec["merges"]):
+            if not (own := self.after[self.vocab[a]]):
+                own = self.after[self.vocab[a]] = {}
+            own.setdefault(self.vocab[b], r)
         self.ahead = lookahead(spec["merges"], self.suffix)
         self.window = window or self.ahead or 0
         chars = byte_chars()
@@ -94,84 +125,82 @@ class Encoder:
         self.final = [self.vocab[c + self.suffix] for c in chars]
         self.width = {i: len(t.removesuffix(self.suffix)) for t, i in self.vocab.items()}
         self.words = regex.compile(spec["pattern"]).findall
+        plain = re.sub(r"\[[^\]]*\]", lambda m: m[0].replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9"), spec["pattern"])
+        self.ascii_words = self.words if r"\p" in plain else re.compile(plain).findall
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.known: dict[str, bytes] = {}
+        self.known = Known(self.packed)
 
     def merged(self, ids: list[int]) -> list[int]:
         """All merges applied: lowest rank first, leftmost first among equals."""
-        pairs = self.pairs
         if len(ids) > 100:
             return self.merged_long(ids)
-        while len(ids) > 1:
-            best, at = None, -1
-            for p in zip(ids, ids[1:]):
-                if (x := pairs.get(p)) is not None and (best is None or x[0] < best[0]):
-                    best, at = x, p
-            if best is None:
-                break
-            a, b = at
-            out, i, n = [], 0, len(ids)
-            while i < n:
-                if i + 1 < n and ids[i] == a and ids[i + 1] == b:
-                    out.append(best[1])
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+        after, made, none = self.after, self.made, self.none
+        ids, ranks = ids[:], [after[a].get(b, none) for a, b in zip(ids, ids[1:])]
+        while ranks and (best := min(ranks)) < none:
+            i = ranks.index(best)
+            ids[i] = x = made[best]
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = after[ids[i - 1]].get(x, none)
+            if i < len(ranks):
+                ranks[i] = after[x].get(ids[i + 1], none)
         return ids
 
     def merged_long(self, ids: list[int]) -> list[int]:
         """merged() with a heap and a linked list, for many symbols."""
-        pairs, n = self.pairs, len(ids)
+        ranks, makes, n = self.after, self.made, len(ids)
         at, after, before = [*ids, -1], [*range(1, n + 1)], [*range(-1, n - 1)]
-        heap = [(x[0], i, a, b, x[1]) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (x := pairs.get((a, b)))]
+        heap = [(x, i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (x := ranks[a].get(b)) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b, made = heapq.heappop(heap)
+            r, i, a, b = heapq.heappop(heap)
             if at[i] != a or (j := after[i]) >= n or at[j] != b:
                 continue
+            made = makes[r]
             at[i], at[j], after[i] = made, -1, (k := after[j])
             if k < n:
                 before[k] = i
-                if x := pairs.get((made, at[k])):
-                    heapq.heappush(heap, (x[0], i, made, at[k], x[1]))
-            if (h := before[i]) >= 0 and (x := pairs.get((at[h], made))):
-                heapq.heappush(heap, (x[0], h, at[h], made, x[1]))
+                if (x := ranks[made].get(at[k])) is not None:
+                    heapq.heappush(heap, (x, i, made, at[k]))
+            if (h := before[i]) >= 0 and (x := ranks[at[h]].get(made)) is not None:
+                heapq.heappush(heap, (x, h, at[h], made))
         return [x for x in at[:n] if x >= 0]
 
-    def transduce(self, data: Iterable[int]) -> Iterator[int]:
-        """Token ids of one word, given byte by byte; holds at most the lookahead and a window of symbols."""
+    def transduce(self, data: bytes) -> Iterator[int]:
+        """Token ids of one word, read in runs of bytes; holds at most the lookahead and a window of symbols."""
         held: list[int] = []
-        prior, full = None, (self.ahead or 0) + self.window
-        for b in data:
-            if prior is not None:
-                held.append(self.inner[prior])
-                if self.ahead is not None and len(held) >= full:
-                    done, safe = 0, len(held) - self.ahead
-                    for t in self.merged(held):
-                        if done + self.width[t] > safe:
-                            break
-                        done += self.width[t]
-                        yield t
-                    held = held[done:]
-                    full = len(held) + self.window
-            prior = b
-        if prior is not None:
-            held.append(self.final[prior])
+        at, last = 0, len(data) - 1
+        full = last if self.ahead is None else self.ahead + self.window
+        while at < last:
+            run = data[at : min(last, at + full - len(held))]
+            at += len(run)
+            held += map(self.inner.__getitem__, run)
+            if self.ahead is not None and len(held) >= full:
+                done, safe = 0, len(held) - self.ahead
+                for t in self.merged(held):
+                    if done + self.width[t] > safe:
+                        break
+                    done += self.width[t]
+                    yield t
+                held = held[done:]
+                full = len(held) + self.window
+        if last >= 0:
+            held.append(self.final[data[last]])
         yield from self.merged(held)
 
+    def packed(self, w: str) -> bytes:
+        """The ids of a word as bytes."""
+        ids = [*self.transduce(w.encode())]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def word(self, w: str) -> Iterator[bytes]:
         """The ids of a word as bytes; more than one piece for a word too long to remember."""
-        if len(w) > 64:
-            ids = self.transduce(w.encode())
-            while part := [*islice(ids, CHUNK)]:
-                yield np.array(part, "<u4").tobytes()
+        if len(w) <= LONG:
+            yield self.known[w]
             return
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        self.known[w] = x = np.array([*self.transduce(w.encode())], "<u4").tobytes()
-        yield x
+        ids = self.transduce(w.encode())
+        while part := [*islice(ids, CHUNK)]:
+            yield struct.pack(f"<{len(part)}I", *part)
 
     def stretches(self, text: str) -> Iterator[str | tuple[str]]:
         """The text between special tokens, normalised and cut before white space into stretches of about CHUNK
@@ -195,30 +224,38 @@ class Encoder:
             if isinstance(part, tuple):
                 yield np.array([self.special[part[0]]], "<u4").tobytes()
                 continue
-            got, known = [], self.known
-            for w in self.words(part):
-                if (x := known.get(w)) is not None:
-                    got.append(x)
-                elif len(w) <= 64:
-                    got += self.word(w)
-                else:
-                    yield b"".join(got)
-                    got = []
+            words = self.ascii_words(part) if part.isascii() else self.words(part)
+            try:
+                got = b"".join(map(self.known.__getitem__, words))
+            except LongWord:
+                for w in words:
                     yield from self.word(w)
-            yield b"".join(got)
+            else:
+                yield got
 
     def encode(self, text: str) -> bytes:
         """stream() as a whole."""
         return b"".join(self.stream(text))
 
 
+_back = {c: b for b, c in enumerate(byte_chars())}
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(name: str, spec) -> Encoder:
+    """This worker's encoder of a broadcast specification, kept for its next tasks under the run's name."""
+    if name not in _encoders:
+        _encoders.clear()
+        _encoders[name] = Encoder(spec.value)
+    return _encoders[name]
+
+
 class Decoder:
     """Ids to text, as they come. joined: the vocabulary's strings with spaces between (what the library does
     without a decoder section); else the bytes they stand for, as far as they are whole characters, with a space for each word end."""
 
     def __init__(self, names: dict[int, str], suffix: str, special: dict[str, int], joined: bool = True):
         self.names, self.suffix, self.special, self.joined = names, suffix, special, joined
-        self.back = {c: b for b, c in enumerate(byte_chars())}
         self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
         self.first = True
 
@@ -241,7 +278,7 @@ class Decoder:
         if name in self.special:
             return self.utf8.decode(b"", True) + name
         ends = bool(self.suffix) and name.endswith(self.suffix)
-        raw = bytes(self.back[c] for c in (name.removesuffix(self.suffix) if ends else name))
+        raw = bytes(_back[c] for c in (name.removesuffix(self.suffix) if ends else name))
         return self.utf8.decode(raw + b" " * ends)
 
     def end(self) -> str:
@@ -259,11 +296,11 @@ def decode(encoder: Encoder, ids: Sequence[int], joined: bool = True) -> str:
 
 def tokenized(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (binary: little-endian unsigned 32-bit) and decoded text of every row."""
-    spec = docs.sparkSession.sparkContext.broadcast(load_spec(path))
+    spec, name = docs.sparkSession.sparkContext.broadcast(load_spec(path)), uuid.uuid4().hex
 
     @lean
     def run(batches):
-        e = Encoder(spec.value)
+        e = encoder(name, spec)
         for b in batches:
             ids = [e.encode(t) for t in texts_of(b)]
             text = [decode(e, np.frombuffer(x, "<u4").tolist()) for x in ids]
@@ -285,11 +322,11 @@ def digest(e: Encoder, text: str) -> tuple[int, str, str]:
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """tokenized() reduced to counts and SHA-256 digests where the rows are, so that no tokens travel."""
-    spec = docs.sparkSession.sparkContext.broadcast(load_spec(path))
+    spec, name = docs.sparkSession.sparkContext.broadcast(load_spec(path)), uuid.uuid4().hex
 
     @lean
     def run(batches):
-        e = Encoder(spec.value)
+        e = encoder(name, spec)
         for b in batches:
             got = [digest(e, t) for t in texts_of(b)]
             n, ids, shown = zip(*got) if got else ([], [], [])

@@ -201,6 +201,31 @@ def test_bpe_streams_in_constant_memory(unit):
     assert n >= len(text) / 4 and held < 3_000_000 + (3 * len(text) if " " not in unit else 0)
 
 
+def test_bpe_cuts_ascii_words_alike():
+    e, rng = bpe.Encoder(bpe.load_spec(public_tokenizers.path("word_bpe_49k.json"))), random.Random(6)
+    text = "".join(map(chr, range(128))) + "".join(rng.choice("abz'sdtrevml 019_-\n\t\x1c\x0b<|") for _ in range(5000))
+    assert e.ascii_words != e.words and e.ascii_words(text) == e.words(text)
+
+
+def test_bpe_remembers_words_across_generations(monkeypatch):
+    """A word in steady use is merged once, though more words than are remembered come by; long ones are not remembered; tasks share an encoder."""
+    monkeypatch.setattr(bpe, "REMEMBERED", 10)
+    spec = bpe.load_spec(public_tokenizers.path("word_bpe_49k.json"))
+    e, fresh = bpe.Encoder(spec), bpe.Encoder(spec)
+    merged, ids = [], e.transduce
+    monkeypatch.setattr(e, "transduce", lambda data: merged.append(data) or ids(data))
+    for k in range(26):
+        word = "word" + chr(97 + k)
+        assert e.encode(f"steady {word} steady {word}") == b"".join(map(fresh.encode, ("steady", word, "steady", word)))
+    assert merged.count(b"steady") == 1 and len(merged) == 27
+    assert e.encode("a " + "x" * 70 + " b") == b"".join(fresh.word("a")) + b"".join(fresh.word("x" * 70)) + b"".join(fresh.word("b")) and "x" * 70 not in e.known
+
+    class Sent:
+        value = spec
+
+    assert bpe.encoder("one", Sent) is bpe.encoder("one", Sent) is not bpe.encoder("two", Sent)
+
+
 def test_lookahead_needs_a_proper_list():
     assert bpe.lookahead([("a", "b"), ("ab", "c</w>")], "</w>") is not None
     assert bpe.lookahead([("ab", "c"), ("a", "b")], "") is None
