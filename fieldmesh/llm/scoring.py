@@ -277,10 +277,34 @@ def places(context: np.ndarray, order: int, frequent) -> np.ndarray:
     for k in range(order, LOW - 1, -1):
         own = context & ((1 << 9 * k) - 1)
         rare = ~frequent(k, own)
-        out[rare] = own[rare] | (k << 9 * ORDER)
+        out[rare] = own[rare] | ((k - LOW) << 9 * ORDER)  # a suffix of LOW symbols is its own place: its counts lie in that bucket already
     return out
 
 
+def dealt_to_places(batches, nb: int, frequent):
+    """Counts (BLOBS of contexts' symbols and of words) dealt to the buckets where they are asked for; contexts that are broadcast stay behind.
+    A task deals HELD counts at a time, so it makes a blob for each bucket and tag rather than for each of those and each blob it reads."""
+    held: dict[int, list[np.ndarray]] = {}
+
+    def out():
+        for t, parts in held.items():
+            x = np.concatenate(parts)
+            place = x["key"] if t == WORDS else places(x["key"] >> 9, t, frequent)
+            x, place = x[place >= 0], place[place >= 0]
+            yield from dealt(x, (mix64(place) % np.uint64(nb)).astype(np.int64), t)
+        held.clear()
+
+    n = 0
+    for b in batches:
+        for t, x in zip(b.column("tag").to_pylist(), b.column("blob").to_pylist()):
+            held.setdefault(t, []).append(np.frombuffer(x, COUNT))
+            n += len(x) // COUNT.itemsize
+            if n > HELD:
+                yield from out()
+                n = 0
+    yield from out()
+
+
 _models: dict = {}
 
 
@@ -434,19 +458,13 @@ def score(docs: DataFrame) -> DataFrame:
 
     @lean
     def rare(batches):
-        """Counts dealt to where they are asked for; contexts that are broadcast stay behind."""
         known = {k: np.unique(shared.value[k][0] >> 9) for k in range(LOW, ORDER + 1)}
 
         def frequent(k, own):
             at = np.minimum(np.searchsorted(known[k], own), max(0, len(known[k]) - 1))
             return known[k][at] == own if len(known[k]) else np.zeros(len(own), bool)
 
-        for b in batches:
-            for t, x in zip(b.column("tag").to_pylist(), b.column("blob").to_pylist()):
-                x = np.frombuffer(x, COUNT)
-                place = x["key"] if t == WORDS else places(x["key"] >> 9, t, frequent)
-                x, place = x[place >= 0], place[place >= 0]
-                yield from dealt(x, (mix64(place) % np.uint64(nb)).astype(np.int64), t)
+        yield from dealt_to_places(batches, nb, frequent)
 
     counts = table.where(F.col("tag") >= LOW).mapInArrow(rare, BLOBS)
     asks_ = first.where("blob is not null").select("bucket", "tag", "blob")

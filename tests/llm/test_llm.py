@@ -264,6 +264,34 @@ def test_ppm_keeps_rare_contexts(spark, texts, monkeypatch, rare, held):
         assert got[i] == pytest.approx(model.code(keys_of([t])).sum() / math.log(10)), i
 
 
+@pytest.mark.parametrize("held", [1_500_000, 5_000])
+def test_ppm_deals_counts_in_few_blobs(monkeypatch, held):
+    """However many blobs a task reads, it makes one for each bucket and tag (times the portions it takes), and every count arrives once."""
+    monkeypatch.setattr(scoring, "HELD", held)
+    rng, nb, n = np.random.default_rng(8), 97, 60
+    frequent = lambda k, own: (own % 5 == 0) & (k == scoring.LOW)  # noqa: E731  every fifth context of LOW symbols is broadcast
+    read, want = [], []
+    for tag in range(scoring.LOW, scoring.WORDS + 1):
+        keys = np.unique(rng.integers(0, 1 << (62 if tag == scoring.WORDS else 9 * (tag + 1)), 8_000))
+        records = scoring.packed(scoring.COUNT, keys, rng.integers(1, 9, len(keys)))
+        context = keys if tag == scoring.WORDS else scoring.shared_suffix(keys >> 9)
+        read += scoring.dealt(records, (scoring.mix64(context) % np.uint64(n)).astype(np.int64), tag)
+        place = keys if tag == scoring.WORDS else scoring.places(keys >> 9, tag, frequent)
+        want += [(tag, int(p), *r.tolist()) for p, r, at in zip(scoring.mix64(place) % np.uint64(nb), records, place) if at >= 0]
+    made = [(t, b, x) for out in scoring.dealt_to_places(read, nb, frequent) for b, t, x in zip(*(out.column(c).to_pylist() for c in ("bucket", "tag", "blob")))]
+    assert sorted((t, b, *r) for t, b, x in made for r in np.frombuffer(x, scoring.COUNT).tolist()) == sorted(want)
+    total = sum(len(x) // scoring.COUNT.itemsize for b in read for x in b.column("blob").to_pylist())
+    assert len(made) <= nb * (scoring.WORDS + 1 - scoring.LOW) * (total // held + 1) and (held < 10_000 or len(made) < total / 20)
+
+
+def test_ppm_places_of_the_shortest_suffix_stay_in_their_bucket():
+    context = np.random.default_rng(9).integers(0, 1 << 9 * scoring.ORDER, 1000)
+    never = lambda k, own: np.zeros(len(own), bool)
+    assert (scoring.places(context, scoring.ORDER, never) == scoring.shared_suffix(context)).all()
+    longer = scoring.places(context, scoring.ORDER, lambda k, own: np.full(len(own), k < scoring.ORDER))
+    assert (longer > context).all() and (longer & ((1 << 9 * scoring.ORDER) - 1) == context).all()
+
+
 def test_ppm_is_what_the_definition_says():
     """Against a direct walk down the contexts, with escapes and exclusion; probabilities of all symbols sum to about 1."""
     seqs = [b"abracadabra", b"abacab", b"cadabra"]
