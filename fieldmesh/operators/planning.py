@@ -74,10 +74,11 @@ def admissible(tasks: DataFrame, needs: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, placed)
 
 
-def stationary_tracks(obs: DataFrame, factor: float = 4.0) -> DataFrame:
-    """Tracks whose observations (x, y, scale) all stay within factor times their mean scale of one another."""
+def stationary_tracks(obs: DataFrame, factor: float = 4.0, units: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+    """Tracks whose observations (x, y, scale) all stay within factor times their mean scale of one another. A unit of x and of y is so
+    many of scale's; extents, not places, are turned into them, as a place that is rounded first puts tracks over the limit."""
     b = obs.groupBy("track").agg(F.max("x").alias("x1"), F.min("x").alias("x0"), F.max("y").alias("y1"), F.min("y").alias("y0"), F.avg("scale").alias("s"), F.count("*").alias("n"))
-    return b.where((F.col("n") >= 2) & (F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) <= factor * F.col("s"))).select("track")
+    return b.where((F.col("n") >= 2) & (F.greatest((F.col("x1") - F.col("x0")) * units[0], (F.col("y1") - F.col("y0")) * units[1]) <= factor * F.col("s"))).select("track")
 
 
 def source_scores(obs: DataFrame, angles: DataFrame) -> DataFrame:
