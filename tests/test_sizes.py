@@ -1,6 +1,10 @@
 """Queries that failed, differed from SQL or went beyond a limit on larger tables: small cases of the same kind."""
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
+from fieldmesh.operators import filters, joins
 
 
 def test_stationary_tracks_scale_extents(spark, tmp_path):
@@ -8,3 +12,28 @@ def test_stationary_tracks_scale_extents(spark, tmp_path):
     rows = [(1, 1.0, 0.02, 0.01), (1, 2.0, 0.07, 0.015), (2, 1.0, 0.02, 0.01), (2, 7.0, 0.02, 0.01), (3, 1.0, 0.02, 0.01)]
     spark.createDataFrame(rows, "l_orderkey long, l_quantity double, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
     assert [tuple(r) for r in entry.queries()["f14_stationary_tracks"](spark, str(tmp_path)).collect()] == [(1,)]
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def cloud(spark, n=400):
+    """Points of which many share places, some lie just at a distance of 3 and some have no place."""
+    rng = np.random.default_rng(5)
+    rows = [(i, float(a), float(b) / 10, float(c)) for i, (a, b, c) in enumerate(rng.integers(0, 12, (n, 3)))]
+    odd = [(9001, None, 0.0, 0.0), (9002, float("nan"), 1.0, 1.0), (9003, float("inf"), 1.0, 1.0), (9004, -40.0, -0.0, 0.0)]
+    return rows, spark.createDataFrame(rows + odd, "id long, x double, y double, z double")
+
+
+def within(rows, radius):
+    p = np.array([r[1:] for r in rows])
+    d = p[:, None] - p
+    return np.sqrt(d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1] + d[..., 2] * d[..., 2]) <= radius
+
+
+def test_radius_counts_make_no_pairs(spark):
+    rows, points = cloud(spark)
+    got = joins.radius_counts(points, 3.0)
+    assert "Join" not in plan(got)
+    assert {r["id"]: r["n"] for r in got.collect()} == dict(enumerate(within(rows, 3.0).sum(1))) | {9004: 1}
