@@ -37,3 +37,11 @@ def test_radius_counts_make_no_pairs(spark):
     got = joins.radius_counts(points, 3.0)
     assert "Join" not in plan(got)
     assert {r["id"]: r["n"] for r in got.collect()} == dict(enumerate(within(rows, 3.0).sum(1))) | {9004: 1}
+
+
+def test_radius_outliers_make_no_pairs(spark):
+    rows, points = cloud(spark)
+    got = filters.radius_outliers(points, 1.6, 6)
+    assert "Join" not in plan(got)
+    n = within(rows, 1.6).sum(1) - 1
+    assert {r["id"]: r["n"] for r in got.collect()} == {i: k for i, k in enumerate(n) if k < 6} | {9001: 0, 9002: 0, 9003: 0, 9004: 0}
