@@ -45,3 +45,17 @@ def test_radius_outliers_make_no_pairs(spark):
     assert "Join" not in plan(got)
     n = within(rows, 1.6).sum(1) - 1
     assert {r["id"]: r["n"] for r in got.collect()} == {i: k for i, k in enumerate(n) if k < 6} | {9001: 0, 9002: 0, 9003: 0, 9004: 0}
+
+
+def test_normal_consistency_makes_no_pairs(spark):
+    rows, points = cloud(spark)
+    normals = points.select("*", F.when(F.col("id") % 9 == 0, 0.0).otherwise(F.col("id") % 7 + 1.0).alias("nx"), F.when(F.col("id") % 9 == 0, 0.0).otherwise(F.col("id") % 5 + 1.0).alias("ny"), F.lit(0.0).alias("nz"))
+    got = filters.normal_consistency(normals, 2.0, 0.9)
+    assert plan(got).count("Join") == 1
+    i = np.arange(len(rows))
+    u = np.stack([i % 7 + 1.0, i % 5 + 1.0], 1) * (i % 9 != 0)[:, None]
+    u /= np.maximum(np.sqrt((u * u).sum(1)), 1e-9)[:, None]
+    has = (i % 9 != 0).astype(int)
+    near = within(rows, 2.0) * has * has[:, None] * (i != i[:, None])
+    n, total = near.sum(1), (np.abs(u @ u.T) * near).sum(1)
+    assert sorted(r["id"] for r in got.collect()) == [k for k in i if n[k] < 3 or total[k] / n[k] >= 0.9] + [9001, 9002, 9003, 9004]
