@@ -59,3 +59,12 @@ def test_normal_consistency_makes_no_pairs(spark):
     near = within(rows, 2.0) * has * has[:, None] * (i != i[:, None])
     n, total = near.sum(1), (np.abs(u @ u.T) * near).sum(1)
     assert sorted(r["id"] for r in got.collect()) == [k for k in i if n[k] < 3 or total[k] / n[k] >= 0.9] + [9001, 9002, 9003, 9004]
+
+
+def test_radius_pairs_send_nothing_exploded_to_all(spark):
+    rows, points = cloud(spark)
+    points = points.where("id < 9000")
+    got = joins.radius_pairs(points.where("id % 40 = 0"), points, 3.0)
+    assert "Broadcast" not in plan(got)
+    near = within(rows, 3.0)
+    assert {(r["a_id"], r["b_id"]) for r in got.collect()} == {(a, b) for a in range(0, len(rows), 40) for b in np.flatnonzero(near[a])}
