@@ -1,6 +1,7 @@
 """Queries that failed, differed from SQL or went beyond a limit on larger tables: small cases of the same kind."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -68,3 +69,26 @@ def test_radius_pairs_send_nothing_exploded_to_all(spark):
     assert "Broadcast" not in plan(got)
     near = within(rows, 3.0)
     assert {(r["a_id"], r["b_id"]) for r in got.collect()} == {(a, b) for a in range(0, len(rows), 40) for b in np.flatnonzero(near[a])}
+
+
+@pytest.fixture
+def radii(monkeypatch):
+    """The radii that rounds search."""
+    seen, search = [], joins.radius_pairs
+    monkeypatch.setattr(joins, "radius_pairs", lambda a, b, radius, *more: seen.append(radius) or search(a, b, radius, *more))
+    return seen
+
+
+@pytest.mark.parametrize("k", [1])
+def test_nearest_start_small_where_points_are_dense(spark, radii, k):
+    rows, points = cloud(spark, 2000)
+    got = joins.nearest(points.where("id % 100 = 0"), points, k, 8.0, itself=False)
+    p = np.array([r[1:] for r in rows] + [(-40.0, 0.0, 0.0)])
+    ids = [r[0] for r in rows] + [9004]
+    want = []
+    for a in range(0, 2000, 100):
+        d = p - p[a]
+        d = np.sqrt(d[:, 0] ** 2 + d[:, 1] ** 2 + d[:, 2] ** 2)
+        want += [(a, b, n + 1) for n, (_, b) in enumerate(sorted((x, i) for x, i in zip(d, ids) if i != a)[:k])]
+    found = sorted((r["a_id"], r["b_id"], r["rank"]) for r in got.where("a_id < 9000").collect())
+    assert found == sorted(want) and radii[0] <= 4.0
