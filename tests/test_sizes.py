@@ -79,7 +79,7 @@ def radii(monkeypatch):
     return seen
 
 
-@pytest.mark.parametrize("k", [1])
+@pytest.mark.parametrize("k", [1, 5])
 def test_nearest_start_small_where_points_are_dense(spark, radii, k):
     rows, points = cloud(spark, 2000)
     got = joins.nearest(points.where("id % 100 = 0"), points, k, 8.0, itself=False)
