@@ -92,3 +92,10 @@ def test_nearest_start_small_where_points_are_dense(spark, radii, k):
         want += [(a, b, n + 1) for n, (_, b) in enumerate(sorted((x, i) for x, i in zip(d, ids) if i != a)[:k])]
     found = sorted((r["a_id"], r["b_id"], r["rank"]) for r in got.where("a_id < 9000").collect())
     assert found == sorted(want) and radii[0] <= 4.0
+
+
+def test_plane_weight_starts_small(spark, radii, tmp_path):
+    spark.range(20_000).selectExpr("id AS p_partkey", "CAST(id % 3 AS INT) AS p_size", "CAST(id % 37 AS DOUBLE) AS p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    got = entry.queries()["j10_plane_weight"](spark, str(tmp_path)).collect()
+    # a part of the same size, price and place is 3 * 37 * 29 after it, the first in that place the nearest
+    assert {r["a_id"]: r["b_id"] for r in got} == {a: a % 3219 if a >= 3219 else a + 3219 for a in range(0, 20_000, 100)} and radii[0] < 2.0
