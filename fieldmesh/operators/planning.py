@@ -4,43 +4,51 @@ from __future__ import annotations
 
 from collections import defaultdict
 from functools import reduce
+from heapq import heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmesh.operators.graph import components
+from fieldmesh.operators.graph import components, settled
 
 
-def balanced_blocks(edges: DataFrame, target: int, most: int = 200_000) -> DataFrame:
+def balanced_blocks(edges: DataFrame, target: int) -> DataFrame:
     """node, root, block: each component in ceil(n / target) blocks; a block grows by the node most strongly tied to it, ties by
-    weighted degree, then id. Greedy, so a component of images is one group; a larger one than most is an error."""
+    weighted degree, then id. Greedy, so a component of images is one group; heaps find the next node, so time grows with the edges
+    (times their logarithm), not with the square of the nodes."""
     found = components(edges.select("a", "b"))
-    rows = edges.join(found.withColumnRenamed("node", "a"), "a").select("root", "a", "b", "n")
+    # a sorted join on either side's nodes: components may be as many as the edges
+    rows = edges.join(found.withColumnRenamed("node", "a").hint("merge"), "a").select("root", "a", "b", "n")
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most:
-            raise ValueError("a component has more edges than a group may hold")
         near: dict[int, dict[int, float]] = defaultdict(dict)
-        for a, b, n in zip(pdf["a"], pdf["b"], pdf["n"]):
+        for a, b, n in zip(pdf["a"].tolist(), pdf["b"].tolist(), pdf["n"].tolist()):
             near[a][b] = near[a].get(b, 0) + n
             near[b][a] = near[b].get(a, 0) + n
         degree = {v: sum(x.values()) for v, x in near.items()}
+        # where nothing is tied, the node with the highest degree that is left
+        fresh = iter(sorted(near, key=lambda v: (-degree[v], v)))
         left, out = set(near), []
         blocks = -(-len(near) // target)
         size = -(-len(near) // blocks)
         for k in range(blocks):
-            block: set[int] = set()
+            block: list[int] = []
             pull: dict[int, float] = defaultdict(float)
+            heap: list[tuple] = []
             while left and len(block) < size:
-                tied = [v for v in pull if v in left]
-                pick = min(tied or left, key=lambda v: (-pull.get(v, 0), -degree[v], v))
-                block.add(pick)
+                # a tie that grew since was pushed again; what was taken or has another pull by now is passed over
+                while heap and (heap[0][2] not in left or -heap[0][0] != pull[heap[0][2]]):
+                    heappop(heap)
+                pick = heappop(heap)[2] if heap else next(v for v in fresh if v in left)
+                block.append(pick)
                 left.discard(pick)
                 for v, n in near[pick].items():
-                    pull[v] += n
-            out += [(v, pdf["root"].iloc[0], k) for v in sorted(block)]
-        return pd.DataFrame(out, columns=["node", "root", "block"])
+                    if v in left:
+                        pull[v] += n
+                        heappush(heap, (-pull[v], -degree[v], v))
+            out += [(v, k) for v in sorted(block)]
+        return pd.DataFrame(out, columns=["node", "block"]).assign(root=pdf["root"].iloc[0])[["node", "root", "block"]]
 
     return rows.groupBy("root").applyInPandas(grow, "node long, root long, block long")
 
@@ -49,9 +57,10 @@ def block_overlap(blocks: DataFrame, edges: DataFrame, most: int) -> DataFrame:
     """root, block, nodes: each block's nodes and its most strongly tied outside ones."""
     from pyspark.sql.window import Window
 
+    blocks = settled(blocks)  # three times met below, and grown once
     both = edges.select("a", "b", "n").union(edges.select("b", "a", "n")).toDF("node", "other", "n")
-    inside = both.join(blocks, "node").select("root", "block", "other", "n")
-    outer = inside.join(blocks.select(F.col("node").alias("other"), F.col("block").alias("own")), "other").where("own != block").groupBy("root", "block", "other").agg(F.sum("n").alias("n"))
+    inside = both.join(blocks.hint("merge"), "node").select("root", "block", "other", "n")
+    outer = inside.join(blocks.select(F.col("node").alias("other"), F.col("block").alias("own")).hint("merge"), "other").where("own != block").groupBy("root", "block", "other").agg(F.sum("n").alias("n"))
     top = outer.withColumn("k", F.row_number().over(Window.partitionBy("root", "block").orderBy(F.desc("n"), "other"))).where(F.col("k") <= most)
     everything = blocks.select("root", "block", "node").union(top.select("root", "block", F.col("other").alias("node")))
     return everything.groupBy("root", "block").agg(F.array_sort(F.collect_set("node")).alias("nodes"))

@@ -1,11 +1,13 @@
 """Queries that failed, differed from SQL or went beyond a limit on larger tables: small cases of the same kind."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from fieldmesh.operators import filters, joins
+from fieldmesh.operators import filters, joins, planning
 
 
 def test_stationary_tracks_scale_extents(spark, tmp_path):
@@ -99,3 +101,15 @@ def test_plane_weight_starts_small(spark, radii, tmp_path):
     got = entry.queries()["j10_plane_weight"](spark, str(tmp_path)).collect()
     # a part of the same size, price and place is 3 * 37 * 29 after it, the first in that place the nearest
     assert {r["a_id"]: r["b_id"] for r in got} == {a: a % 3219 if a >= 3219 else a + 3219 for a in range(0, 20_000, 100)} and radii[0] < 2.0
+
+
+def path_edges(spark, n):
+    return spark.range(n).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"), (F.col("id") % 17).alias("n"))
+
+
+def test_balanced_blocks_of_a_long_path(spark):
+    # more edges than a group was let hold; every start of a block went through all nodes left
+    began = time.time()
+    got = planning.balanced_blocks(path_edges(spark, 201_000), 5).groupBy("block").agg(F.count("*").alias("n")).toPandas()
+    assert len(got) == 40_201 and got["n"].sum() == 201_001 and (got["n"] <= 5).all()
+    assert time.time() - began < 120
