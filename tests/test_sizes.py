@@ -113,3 +113,17 @@ def test_balanced_blocks_of_a_long_path(spark):
     got = planning.balanced_blocks(path_edges(spark, 201_000), 5).groupBy("block").agg(F.count("*").alias("n")).toPandas()
     assert len(got) == 40_201 and got["n"].sum() == 201_001 and (got["n"] <= 5).all()
     assert time.time() - began < 120
+
+
+def test_block_overlap_of_a_long_path(spark):
+    e = path_edges(spark, 20_000)
+    grown = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        grown.add(1)
+        yield from batches
+
+    blocks = planning.balanced_blocks(e, 5).coalesce(1).mapInArrow(counted, "node long, root long, block long")
+    got = planning.block_overlap(blocks, e, 2).toPandas()
+    assert len(got) == 4_001 and got["nodes"].map(len).between(2, 7).all()
+    assert grown.value == 1  # blocks are grown once, not for each join
