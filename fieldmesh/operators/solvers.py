@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -59,20 +61,36 @@ def line_ransac(df: DataFrame, keys: list[str], tolerance: float, trials: int =
     return df.groupBy(*keys).applyInPandas(fit, ", ".join([f"{k} {types[k]}" for k in keys]) + ", slope double, offset double, inliers long, n long")
 
 
-def greedy_by_distance(df: DataFrame, block: str, radius: float, most: int = 200_000) -> DataFrame:
-    """Within a block, points in order of rank (desc) and id stay if no point that stays is nearer than radius. The greedy
-    order is the contract, so a block is one group; blocks are voxels of bounded content."""
+def _kept(p: np.ndarray, radius: float) -> np.ndarray:
+    """Which places, in order, stay if none that stays before them is nearer than radius. What stays is kept by cells of that size, so a
+    place is held against few others however many there are."""
+    cells: dict[tuple, list[int]] = {}
+    steps = list(product((-1, 0, 1), repeat=p.shape[1]))
+    # a cell as wide as the radius and a little more, lest rounding puts two near ones two cells apart
+    home = np.floor(p / (radius * (1 + 1e-9)))
+    stay = np.zeros(len(p), bool)
+    for i, at in enumerate(map(tuple, home.tolist())):
+        near = [k for s in steps for k in cells.get(tuple(a + b for a, b in zip(at, s)), ())]
+        if not near or not (((p[near] - p[i]) ** 2).sum(1) < radius * radius).any():
+            stay[i] = True
+            cells.setdefault(at, []).append(i)
+    return stay
+
+
+def greedy_by_distance(df: DataFrame, block: str, radius: float) -> DataFrame:
+    """Within a block, points in order of rank (desc) and id stay if no point that stays is nearer than radius (points without a
+    coordinate stay, and stop none). The greedy order is the contract, so a block is one group, as large as it may be."""
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most:
-            raise ValueError("a block has more points than a group may hold")
         pdf = pdf.sort_values(["rank", "id"], ascending=[False, True])
         p = pdf[["x", "y", "z"]].to_numpy(float)
-        stay: list[int] = []
-        for i in range(len(p)):
-            if not stay or (((p[stay] - p[i]) ** 2).sum(1) >= radius * radius).all():
-                stay.append(i)
-        return pdf.iloc[stay]
+        known = np.isfinite(p).all(1)
+        # of points in one place only the first can stay
+        first = ~pd.DataFrame(p).duplicated().to_numpy() if radius > 0 else known
+        stay = ~known
+        asked = np.flatnonzero(known & first)
+        stay[asked] = _kept(p[asked], radius) if radius > 0 else True
+        return pdf[stay]
 
     return df.groupBy(block).applyInPandas(pick, df.schema)
 

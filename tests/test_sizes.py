@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from fieldmesh.operators import filters, joins, planning
+from fieldmesh.operators import filters, joins, planning, solvers
 
 
 def test_stationary_tracks_scale_extents(spark, tmp_path):
@@ -127,3 +127,21 @@ def test_block_overlap_of_a_long_path(spark):
     got = planning.block_overlap(blocks, e, 2).toPandas()
     assert len(got) == 4_001 and got["nodes"].map(len).between(2, 7).all()
     assert grown.value == 1  # blocks are grown once, not for each join
+
+
+def test_greedy_dedupe_of_a_large_block(spark):
+    # a block beyond the bound there was; the first of each place stays, places are 4 apart but for those of x = 1
+    df = spark.range(210_000).selectExpr("id", "0 AS block", "CAST(if(id % 50 = 49, 1, (id % 50) * 4) AS double) AS x", "CAST((id % 7) * 4 AS double) AS y", "0e0 AS z", "CAST(-(id DIV 350) AS double) AS rank")
+    got = sorted(r["id"] for r in solvers.greedy_by_distance(df, "block", 3.0).select("id").collect())
+    assert got == [i for i in range(350) if i % 50 != 49]
+
+
+def test_greedy_dedupe_is_as_by_definition(spark):
+    rows, points = cloud(spark)
+    got = [r["id"] for r in solvers.greedy_by_distance(points.selectExpr("*", "0 AS block", "CAST(id % 3 AS double) AS rank"), "block", 3.0).collect()]
+    near = within(rows, np.nextafter(3.0, 0))
+    stay = []
+    for i in sorted(range(len(rows)), key=lambda i: (-(i % 3), i)):
+        if not near[i][stay].any():
+            stay.append(i)
+    assert sorted(got) == sorted(stay) + [9001, 9002, 9003, 9004]
