@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from fieldmesh.operators import filters, joins, planning, solvers
+from fieldmesh.operators import filters, joins, pairs, planning, solvers
 
 
 def test_stationary_tracks_scale_extents(spark, tmp_path):
@@ -145,3 +145,9 @@ def test_greedy_dedupe_is_as_by_definition(spark):
         if not near[i][stay].any():
             stay.append(i)
     assert sorted(got) == sorted(stay) + [9001, 9002, 9003, 9004]
+
+
+def test_exhaustive_pairs_of_a_long_list(spark):
+    assert pairs.exhaustive(spark.range(200_001).select(F.col("id").alias("idx"))).columns[:2] == ["i", "j"]  # was an error
+    got = pairs.exhaustive(spark.range(300).select(F.col("id").alias("idx")))
+    assert "Broadcast" not in plan(got) and sorted((r["i"], r["j"]) for r in got.collect()) == [(i, j) for i in range(300) for j in range(i + 1, 300)]
