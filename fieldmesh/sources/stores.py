@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 SHARDS = 64
 PAIR = ["owner", "peer", "algorithm", "config"]
@@ -218,14 +219,28 @@ def sparse_quality(spark: SparkSession, path: str) -> DataFrame:
     return p.where("size(point_xyz) >= 3").select(*at, F.col("track_len").cast("long").alias("track_length"), F.col("rms_reproj_px").alias("rms"), angle.alias("angle"), known.alias("complete"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, no (from 1), value of every line of text files. Large files are read in blocks; a block's lines are counted, and the blocks of a
+    file follow each other, so no task holds a file. The lines are written once, so that all see the same blocks."""
+    from fieldmesh.operators.graph import settled
+
+    read = spark.read.text(path, lineSep="\n").select("_metadata.file_path", "_metadata.file_block_start", F.regexp_replace("value", r"\r$", "").alias("value")).toDF("file", "block", "value")
+    lines = settled(read.withColumn("at", F.monotonically_increasing_id()))
+    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first")).select("file", "block", "first", ahead.alias("ahead"))
+    return lines.join(F.broadcast(blocks), ["file", "block"]).select("file", (F.col("ahead") + F.col("at") - F.col("first") + 1).alias("no"), "value")
+
+
 def plane_samples(spark: SparkSession, path: str, names: tuple[str, ...] = ("x", "y", "z", "nx", "ny", "nz")) -> DataFrame:
     """x, y, z, nx, ny, nz (of length one) of an ASCII PLY file; samples without a normal go. Columns are found by their names."""
-    lines = spark.read.text(path, wholetext=True).select(F.split("value", r"\r?\n").alias("a"))  # one file is one unit
-    end = F.array_position("a", "end_header").cast("int")
-    told = F.filter(F.slice("a", 1, end), lambda x: F.startswith(x, F.lit("property ")))
+    lines = numbered_lines(spark, path)
+    # a file's header is small, its body is not
+    ends = lines.where("value = 'end_header'").groupBy("file").agg(F.min("no").alias("end"))
+    head = lines.join(F.broadcast(ends), "file").where("no <= end").groupBy("file", "end").agg(F.transform(F.array_sort(F.collect_list(F.struct("no", "value"))), lambda x: x["value"]).alias("a"))
+    told = F.filter("a", lambda x: F.startswith(x, F.lit("property ")))
     named = F.transform(told, lambda x: F.element_at(F.split(F.trim(x), r"\s+"), -1))
-    count = F.regexp_extract(F.array_join(F.slice("a", 1, end), "\n"), r"element vertex (\d+)", 1).cast("int")
-    rows = lines.select(named.alias("named"), F.explode(F.slice("a", end + 1, count)).alias("v")).withColumn("p", F.split(F.trim("v"), r"\s+"))
+    count = F.regexp_extract(F.array_join("a", "\n"), r"element vertex (\d+)", 1).cast("int")
+    rows = lines.join(F.broadcast(head.select("file", "end", named.alias("named"), count.alias("count"))), "file").where("no > end AND no <= end + count").withColumn("p", F.split(F.trim("value"), r"\s+"))
     got = rows.select(*[F.get("p", (F.array_position("named", n) - 1).cast("int")).try_cast("double").alias(n) for n in names])
     long = F.sqrt(sum((F.col(n) * F.col(n) for n in names[4:]), F.col(names[3]) * F.col(names[3])))
     return got.withColumn("_l", long).where("x is not null and y is not null and z is not null and _l > 1e-12").select(*names[:3], *[(F.col(n) / F.col("_l")).alias(n) for n in names[3:]])

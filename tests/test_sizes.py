@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from fieldmesh.operators import filters, joins, pairs, planning, solvers
+from fieldmesh.sources import stores
 
 
 def test_stationary_tracks_scale_extents(spark, tmp_path):
@@ -151,3 +152,18 @@ def test_exhaustive_pairs_of_a_long_list(spark):
     assert pairs.exhaustive(spark.range(200_001).select(F.col("id").alias("idx"))).columns[:2] == ["i", "j"]  # was an error
     got = pairs.exhaustive(spark.range(300).select(F.col("id").alias("idx")))
     assert "Broadcast" not in plan(got) and sorted((r["i"], r["j"]) for r in got.collect()) == [(i, j) for i in range(300) for j in range(i + 1, 300)]
+
+
+def test_plane_samples_read_files_in_blocks(spark, tmp_path):
+    head = ["ply", "format ascii 1.0", "element vertex 500", *[f"property double {a}" for a in ("nx", "ny", "nz", "x", "y", "z")], "end_header"]
+    (tmp_path / "a.ply").write_bytes("".join(x + "\r\n" for x in [*head, *[f"0 0 2 {i} 1 {i % 7}" for i in range(510)]]).encode())
+    (tmp_path / "b.ply").write_text("\n".join([*head[:2], "element vertex 2", *head[6:9], *head[3:6], "end_header", "9 8 7 3 0 4", "9 8 7 0 0 0", "1 1 1 1 1 1"]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512b")
+    try:
+        got = stores.plane_samples(spark, str(tmp_path))
+        assert not any(x.endswith(".ply") for x in got.inputFiles())  # lines were dealt, not read as one text
+        found = sorted(tuple(r) for r in got.collect())
+        assert stores.numbered_lines(spark, str(tmp_path)).select("file", "no").distinct().count() == 520 + 13
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found == sorted([(float(i), 1.0, float(i % 7), 0.0, 0.0, 1.0) for i in range(500)] + [(9.0, 8.0, 7.0, 0.6, 0.0, 0.8)])
