@@ -167,3 +167,17 @@ def test_plane_samples_read_files_in_blocks(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert found == sorted([(float(i), 1.0, float(i % 7), 0.0, 0.0, 1.0) for i in range(500)] + [(9.0, 8.0, 7.0, 0.6, 0.0, 0.8)])
+
+
+@pytest.mark.parametrize("shift", [0.0, 1e4])
+def test_two_nearest_make_no_row_for_a_pair(spark, shift):
+    rng = np.random.default_rng(3)
+    v = np.float32(rng.integers(0, 3, (600, 4)) + shift)  # many copies and ties
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<float>").repartition(3)
+    got = joins.two_nearest(rows.where("id % 20 = 0"), rows)
+    assert "Join" not in plan(got)
+    want = {}
+    for a in range(0, 600, 20):
+        d = sorted((round(float(((v[a].astype(float) - x) ** 2).sum()), 6), i) for i, x in enumerate(v) if i != a)
+        want[a] = (d[0][1], d[0][0], d[1][0])
+    assert {r["a_id"]: (r["b_id"], r["d1"], r["d2"]) for r in got.collect()} == want
