@@ -181,3 +181,8 @@ def test_two_nearest_make_no_row_for_a_pair(spark, shift):
         d = sorted((round(float(((v[a].astype(float) - x) ** 2).sum()), 6), i) for i, x in enumerate(v) if i != a)
         want[a] = (d[0][1], d[0][0], d[1][0])
     assert {r["a_id"]: (r["b_id"], r["d1"], r["d2"]) for r in got.collect()} == want
+
+
+def test_unambiguous_with_copies(spark):
+    both = spark.createDataFrame([(1, 2, 0.0, 0.0), (2, 1, 0.0, 0.0), (3, 4, 1.0, 4.0), (4, 3, 1.0, 4.0)], "a_id long, b_id long, d1 double, d2 double")
+    assert sorted(r["a_id"] for r in joins.unambiguous(both, both).collect()) == [3, 4]  # was a division by zero
